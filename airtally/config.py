@@ -72,9 +72,9 @@ class ReportConfig:
 
 
 def weekly_window(today: date) -> tuple[date, date]:
-    """Monday..Sunday of the previous week."""
-    monday = today - timedelta(days=today.weekday() + 7)
-    return monday, monday + timedelta(days=6)
+    """Monday..Sunday of the last week whose Sunday has come (today counts)."""
+    sunday = today - timedelta(days=(today.weekday() + 1) % 7)
+    return sunday - timedelta(days=6), sunday
 
 
 def monthly_window(today: date) -> tuple[date, date]:
