@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import day
@@ -114,12 +115,10 @@ def credit_once(
     The days one exposure adds to those already covered by the previous exposure form
     an interval, and the time inside it is a difference of two running totals.
     """
-    from pyspark.sql import Window as W
-
     shown = distinct_exposure_days(exposures, [*on, *exposure_keys], exposure_ts)
     prev = F.lag("expose_date").over(W.partitionBy(*on, *exposure_keys).orderBy("expose_date"))
-    before_first = F.greatest(F.date_sub("expose_date", 1), F.date_add(prev, window_days))
-    ends = shown.select(
+    before_first = F.greatest(F.date_sub("expose_date", 1), F.date_add("_prev", window_days))
+    ends = shown.withColumn("_prev", prev).select(
         *on,
         *exposure_keys,
         F.explode(

@@ -47,16 +47,15 @@ def audience_and(*audiences: DataFrame) -> DataFrame:
     """Ids present in every audience: one shuffle, whatever the number of lists."""
     column = audiences[0].columns[0]
     tagged = reduce(
-        DataFrame.union, (a.select(column, F.lit(i).alias("_list")) for i, a in enumerate(audiences))
+        DataFrame.union, (a.select(column, F.lit(1 << i).cast("bigint").alias("_list")) for i, a in enumerate(audiences))
     )
-    bits = F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.col("_list")))
-    full = (1 << len(audiences)) - 1
-    return tagged.groupBy(column).agg(bits.alias("_in")).where(F.col("_in") == full).select(column).where(F.col(column).isNotNull())
+    seen = tagged.where(F.col(column).isNotNull()).groupBy(column).agg(F.bit_or("_list").alias("_in"))
+    return seen.where(F.col("_in") == (1 << len(audiences)) - 1).select(column)
 
 
 def match_any_pattern(df: DataFrame, column: str, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
     """Rows whose text matches at least one pattern of a parameter table, any case."""
-    return df.join(F.broadcast(patterns), F.col(column).ilike(F.col(pattern)), "left_semi")
+    return df.join(F.broadcast(patterns), F.ilike(F.col(column), F.col(pattern)), "left_semi")
 
 
 def ensure_one_row(df: DataFrame, **constants: Column) -> DataFrame:

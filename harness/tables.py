@@ -93,16 +93,12 @@ class Tables:
     def clicks(self) -> DataFrame:
         return self._in_window("click")
 
-    def _in_window(self, kind: str) -> DataFrame:
-        log = self.delivery(kind).where(not_dropped())
+    def _in_window(self, *kinds: str) -> DataFrame:
+        log = self.delivery(*kinds).where(not_dropped())
         return log.where(between_ts("event_ts", WINDOWS.report_start, WINDOWS.report_end))
 
     def exposures(self) -> DataFrame:
-        return self._in_window_both()
-
-    def _in_window_both(self) -> DataFrame:
-        log = self.delivery("view", "click").where(not_dropped())
-        return log.where(between_ts("event_ts", WINDOWS.report_start, WINDOWS.report_end))
+        return self._in_window("view", "click")
 
     def sessions(self) -> DataFrame:
         ev = self.events("purchase")
@@ -256,9 +252,10 @@ class Tables:
 
     def task_map(self) -> DataFrame:
         """Re-map of (department, category, task), from the suppliers' regions."""
-        l = self.table("lineitem").select("l_returnflag", "l_linenumber").distinct()
-        r = self.table("region")
-        pairs = l.join(r, F.pmod(F.col("l_linenumber"), F.lit(5)) != F.col("r_regionkey"))
+        l, s, n, r = self.table("lineitem"), self.table("supplier"), self.table("nation"), self.table("region")
+        by_region = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+        seen = l.join(by_region, F.col("l_suppkey") == F.col("s_suppkey")).select("l_returnflag", "l_linenumber", "r_regionkey", "r_name").distinct()
+        pairs = seen.where(F.col("l_linenumber") % 5 != F.col("r_regionkey"))
         cycle = F.when(F.col("l_linenumber") % 3 == 0, "Pre Sales").when(F.col("l_linenumber") % 3 == 1, "Post Sales").otherwise("Pre and Post Sales")
         return pairs.select(
             F.col("r_name").alias("department"),
