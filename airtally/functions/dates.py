@@ -102,6 +102,12 @@ def label_to_date(label, year: int) -> Column:
     return F.to_date(text, "yyyy_d_MMM")
 
 
+def label_date(label: str, year: int) -> date:
+    """The same for one column name, on the driver."""
+    _, day_of_month, month = label.lower().split("_")
+    return datetime.strptime(f"{year} {int(day_of_month)} {month[:3]}", "%Y %d %b").date()
+
+
 def quarter_or_earlier(as_of: date, start: date) -> date:
     """Earlier of a start date and the first day of ``as_of``'s quarter."""
     quarter = date(as_of.year, 3 * ((as_of.month - 1) // 3) + 1, 1)

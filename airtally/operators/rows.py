@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,6 +99,12 @@ def ratio_to_report(df: DataFrame, column: str, keys: Sequence[str] = (), name:
     return both.withColumn(name, part).drop("_total")
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Hold a stage that several later stages read. Lost blocks are recomputed, blocks
+    that do not fit in memory go to disk; ``spark.catalog.clearCache()`` lets go."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def scalar(df: DataFrame):
     """Single value of a one-row frame, for use as a parameter."""
     row = df.first()

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.dates import label_to_date, week_number
+from ..functions.dates import date_lit, label_date, week_number
 from ..functions.metrics import zero_label_to_blank
-from .rows import ratio_to_report
+from .rows import keep, ratio_to_report
 
 # Sales cycles that have their own report columns, and time off.
 CYCLES = {"presales": "Pre Sales", "pre_and_post": "Pre and Post Sales", "postsales": "Post Sales"}
@@ -32,14 +32,17 @@ def timesheet_long(
 ) -> DataFrame:
     """One row per person, task and day with time, in minutes, with its week number."""
     kept = raw.where(F.col(total).try_cast("double") > 0)
-    minutes = [(F.col(c).try_cast("double") * 60).alias(c.replace("date_", "minutes_")) for c in day_columns]
-    trimmed = kept.select(*[F.trim(F.col(c).cast("string")).alias(c) for c in labels], *minutes)
-    rows = trimmed.unpivot(list(labels), [c.replace("date_", "minutes_") for c in day_columns], "log_date", "minutes_active")
-    rows = rows.where(F.col("minutes_active") > 0).withColumn("log_date", label_to_date("log_date", year))
-    for c in blank_zero:
-        rows = rows.withColumn(c, zero_label_to_blank(c))
-    first = rows.agg(F.min("log_date").alias("_first"))
-    return rows.crossJoin(F.broadcast(first)).withColumn("week_num", week_number("_first", "log_date")).drop("_first")
+    hours = {c: F.col(c).try_cast("double") for c in day_columns}
+    dates = {c: label_date(c, year) for c in day_columns}
+    # the first day with time, from one row per wide row
+    used = kept.agg(*[F.min(F.when(hours[c] > 0, date_lit(dates[c]))).alias(c) for c in day_columns])
+    first = used.select(F.array_min(F.array(*day_columns)).alias("_first"))
+
+    trimmed = kept.select(*[F.trim(F.col(c).cast("string")).alias(c) for c in labels], *[(h * 60).alias(c) for c, h in hours.items()])
+    rows = trimmed.unpivot(list(labels), list(day_columns), "_label", "minutes_active").where(F.col("minutes_active") > 0)
+    day_of = F.create_map(*[x for c, d in dates.items() for x in (F.lit(c), date_lit(d))])
+    rows = rows.withColumns({"log_date": day_of[F.col("_label")], **{c: zero_label_to_blank(c) for c in blank_zero}}).drop("_label")
+    return rows.crossJoin(F.broadcast(first)).withColumn("week_num", week_number("_first", "log_date")).drop("_first")  # one row
 
 
 def clean_map(mapping: DataFrame, task_rules: Sequence[tuple[str, str]] = ()) -> DataFrame:
@@ -150,7 +153,7 @@ def cycle_categories(hours: DataFrame, top_percent: float = 99.0) -> DataFrame:
 
 def cycle_pivot(report: DataFrame, totals: bool = False, **toggles) -> DataFrame:
     """One row per sales cycle, one numbered percent column per category."""
-    shares = cycle_categories(cycle_hours(report, **toggles))
+    shares = keep(cycle_categories(cycle_hours(report, **toggles)))  # cycles x categories
     titles = [r[0] for r in shares.select("title").distinct().orderBy("title").collect()]
     pivoted = shares.groupBy("sales_cycle", "cycle_percent").pivot("title", titles).agg(F.sum("percent"))
     if totals:

@@ -101,26 +101,26 @@ def refresh_creative_map(
     """Advertisers' orders with the countries, flights and creatives seen in deliveries.
 
     The delivery log is reduced to its distinct combinations before it meets any
-    dimension.
+    dimension. An order line is paired with every flight and creative of its campaign.
     """
     start, end = refresh_window(as_of)
     sold = semi(orders, advertisers, ["advertiser_id"])
     lines = campaign_attrs.select("campaign_id", F.col("order_external_id").alias("sales_order_id"), F.col("line_external_id").alias("line_item_id")).distinct()
     live = campaigns.where(F.col("state") != "archived").select(F.col("id").alias("campaign_id"), F.col("name").alias("campaign_name"))
     codes = sold.select("sales_order_id", "order_code").distinct()
-    running = live.join(lines, "campaign_id").join(codes, "sales_order_id").join(campaign_creatives.select("campaign_id", "flight_id", "creative_id").distinct(), "campaign_id")
+    ordered = live.join(lines, "campaign_id").join(codes, "sales_order_id")
+    combos = campaign_creatives.select("campaign_id", "flight_id", "creative_id").distinct()
 
     observed = delivery.where(
         F.col("event_type").isin("impression", "click", "tracker") & F.col("country").isNotNull() & not_dropped() & between_ts("event_ts", start, end)
     )
-    combos = running.select("campaign_id", "flight_id", "creative_id").distinct()
     seen = semi(observed.select(*CREATIVE_KEYS).distinct(), combos, ["campaign_id", "flight_id", "creative_id"])
-    seen = seen.join(running.select("order_code", "campaign_id", "flight_id", "creative_id").distinct(), ["campaign_id", "flight_id", "creative_id"])
+    seen = seen.join(ordered.select("order_code", "campaign_id").distinct(), "campaign_id")
 
     names = creatives.select(F.col("id").alias("creative_id"), F.col("name").alias("creative_name")).distinct()
     flight = flights.select(F.col("id").alias("flight_id"), "campaign_id", F.col("name").alias("flight_name"), F.col("start_ts").alias("flight_start"), F.col("end_ts").alias("flight_end"))
     region = regions.select(F.col("country_name").alias("country_targeting"), "country_code", "region")
-    line_campaign = running.select("line_item_id", "campaign_id", "campaign_name").distinct()
+    line_campaign = ordered.select("line_item_id", "campaign_id", "campaign_name").distinct()
     base = sold.where(
         F.col("order_code").isNotNull()
         & (F.col("sales_order_name") != "")

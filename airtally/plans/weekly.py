@@ -12,6 +12,7 @@ from ..functions.predicates import active_in
 from ..operators import delivery as d
 from ..operators.attribution import attribute, first_use
 from ..operators.pixels import exposed_visits, household_map, pixel_visits, visits_by_day
+from ..operators.rows import keep
 from ..operators.usage import app_usage
 
 ROW_KEYS = ["date_of_exposure", *d.CREATIVE_KEYS]
@@ -124,11 +125,13 @@ def weekly_report(
 ) -> DataFrame:
     """All countries in one plan. ``mapping`` is the enriched creative mapping.
 
-    Every right side of the final join chain is aggregated to the row key first.
+    Every right side of the final join chain is aggregated to the row key first. The
+    stages read more than once (mapped impressions of the report window, usage, pixels)
+    are cut to their needed columns and held.
     """
     w = cfg.windows()
     conversions_end = w.attribution_end if cfg.attribution_extends else w.report_end
-    lines = active_lines(mapping, cfg)
+    lines = keep(active_lines(mapping, cfg))
     mapped = lines.select(F.col("mapping_country").alias("country"), "campaign_id", "flight_id", "creative_id", "line_item_id")
     countries = mapped.select("country").distinct()
 
@@ -136,18 +139,21 @@ def weekly_report(
     recent = delivery.where(between_ts("event_ts", w.report_start, w.report_end))
     logs = d.split_delivery(recent)
     mapped_of = lambda name: d.in_creative_map(logs[name], mapped, cfg.line_fanout)
-    impressions, clicks, tracker = mapped_of("impressions"), mapped_of("clicks"), mapped_of("tracker")
+    clicks, tracker = mapped_of("clicks"), mapped_of("tracker")
+    impressions = keep(mapped_of("impressions").select(*d.CREATIVE_KEYS, "device_id", "household_id", "event_ts", "event_id"))
 
     usage = app_usage(
         sessions.join(countries, "country", "left_semi"), profile_map, apps, (w.lookback_start, conversions_end),
         min_seconds=cfg.min_session_seconds, inclusive=cfg.session_inclusive,
     )
+    usage = keep(usage.drop("end_ts"))
     opens = open_counts(exposed_opens(impressions, usage, cfg))
 
     seen = delivery.where(between_ts("event_ts", w.pixel_start, w.report_end))
     households = household_map(d.in_creative_map(seen, keys_only), profile_map)
     pixel_log = delivery.join(countries, "country", "left_semi")
     pixels = pixel_visits(pixel_log, households, (cfg.signup_segment, cfg.homepage_segment), (w.pixel_start, conversions_end))
+    pixels = keep(pixels.drop("device_id"))
     visits = exposed_visits(impressions, pixels, cfg.attribution_days)
     # a first visit counts only when it falls in the report window
     visits = visits.withColumn("is_first", F.col("is_first") & between_ts("conversion_ts", w.report_start, conversions_end))
@@ -158,8 +164,7 @@ def weekly_report(
     ).where(in_report)
     # several profiles of a device may have their first use on the same day
     installed = (
-        usage.where(F.col("device_id").isNotNull())
-        .groupBy("device_id", "profile_id", "country")
+        usage.groupBy("device_id", "profile_id", "country")
         .agg(F.min("conversion_ts").alias("_first"))
         .where(between_ts("_first", w.report_start, conversions_end))
         .groupBy("country", day("_first").alias("date_of_exposure"))

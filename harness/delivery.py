@@ -259,8 +259,8 @@ def creative_map(t):
     "creative_map_refresh",
     "kept order_meta",
     """, sold AS (SELECT * FROM order_meta WHERE advertiser_id IN (1, 2, 3, 5, 8, 13, 21)),
-cmpgn AS (SELECT DISTINCT p.p_brand AS campaign_id, p.p_size AS flight_id, p.p_partkey AS creative_id, p.p_size AS order_code, p.p_partkey AS line_item_id
-  FROM part p JOIN sold s ON s.line_item_id = p.p_partkey WHERE p.p_brand <> 'Brand#13'),
+cmpgn AS (SELECT DISTINCT p.p_brand AS campaign_id, p.p_size AS flight_id, p.p_partkey AS creative_id, s.order_code, s.line_item_id
+  FROM part p JOIN sold s ON s.advertiser_name = p.p_brand WHERE p.p_brand <> 'Brand#13'),
 seen AS (SELECT DISTINCT c.order_code, k.country, k.campaign_id, k.flight_id, k.creative_id FROM kept k JOIN (SELECT DISTINCT order_code, campaign_id, flight_id, creative_id FROM cmpgn) c
     ON c.campaign_id = k.campaign_id AND c.flight_id = k.flight_id AND c.creative_id = k.creative_id
   WHERE k.event_type IN ('impression', 'click', 'tracker') AND k.event_ts BETWEEN TIMESTAMP '2023-10-25 00:00:00' AND TIMESTAMP '2024-01-24 23:59:59'),
@@ -283,10 +283,8 @@ def refresh(t):
     flights = part.select(F.col("p_size").alias("id"), F.col("p_brand").alias("campaign_id"), F.lit("f").alias("name"), nil.alias("start_ts"), nil.alias("end_ts")).distinct()
     creatives = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     advertisers = split_param(t.spark, "1, 2,3 ,5,8,13,21", "int", "advertiser_id")
-    # campaigns own the creatives of their lines only: one creative per line here
-    own = attrs.select("campaign_id", F.col("line_external_id").alias("creative_id"))
     out = mp.refresh_creative_map(
-        t.order_meta(), campaigns, attrs, combos.join(own, ["campaign_id", "creative_id"]), t.delivery("view", "click", "error"), flights, creatives,
+        t.order_meta(), campaigns, attrs, combos, t.delivery("view", "click", "error"), flights, creatives,
         t.regions(), advertisers, date(2024, 1, 25),
     )
     return out.drop("campaign_name", "flight_name", "flight_start_date", "flight_end_date", "budget_delivered", "last_update_ts").distinct()

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,18 @@ CONFIG = ReportConfig(
 )
 WINDOWS = CONFIG.windows()
 
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 KINDS = {"view": "impression", "click": "click", "error": "tracker", "signup": "segment"}
 TRACKERS = ("start", "first_quartile", "midpoint", "third_quartile", "complete")
 
@@ -36,25 +49,43 @@ def minutes_later(ts: str, minutes) -> F.Column:
     return F.timestamp_add("MICROSECOND", F.round(minutes * 60_000_000).cast("bigint"), F.col(ts))
 
 
+def once(method):
+    """Build a frame once per ``Tables``: its files are listed and analysed once."""
+
+    @wraps(method)
+    def built(self, *args, **kw):
+        key = (method.__name__, args, tuple(sorted(kw.items())))
+        if key not in self._built:
+            self._built[key] = method(self, *args, **kw)
+        return self._built[key]
+
+    return built
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._built: dict = {}
 
+    @once
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.dir}/{name}.parquet")
 
+    @once
     def devices(self) -> DataFrame:
         """Device and country, from the customer list."""
         return self.table("customer").join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
             F.col("c_custkey").alias("device_id"), F.col("n_name").alias("country"), "c_mktsegment", "n_nationkey", "n_regionkey"
         )
 
+    @once
     def events(self, *kinds: str) -> DataFrame:
         """Raw events of the given kinds with country and payload id ``k``."""
         raw = self.table("events").where(F.col("event_type").isin(*kinds))
         raw = raw.withColumn("k", F.get_json_object("props", "$.k").cast("bigint")).withColumnRenamed("user_id", "device_id")
         return raw.join(self.devices().select("device_id", "country"), "device_id")
 
+    @once
     def creatives(self) -> DataFrame:
         p = self.table("part")
         return p.select(
@@ -65,6 +96,7 @@ class Tables:
             F.col("p_type").alias("placement"),
         )
 
+    @once
     def delivery(self, *kinds: str) -> DataFrame:
         """Ad log. ``kinds`` restricts the raw event types, so the filter reaches the scan."""
         kinds = kinds or tuple(KINDS)
@@ -87,19 +119,24 @@ class Tables:
         )
         return log.join(self.creatives(), "creative_id")
 
+    @once
     def impressions(self) -> DataFrame:
         return self._in_window("view")
 
+    @once
     def clicks(self) -> DataFrame:
         return self._in_window("click")
 
+    @once
     def _in_window(self, *kinds: str) -> DataFrame:
         log = self.delivery(*kinds).where(not_dropped())
         return log.where(between_ts("event_ts", WINDOWS.report_start, WINDOWS.report_end))
 
+    @once
     def exposures(self) -> DataFrame:
         return self._in_window("view", "click")
 
+    @once
     def sessions(self) -> DataFrame:
         ev = self.events("purchase")
         return ev.select(
@@ -110,18 +147,22 @@ class Tables:
             minutes_later("ts", F.col("value")).alias("end_ts"),
         )
 
+    @once
     def profile_map(self) -> DataFrame:
         """Some profiles have no device."""
         known = self.table("customer").where(F.col("c_mktsegment") != "FURNITURE")
         return known.select(F.col("c_custkey").alias("profile_id"), F.col("c_custkey").alias("device_id"))
 
+    @once
     def usage(self, min_seconds: int = 3600, **kw) -> DataFrame:
         window = (WINDOWS.lookback_start, WINDOWS.report_end)
         return app_usage(self.sessions(), self.profile_map(), window=window, min_seconds=min_seconds, **kw)
 
+    @once
     def usage_in(self, **kw) -> DataFrame:
         return usage_in(self.usage(**kw), WINDOWS.report_start, WINDOWS.report_end)
 
+    @once
     def content(self) -> DataFrame:
         types = {"view": "PROG", "click": "VOD", "error": "OTT_PROG", "signup": "OTT_AD"}
         named = F.create_map(*[F.lit(x) for kv in types.items() for x in kv])
@@ -134,6 +175,7 @@ class Tables:
             "country",
         )
 
+    @once
     def programs(self) -> DataFrame:
         return self.table("part").select(
             F.col("p_partkey").alias("program_id"),
@@ -142,6 +184,7 @@ class Tables:
             F.split("p_name", " ").alias("genres"),
         )
 
+    @once
     def titles(self) -> DataFrame:
         """Two titles per programme, the English one under a regional or plain tag."""
         p = self.table("part")
@@ -149,15 +192,18 @@ class Tables:
         other = p.select(F.col("p_partkey").alias("program_id"), F.concat_ws(" ", "p_brand", "p_name").alias("title"), F.when(F.col("p_size") % 3 == 0, "en").otherwise("fr").alias("title_language"))
         return main.unionByName(other).withColumn("title_type", F.lit("main"))
 
+    @once
     def market(self, *segments: str) -> DataFrame:
         return self.table("customer").where(F.col("c_mktsegment").isin(*segments)).select(F.col("c_custkey").alias("device_id"))
 
+    @once
     def regions(self) -> DataFrame:
         n, r = self.table("nation"), self.table("region")
         return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(
             F.col("n_name").alias("country_name"), F.concat(F.lit("C"), F.col("n_nationkey").cast("string")).alias("country_code"), F.col("r_name").alias("region")
         )
 
+    @once
     def order_meta(self) -> DataFrame:
         """Sales order lines with prices and booked amounts."""
         size = F.col("p_size")
@@ -184,6 +230,7 @@ class Tables:
             F.when(size % 25 == 0, "USA").otherwise(F.concat(F.lit("NATION_"), (size % 25).cast("string"))).alias("country_targeting"),
         )
 
+    @once
     def mapping(self) -> DataFrame:
         """Creative mapping: the (country, creative) pairs seen in the log."""
         seen = self.events("view", "click").select("country", F.col("k").alias("creative_id")).distinct()
@@ -217,6 +264,7 @@ class Tables:
             F.col("line_item_start").alias("last_update_ts"),
         )
 
+    @once
     def creative_map(self) -> DataFrame:
         """Country, campaign, creative, names: what the older reports map."""
         seen = self.events("view", "click").select("country", F.col("k").alias("creative_id")).distinct()
@@ -224,6 +272,7 @@ class Tables:
             "country", "campaign_id", "creative_id", "creative_name", F.col("placement").alias("placement_name")
         )
 
+    @once
     def wide_log(self) -> DataFrame:
         """Line items as a wide timesheet: three day columns, hours in text."""
         l, s, n, r = self.table("lineitem"), self.table("supplier"), self.table("nation"), self.table("region")
@@ -244,12 +293,14 @@ class Tables:
             text("l_discount").alias("total"),
         )
 
+    @once
     def long_log(self) -> DataFrame:
         from airtally.operators.timesheet import timesheet_long
 
         labels = ("name", "role", "region", "team", "department", "category", "task", "sales_cycle")
         return timesheet_long(self.wide_log(), ("date_22_apr", "date_1_may", "date_14_may"), 2024, labels, ("team",))
 
+    @once
     def task_map(self) -> DataFrame:
         """Re-map of (department, category, task), from the suppliers' regions."""
         l, s, n, r = self.table("lineitem"), self.table("supplier"), self.table("nation"), self.table("region")
@@ -265,6 +316,7 @@ class Tables:
             F.concat(F.lit("Task "), F.col("l_linenumber").cast("string"), F.lit(" ")).alias("task"),
         )
 
+    @once
     def sheet_report(self) -> DataFrame:
         from airtally.operators.timesheet import clean_map, timesheet_report
 
