@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# A side is broadcast below this many rows only; above, Spark chooses the join.
-SMALL_ROWS = 1_000_000
+# A pattern table is broadcast up to this size; above, Spark chooses the join.
+SMALL_ROWS = 100_000
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], ascending: bool = False) -> DataFrame:
@@ -56,7 +56,8 @@ def audience_and(*audiences: DataFrame) -> DataFrame:
 
 def match_any_pattern(df: DataFrame, column: str, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
     """Rows whose text matches at least one pattern of a parameter table, any case."""
-    return df.join(F.broadcast(patterns), F.ilike(F.col(column), F.col(pattern)), "left_semi")
+    small = patterns.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    return df.join(F.broadcast(patterns) if small else patterns, F.ilike(F.col(column), F.col(pattern)), "left_semi")
 
 
 def ensure_one_row(df: DataFrame, **constants: Column) -> DataFrame:
