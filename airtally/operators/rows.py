@@ -63,7 +63,7 @@ def match_any_pattern(df: DataFrame, column: str, patterns: DataFrame, pattern:
 def ensure_one_row(df: DataFrame, **constants: Column) -> DataFrame:
     """Put constant columns in front; an empty input still yields one (blank) row."""
     one = df.sparkSession.range(1).select(F.lit(True).alias("_one"), *[c.alias(n) for n, c in constants.items()])
-    filled = one.join(df.withColumn("_one", F.lit(True)), "_one", "left")
+    filled = one.join(df.drop(*constants).withColumn("_one", F.lit(True)), "_one", "left")
     return filled.select(*constants, *[c for c in df.columns if c not in constants])
 
 

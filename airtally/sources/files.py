@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.rows import keep
+
 CORRUPT = "_corrupt_record"
 
 # Column layouts of the exported files.
@@ -40,8 +42,10 @@ def read_mapping_csv(spark: SparkSession, path, schema=MAPPING_SCHEMA, max_error
         .options(header=True, quote='"', escape=escape, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True)
         .csv(path)
     )
-    # the first field is read beside the marker: Spark refuses a marker-only scan
-    bad = df.agg(F.count_if(F.col(CORRUPT).isNotNull()).alias("bad"), F.max(F.col(declared.fieldNames()[0])).alias("_")).first().bad
+    # Spark converts only the columns a query asks for; held as a whole, a row is
+    # unreadable whichever columns are read later
+    df = keep(df)
+    bad = df.where(F.col(CORRUPT).isNotNull()).count()
     if bad > max_errors:
         raise TooManyErrors(f"{bad} unreadable rows, {max_errors} allowed")
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
@@ -98,9 +102,10 @@ def load_timesheets(spark: SparkSession, log_path, staff_path, groups_path, log_
                      mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
             .csv(path)
         )
+        raw = keep(raw.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_seq")))
         cells = [F.col(c) for c in _struct(schema).fieldNames()]
         tidy = [F.when(c == "None", "0").otherwise(F.regexp_replace(c, ",", " ")).alias(n) for c, n in zip(cells, _struct(schema).fieldNames())]
-        return raw.select(*tidy, CORRUPT, F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_seq"))
+        return raw.select(*tidy, CORRUPT, "file", "_at", "_seq")
 
     logs, staff = read(log_path, log_schema), read(staff_path, staff_schema)
     failures = logs.unionByName(staff, allowMissingColumns=True).groupBy("file").agg(F.count(CORRUPT).alias("bad_rows")).where(F.col("bad_rows") > 0)
