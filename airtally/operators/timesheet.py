@@ -15,13 +15,24 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_lit, label_date, week_number
 from ..functions.metrics import zero_label_to_blank
-from .rows import keep, ratio_to_report
+from .rows import keep
 
 # Sales cycles that have their own report columns, and time off.
 CYCLES = {"presales": "Pre Sales", "pre_and_post": "Pre and Post Sales", "postsales": "Post Sales"}
 TIME_OFF = "PTO"
 
 
+def minutes_sum(column=None, where=None):
+    """Exact sum: decimals add up to the same total in whatever order tasks finish."""
+    c = F.col("minutes_active") if column is None else F.col(column)
+    c = c.cast("decimal(18,6)") if column is None else c
+    return F.sum(c if where is None else F.when(where, c))
+
+
+def as_double(column):
+    return F.col(column).cast("double")
+
+
 def timesheet_long(
     raw: DataFrame,
     day_columns: Sequence[str],
@@ -97,21 +108,24 @@ def team_sizes(report: DataFrame) -> DataFrame:
 def share_report(log: DataFrame, keys: Sequence[str], where=None) -> DataFrame:
     """Minutes by label, their share, hours and the hours of all labels together."""
     kept = log if where is None else log.where(where)
-    sums = kept.groupBy(*keys).agg(F.sum("minutes_active").alias("minutes"))
-    grand = sums.agg(F.sum("minutes").alias("_all"))
-    return sums.crossJoin(F.broadcast(grand)).select(
+    return _shares(kept.groupBy(*keys).agg(minutes_sum().alias("_minutes")), keys)
+
+
+def _shares(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    grand = sums.agg(minutes_sum("_minutes").alias("_all"))
+    return sums.crossJoin(F.broadcast(grand)).select(  # one row
         *keys,
-        "minutes",
-        F.try_divide("minutes", "_all").alias("share"),
-        (F.col("minutes") / 60).alias("hours"),
-        (F.col("_all") / 60).alias("grand_hours"),
+        as_double("_minutes").alias("minutes"),
+        F.try_divide(as_double("_minutes"), as_double("_all")).alias("share"),
+        (as_double("_minutes") / 60).alias("hours"),
+        (as_double("_all") / 60).alias("grand_hours"),
     )
 
 
 def top_tasks(log: DataFrame, k: int | None = 10) -> DataFrame:
     """Tasks ranked by time with their share of the total."""
-    sums = log.groupBy("category", "task").agg(F.sum("minutes_active").alias("minutes"))
-    shared = ratio_to_report(sums, "minutes")
+    sums = log.groupBy("category", "task").agg(minutes_sum().alias("_minutes"))
+    shared = _shares(sums, ["category", "task"]).drop("hours", "grand_hours")
     order = [F.desc("minutes"), "category", "task"]
     if k is not None:
         shared = shared.orderBy(*order).limit(k)
@@ -125,30 +139,31 @@ def cycle_hours(report: DataFrame, cycles: Sequence[str] = tuple(CYCLES.values()
     kept = report.where((~wanted if others else wanted) & (F.col("category") != TIME_OFF))
     if client_facing is not None:
         kept = kept.where(F.col("client_facing_status") == client_facing)
-    return kept.groupBy("sales_cycle", "category").agg((F.sum("minutes_active") / 60).alias("hours"))
+    sums = kept.groupBy("sales_cycle", "category").agg(minutes_sum().alias("minutes"))
+    return sums.withColumn("hours", as_double("minutes") / 60)
 
 
 def cycle_categories(hours: DataFrame, top_percent: float = 99.0) -> DataFrame:
     """Percent of all hours per cycle and category, categories beyond the top percent of
     a cycle folded into "All Other", every cycle paired with every category."""
-    upto = W.partitionBy("sales_cycle").orderBy(F.desc("hours"), "category").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = W.partitionBy("sales_cycle").orderBy(F.desc("minutes"), "category").rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy("sales_cycle")
-    percent = 100 * (F.sum("hours").over(upto) / F.sum("hours").over(whole))
-    named = hours.withColumn("report_category", F.when(percent < top_percent, F.col("category")).otherwise("All Other"))
-    header = ratio_to_report(hours.groupBy("sales_cycle").agg(F.sum("hours").alias("_h")), "_h", name="_share")
-    header = header.select("sales_cycle", (100 * F.col("_share")).alias("cycle_percent"))
-
-    sums = named.groupBy("sales_cycle", "report_category").agg(F.sum("hours").alias("_hours"))
-    by_category = sums.groupBy("report_category").agg(F.sum("_hours").alias("_category_hours"))
-    position = F.row_number().over(W.orderBy(F.desc("_category_hours"), "report_category"))
+    part = lambda a, b: 100 * F.try_divide(a.cast("double"), b.cast("double"))
+    reached = part(F.sum("minutes").over(upto), F.sum("minutes").over(whole))
+    named = hours.withColumn("report_category", F.when(reached < top_percent, F.col("category")).otherwise("All Other"))
+    grand = hours.agg(F.sum("minutes").alias("_all"))  # one row
+    header = hours.groupBy("sales_cycle").agg(F.sum("minutes").alias("_cycle")).crossJoin(F.broadcast(grand))
+    header = header.select("sales_cycle", "_all", part(F.col("_cycle"), F.col("_all")).alias("cycle_percent"))
+
+    sums = named.groupBy("sales_cycle", "report_category").agg(F.sum("minutes").alias("_minutes"))
+    by_category = sums.groupBy("report_category").agg(F.sum("_minutes").alias("_category"))
+    position = F.row_number().over(W.orderBy(F.desc("_category"), "report_category"))
     titled = by_category.select(
         "report_category", F.concat(F.lpad(position.cast("string"), 2, "0"), F.lit(" - % "), F.col("report_category")).alias("title")
     )
     grid = header.crossJoin(F.broadcast(titled))  # cycles x category labels: pick-list sized
     filled = grid.join(sums, ["sales_cycle", "report_category"], "left")
-    grand = sums.agg(F.sum("_hours").alias("_all"))
-    share = 100 * F.try_divide(F.coalesce("_hours", F.lit(0.0)), F.col("_all"))
-    return filled.crossJoin(F.broadcast(grand)).select("sales_cycle", "cycle_percent", "title", share.alias("percent"))
+    return filled.select("sales_cycle", "cycle_percent", "title", F.coalesce(part(F.col("_minutes"), F.col("_all")), F.lit(0.0)).alias("percent"))
 
 
 def cycle_pivot(report: DataFrame, totals: bool = False, **toggles) -> DataFrame:
@@ -170,8 +185,8 @@ def department_hours(report: DataFrame, weeks: int = 4, days: int = 20) -> DataF
     picks = {name: cycle == value for name, value in CYCLES.items()}
     picks["other"] = ~cycle.isin(*CYCLES.values())
     hours = report.where(F.col("category") != TIME_OFF).groupBy("department").agg(
-        (F.sum("minutes_active") / 60).alias("total_hours"),
-        *[(F.sum(F.when(cond, F.col("minutes_active"))) / 60).alias(f"{name}_hours") for name, cond in picks.items()],
+        (minutes_sum().cast("double") / 60).alias("total_hours"),
+        *[(minutes_sum(where=cond).cast("double") / 60).alias(f"{name}_hours") for name, cond in picks.items()],
     )
     out = hours.join(sizes, "department", "left").withColumn("hours_per_member", F.try_divide("total_hours", "members"))
     for name in picks:

@@ -9,6 +9,10 @@ from airtally.operators import timesheet as ts
 from .registry import query
 
 
+# decimal sums do not depend on the order of the rows
+EXACT = "sum(CAST(minutes_active AS DECIMAL(18, 6)))"
+
+
 def rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -47,13 +51,12 @@ def team_sizes(t):
 
 
 def _share_sql(keys: str, where: str = "") -> str:
-    return f""", s AS (SELECT {keys}, sum(minutes_active) AS minutes FROM long_log {where} GROUP BY ALL)
-SELECT {keys}, round(minutes, 4) AS minutes, round(minutes / sum(minutes) OVER (), 6) AS share, round(minutes / 60, 4) AS hours, round(sum(minutes) OVER () / 60, 4) AS grand_hours FROM s"""
+    return f""", s AS (SELECT {keys}, {EXACT} AS m FROM long_log {where} GROUP BY ALL), a AS (SELECT CAST(sum(m) AS DOUBLE) AS total FROM s)
+SELECT {keys}, CAST(m AS DOUBLE) AS minutes, round(CAST(m AS DOUBLE) / total, 6) AS share, CAST(m AS DOUBLE) / 60 AS hours, total / 60 AS grand_hours FROM s, a"""
 
 
 def _share(t, keys, where=None):
-    out = ts.share_report(t.long_log(), keys, where)
-    return out.withColumns({"minutes": F.round("minutes", 4), "share": F.round("share", 6), "hours": F.round("hours", 4), "grand_hours": F.round("grand_hours", 4)})
+    return rounded(ts.share_report(t.long_log(), keys, where), "share")
 
 
 @query("share_by_category", "long_log", _share_sql("category"))
@@ -74,26 +77,26 @@ def share_by_cycle(t):
 @query(
     "top_tasks",
     "long_log",
-    """, s AS (SELECT category, task, sum(minutes_active) AS minutes FROM long_log GROUP BY ALL),
-r AS (SELECT *, minutes / sum(minutes) OVER () AS share, row_number() OVER (ORDER BY minutes DESC, category, task) AS rank_by_time FROM s)
-SELECT category, task, round(minutes, 4) AS minutes, round(share, 6) AS share, CAST(rank_by_time AS INTEGER) AS rank_by_time FROM r WHERE rank_by_time <= 10""",
+    f""", s AS (SELECT category, task, {EXACT} AS m FROM long_log GROUP BY ALL),
+r AS (SELECT category, task, CAST(m AS DOUBLE) AS minutes, CAST(m AS DOUBLE) / (SELECT CAST(sum(m) AS DOUBLE) FROM s) AS share, row_number() OVER (ORDER BY m DESC, category, task) AS rank_by_time FROM s)
+SELECT category, task, minutes, round(share, 6) AS share, CAST(rank_by_time AS INTEGER) AS rank_by_time FROM r WHERE rank_by_time <= 10""",
 )
 def top_tasks(t):
-    out = ts.top_tasks(t.long_log(), 10)
-    return out.withColumn("minutes", F.round("minutes", 4)).withColumn("share", F.round("share", 6))
+    return rounded(ts.top_tasks(t.long_log(), 10), "share")
 
 
 CYCLES = "('Pre Sales', 'Pre and Post Sales', 'Post Sales')"
-SHARES = f""", h AS (SELECT sales_cycle, category, sum(minutes_active) / 60 AS hours FROM sheet_report WHERE sales_cycle IN {CYCLES} AND category <> 'PTO' GROUP BY 1, 2),
-hdr AS (SELECT sales_cycle, 100 * sum(hours) / sum(sum(hours)) OVER () AS cycle_percent FROM h GROUP BY 1),
-cat AS (SELECT *, CASE WHEN 100 * (sum(hours) OVER (PARTITION BY sales_cycle ORDER BY hours DESC, category ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(hours) OVER (PARTITION BY sales_cycle)) < 99
+SHARES = f""", h AS (SELECT sales_cycle, category, {EXACT} AS m FROM sheet_report WHERE sales_cycle IN {CYCLES} AND category <> 'PTO' GROUP BY 1, 2),
+tot AS (SELECT CAST(sum(m) AS DOUBLE) AS total FROM h),
+hdr AS (SELECT sales_cycle, 100 * (CAST(sum(m) AS DOUBLE) / any_value(total)) AS cycle_percent FROM h, tot GROUP BY 1),
+cat AS (SELECT *, CASE WHEN 100 * (CAST(sum(m) OVER (PARTITION BY sales_cycle ORDER BY m DESC, category ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / CAST(sum(m) OVER (PARTITION BY sales_cycle) AS DOUBLE)) < 99
   THEN category ELSE 'All Other' END AS report_category FROM h),
-allc AS (SELECT sales_cycle, report_category, hours FROM cat UNION ALL SELECT DISTINCT hdr.sales_cycle, c.report_category, 0 FROM cat c CROSS JOIN hdr),
-sums AS (SELECT sales_cycle, report_category, sum(hours) AS hours FROM allc GROUP BY 1, 2),
-ord AS (SELECT report_category, row_number() OVER (ORDER BY sum(hours) DESC, report_category) AS n FROM sums GROUP BY 1),
+allc AS (SELECT sales_cycle, report_category, m FROM cat UNION ALL SELECT DISTINCT hdr.sales_cycle, c.report_category, 0 FROM cat c CROSS JOIN hdr),
+sums AS (SELECT sales_cycle, report_category, sum(m) AS m FROM allc GROUP BY 1, 2),
+ord AS (SELECT report_category, row_number() OVER (ORDER BY sum(m) DESC, report_category) AS n FROM sums GROUP BY 1),
 shares AS (SELECT s.sales_cycle, round(hdr.cycle_percent, 6) AS cycle_percent, lpad(CAST(o.n AS VARCHAR), 2, '0') || ' - % ' || s.report_category AS title,
-    round(100 * s.hours / sum(s.hours) OVER (), 6) AS percent
-  FROM sums s JOIN hdr USING (sales_cycle) JOIN ord o USING (report_category))
+    round(100 * (CAST(s.m AS DOUBLE) / total), 6) AS percent
+  FROM sums s JOIN hdr USING (sales_cycle) JOIN ord o USING (report_category), tot)
 """
 
 
@@ -110,18 +113,17 @@ def cycle_pivot(t):
 
 def _hours_sql() -> str:
     names = {"presales": "sales_cycle = 'Pre Sales'", "pre_and_post": "sales_cycle = 'Pre and Post Sales'", "postsales": "sales_cycle = 'Post Sales'", "other": f"sales_cycle NOT IN {CYCLES}"}
-    sums = ", ".join(f"sum(CASE WHEN {c} THEN minutes_active END) / 60 AS {n}_hours" for n, c in names.items())
+    sums = ", ".join(f"CAST(sum(CASE WHEN {c} THEN CAST(minutes_active AS DECIMAL(18, 6)) END) AS DOUBLE) / 60 AS {n}_hours" for n, c in names.items())
     out = ", ".join(
-        f"round({n}_hours, 4) AS {n}_hours, round({n}_hours / members, 4) AS {n}_per_member, round({n}_hours / 4, 4) AS {n}_weekly, round({n}_hours / 20, 4) AS {n}_daily, "
-        f"round({n}_hours / members / 4, 4) AS {n}_per_member_weekly, round({n}_hours / members / 20, 4) AS {n}_per_member_daily"
+        f"{n}_hours, {n}_hours / members AS {n}_per_member, {n}_hours / 4 AS {n}_weekly, {n}_hours / 20 AS {n}_daily, "
+        f"{n}_hours / members / 4 AS {n}_per_member_weekly, {n}_hours / members / 20 AS {n}_per_member_daily"
         for n in names
     )
     return f""", m AS (SELECT department, count(DISTINCT name || ' - ' || role) AS members FROM sheet_report GROUP BY 1),
-h AS (SELECT department, sum(minutes_active) / 60 AS total_hours, {sums} FROM sheet_report WHERE category <> 'PTO' GROUP BY 1)
-SELECT department, members, round(total_hours, 4) AS total_hours, round(total_hours / members, 4) AS hours_per_member, {out} FROM h LEFT JOIN m USING (department)"""
+h AS (SELECT department, CAST({EXACT} AS DOUBLE) / 60 AS total_hours, {sums} FROM sheet_report WHERE category <> 'PTO' GROUP BY 1)
+SELECT department, members, total_hours, total_hours / members AS hours_per_member, {out} FROM h LEFT JOIN m USING (department)"""
 
 
 @query("department_hours", "sheet_report", _hours_sql())
 def department_hours(t):
-    out = ts.department_hours(t.sheet_report())
-    return out.withColumns({c: F.round(c, 4) for c in out.columns if c not in ("department", "members")})
+    return ts.department_hours(t.sheet_report())
