@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import day
 from .asof import HOT_ROWS, asof, day_lookup
+from .rows import keep
 
 
 def attribute(
@@ -210,6 +211,8 @@ def conversion_matrix(
     tiebreak: Sequence[str] = (),
 ) -> dict[tuple[str, str], DataFrame]:
     """First or last touch, for the first use or for all use of a device: four tables."""
+    exposures = keep(exposures.select(device, exposure_ts, *dict.fromkeys([*tiebreak, *carry])))
+    usage = keep(usage)
     firsts = first_use(usage, [device], usage_ts, usage_ts)
     out = {}
     for touch in ("first", "last"):

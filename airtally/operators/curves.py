@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import diff
 from ..functions.metrics import ttc_bucket
 from .asof import HOT_ROWS, asof
+from .rows import keep
 
 
 def exposures_to_convert(
@@ -61,7 +62,7 @@ def conversion_medians(converted: DataFrame, placement: str = "placement", devic
     ]
     columns = ["grain", "first_exposure", "placement", "median_exposures", "median_hours", "conversions"]
     labelled = lambda df, grain, name: df.withColumn("grain", F.lit(grain)).withColumn("placement", name).select(*columns)
-    dated = converted.withColumn("_day", first_day)
+    dated = keep(converted.withColumn("_day", first_day))  # read once per grain
     by_day = dated.groupBy("_day", placement).agg(*measures).withColumnRenamed("_day", "first_exposure")
     by_placement = dated.groupBy(placement).agg(F.min("_day").alias("first_exposure"), *measures)
     total = dated.groupBy().agg(F.min("_day").alias("first_exposure"), *measures).where(F.col("conversions") > 0)

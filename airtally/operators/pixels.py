@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import between_ts, day
 from ..functions.predicates import id_in, not_dropped
 from .attribution import attribute, first_use
-from .rows import attach_device, latest_per_key, semi
+from .rows import keep, latest_per_key, semi
 
 
 def household_map(delivery: DataFrame, profile_map: DataFrame, tiebreak: Sequence[str] = ("event_id",)) -> DataFrame:
@@ -68,6 +68,7 @@ def exposed_visits(
     keys = ["household_id", "country", "segment_id"]
     once = visits.select(*keys, "conversion_ts").distinct()
     marked = once.join(first_visits(once, keys), keys).withColumn("is_first", F.col("conversion_ts") == F.col("first_ts")).drop("first_ts")
+    marked = keep(marked)
     return attribute(impressions, marked, ["household_id", "country"], "last", window_days, carry=carry, tiebreak=tiebreak)
 
 

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from ..functions.dates import date_lit, day, ts_lit
 from ..operators.attribution import any_touch, any_touch_by_day, attribute, credit_once
 from ..operators.delivery import delivery_stats
+from ..operators.rows import keep
 from ..operators.usage import active_users, installs
 
 CREATIVE = ["country", "campaign_id", "creative_id"]
 ON = ["device_id", "country"]
+LOG = ["country", "device_id", "event_ts", "creative_id", "campaign_id"]
 
 
 def exposed_first_opens(
@@ -43,8 +45,7 @@ def exposed_first_opens(
 
 def monthly_parts(impressions: DataFrame, clicks: DataFrame, usage: DataFrame, window_days: int, since: date | None = None) -> dict[str, DataFrame]:
     """The aggregates both monthly tables are assembled from."""
-    columns = ["country", "device_id", "event_ts", "creative_id", "campaign_id"]
-    exposures = impressions.select(*columns).unionByName(clicks.select(*columns))
+    exposures = impressions.select(*LOG).unionByName(clicks.select(*LOG))
     credited = usage if since is None else usage.where(F.col("conversion_ts") >= ts_lit(since))
     counted = lambda log, name: delivery_stats(log, name, CREATIVE, count_devices_only=True).withColumnRenamed("date_of_exposure", "date")
     return {
@@ -76,8 +77,10 @@ def monthly_report(
     placement_name. The day table has a row per creative and day with active users.
     """
     if countries:
-        keep = F.col("country").isin(*countries)
-        impressions, clicks, usage, creative_map = (df.where(keep) for df in (impressions, clicks, usage, creative_map))
+        wanted = F.col("country").isin(*countries)
+        impressions, clicks, usage, creative_map = (df.where(wanted) for df in (impressions, clicks, usage, creative_map))
+    impressions, clicks = (keep(log.select(*LOG)) for log in (impressions, clicks))
+    usage = keep(usage.select("country", "device_id", "conversion_ts", "minutes"))
     parts = monthly_parts(impressions, clicks, usage, window_days, since)
     daily_users = active_users(usage, start, usage_end, daily=True)
     keys = [*CREATIVE, "date"]

@@ -54,7 +54,7 @@ def exposed_opens(impressions: DataFrame, usage: DataFrame, cfg: ReportConfig) -
     keys = ["device_id", "profile_id", "country"]
     known = usage.where(F.col("device_id").isNotNull())
     marked = known.join(first_use(known, keys), keys).withColumn("is_first", F.col("conversion_ts") == F.col("first_ts"))
-    inside = marked.where(between_ts("conversion_ts", w.report_start, end)).drop("first_ts")
+    inside = keep(marked.where(between_ts("conversion_ts", w.report_start, end)).drop("first_ts"))
     return attribute(
         impressions, inside, ["device_id", "country"], "last", cfg.attribution_days,
         carry=("campaign_id", "flight_id", "creative_id"), tiebreak=("event_id",),

@@ -15,13 +15,16 @@ from ..functions.predicates import min_duration
 from ..operators.asof import asof, day_lookup
 from ..operators.attribution import daily_usage, distinct_exposure_days, nearest_exposure
 from ..operators.delivery import delivery_stats
+from ..operators.rows import keep
 from ..operators.usage import installs
-from .monthly import CREATIVE, ON, exposed_first_opens
+from .monthly import CREATIVE, LOG, ON, exposed_first_opens
 
 
-def _union(impressions: DataFrame, clicks: DataFrame) -> DataFrame:
-    columns = ["country", "device_id", "event_ts", "creative_id", "campaign_id"]
-    return impressions.select(*columns).unionByName(clicks.select(*columns))
+def _held(impressions: DataFrame, clicks: DataFrame, usage: DataFrame) -> tuple[DataFrame, ...]:
+    """The stages both tables read several times, and the union of the two logs."""
+    impressions, clicks = (keep(log.select(*LOG)) for log in (impressions, clicks))
+    usage = keep(usage.select("country", "device_id", "conversion_ts", "minutes"))
+    return impressions, clicks, usage, impressions.unionByName(clicks)
 
 
 def opens_by_usage_day(exposures: DataFrame, usage: DataFrame) -> DataFrame:
@@ -54,7 +57,7 @@ def opens_total(exposures: DataFrame, usage: DataFrame) -> DataFrame:
 def campaign_table(impressions: DataFrame, clicks: DataFrame, usage: DataFrame, creative_map: DataFrame, since: date | None = None) -> DataFrame:
     """Delivery and exposed use per day and creative. Days without impressions drop out."""
     keys = [*CREATIVE, "date"]
-    exposures = _union(impressions, clicks)
+    impressions, clicks, usage, exposures = _held(impressions, clicks, usage)
     credited = usage if since is None else usage.where(day("conversion_ts") >= date_lit(since))
     counted = lambda log, name: delivery_stats(log, name, CREATIVE, count_devices_only=True).withColumnRenamed("date_of_exposure", "date")
     out = (
@@ -69,7 +72,7 @@ def campaign_table(impressions: DataFrame, clicks: DataFrame, usage: DataFrame,
 
 def total_table(impressions: DataFrame, clicks: DataFrame, usage: DataFrame, creative_map: DataFrame, start: date, end: date, since: date | None = None) -> DataFrame:
     """The campaign table without days; downloads are those of the country."""
-    exposures = _union(impressions, clicks)
+    impressions, clicks, usage, exposures = _held(impressions, clicks, usage)
     credited = usage.where(day("conversion_ts").between(date_lit(start), date_lit(end)))
     if since is not None:
         credited = credited.where(day("conversion_ts") >= date_lit(since))

@@ -62,6 +62,18 @@ def once(method):
     return built
 
 
+def once_for(fn):
+    """The same for a function of the tables."""
+
+    @wraps(fn)
+    def built(t):
+        if fn.__name__ not in t._built:
+            t._built[fn.__name__] = fn(t)
+        return t._built[fn.__name__]
+
+    return built
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir

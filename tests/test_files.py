@@ -121,3 +121,21 @@ def test_tables_and_copies(spark):
     r.overwrite_table(spark.range(5, 7), name)
     assert rows(spark.table(name)) == [(5,), (6,)]
     spark.sql(f"drop table {name}")
+
+
+def test_partitioned_events_are_pruned(spark):
+    from datetime import datetime
+
+    from airtally.sources.events import scan_window, write_events
+
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/events"
+    start = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")
+    df = spark.range(200).select("id", F.timestamp_add("HOUR", F.col("id"), start).alias("event_ts"), F.when(F.col("id") % 2 == 0, "US").otherwise("FR").alias("country"))
+    write_events(df, path, files_per_day=2)
+    got = scan_window(spark.read.parquet(path), "event_ts", datetime(2024, 1, 2), datetime(2024, 1, 3, 11), ("US",), date_partition="event_date")
+    assert rows(got, "id") == sorted([(i,) for i in range(24, 60, 2)], key=lambda r: str(r[0]))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") : plan.index("PushedFilters")]
+    assert "event_date" in filters and "country" in filters
+    keyed = df.withColumn("hour", F.date_format("event_ts", "yyyyMMddHH"))
+    assert scan_window(keyed, "event_ts", datetime(2024, 1, 2), datetime(2024, 1, 2, 5), hour_partition="hour").count() == 6
