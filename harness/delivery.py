@@ -345,3 +345,56 @@ def cleanup(t):
         F.get(words, F.lit(0)).alias("first_word"),
         F.array_join(F.array_sort(words), "|").alias("sorted_words"),
     )
+
+
+@query(
+    "date_functions",
+    "",
+    """SELECT o_orderkey, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter_start, least(CAST(o_orderdate AS DATE), CAST(date_trunc('quarter', o_orderdate) AS DATE) + 10) AS earlier,
+  CAST(o_orderdate - INTERVAL 3 MONTH AS DATE) AS three_months_before, CAST(floor(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) / 7) + 1 AS INTEGER) AS week_num,
+  date_diff('month', CAST(o_orderdate AS DATE), DATE '2002-01-15') AS months_to, make_timestamp(o_orderkey * 100000 * 1000000) AS from_epoch,
+  CAST(o_orderdate AS DATE) + TIME '06:30:00' AS opens_at, strftime(o_orderdate, '%Y%m%d') AS day_key FROM orders WHERE strftime(o_orderdate, '%Y%m%d') BETWEEN '19960101' AND '19991231'""",
+)
+def date_functions(t):
+    o = t.table("orders").withColumn("day_key", F.date_format("o_orderdate", "yyyyMMdd"))
+    o = o.where(dt.day_key_range("day_key", date(1996, 1, 1), date(1999, 12, 31)))
+    day = F.to_date("o_orderdate")
+    quarter = F.to_date(F.date_trunc("quarter", "o_orderdate"))
+    return o.select(
+        "o_orderkey",
+        quarter.alias("quarter_start"),
+        F.least(day, F.date_add(quarter, 10)).alias("earlier"),
+        F.add_months(day, -3).alias("three_months_before"),
+        dt.week_number(dt.date_lit(date(1995, 1, 1)), day).alias("week_num"),
+        dt.diff("month", day, dt.date_lit(date(2002, 1, 15))).cast("bigint").alias("months_to"),
+        dt.epoch_ts(F.col("o_orderkey") * 100_000 + 0.75).alias("from_epoch"),
+        dt.ts_of(day, F.lit("06:30:00")).alias("opens_at"),
+        "day_key",
+    )
+
+
+@query("id_filter", "", "SELECT o_orderkey, o_custkey FROM orders WHERE CAST(o_custkey AS VARCHAR) IN ('17', '42', '99')")
+def id_filter(t):
+    return t.table("orders").where(p.id_in("o_custkey", ["17", " 42 ", 99, "", None])).select("o_orderkey", "o_custkey")
+
+
+@query(
+    "guaranteed_row",
+    "lines",
+    """, none AS (SELECT line_item_id, line_item_name FROM lines WHERE mapping_country = 'NOWHERE')
+SELECT DATE '2024-01-24' AS report_execution_date, n.line_item_id, n.line_item_name FROM (SELECT 1) o LEFT JOIN none n ON 1 = 1""",
+)
+def guaranteed_row(t):
+    none = mp.enrich_mapping(t.mapping(), t.order_meta()).where(F.col("mapping_country") == "NOWHERE").select("line_item_id", "line_item_name")
+    return rows.ensure_one_row(none, report_execution_date=dt.date_lit(date(2024, 1, 24)))
+
+
+@query(
+    "share_of_country",
+    "impressions",
+    """, c AS (SELECT country, creative_id, count(*) AS n FROM impressions GROUP BY 1, 2)
+SELECT country, creative_id, n, round(n / sum(n) OVER (PARTITION BY country), 6) AS share FROM c""",
+)
+def share_of_country(t):
+    counts = t.impressions().groupBy("country", "creative_id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.ratio_to_report(counts, "n", ("country",)).withColumn("share", F.round("share", 6))
