@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# A key with more rows than this is cut into time slices. The keys above the limit
-# are at most (rows / HOT_ROWS), which bounds what is broadcast below: ten million
-# millions of rows leave at most ten million keys, usually none.
+# A key with more rows than this is cut into time slices. At most rows / HOT_ROWS keys
+# are above it, which bounds the list that is broadcast below: 10^12 rows leave at most
+# a million keys (some 50 MB), usually none.
 HOT_ROWS = 1_000_000
 SLICE_SECONDS = 60
 
@@ -50,7 +50,8 @@ def asof(
     rows with a null key never match.
 
     A key above ``hot_rows`` is split into ``slice_seconds`` slices, each sorted on its
-    own, and what earlier slices leave behind is added from one row per slice.
+    own, and what earlier slices leave behind is added from one row per slice. Shorter
+    slices suit logs in which one key has millions of rows within a minute.
     """
     sums = dict(sums or {})
     keys = list(on)

@@ -21,7 +21,7 @@ def household_map(delivery: DataFrame, profile_map: DataFrame, tiebreak: Sequenc
     the map knows count as seen.
     """
     kept = delivery.where(not_dropped() & F.col("event_type").isin("impression", "click") & F.col("household_id").isNotNull())
-    known = semi(kept, profile_map.select("device_id").distinct(), ["device_id"])
+    known = semi(kept, profile_map, ["device_id"])
     last = latest_per_key(known.select("household_id", "device_id", "event_ts", *tiebreak), ["household_id"], ["event_ts", *tiebreak])
     one_profile = profile_map.groupBy("device_id").agg(F.min("profile_id").alias("profile_id"))
     return last.select("household_id", "device_id").join(one_profile, "device_id")

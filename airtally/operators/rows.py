@@ -26,13 +26,15 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], asc
 
 
 def semi(df: DataFrame, wanted: DataFrame, on: Sequence[str]) -> DataFrame:
-    """``IN (SELECT DISTINCT ...)``."""
-    return df.join(wanted, list(on), "left_semi")
+    """``IN (SELECT DISTINCT ...)``. The list is really made distinct: a key that fills it
+    shrinks to one row per partition before the shuffle, and a busy left key can be split."""
+    return df.join(wanted.select(*on).distinct(), list(on), "left_semi")
 
 
 def exclude(df: DataFrame, unwanted: DataFrame, on: str) -> DataFrame:
     """``NOT IN`` with nulls removed from the list: rows with a null key go too."""
-    return df.where(F.col(on).isNotNull()).join(unwanted.select(on), on, "left_anti")
+    listed = unwanted.where(F.col(on).isNotNull()).select(on).distinct()
+    return df.where(F.col(on).isNotNull()).join(listed, on, "left_anti")
 
 
 def attach_device(df: DataFrame, profile_map: DataFrame, how: str = "left") -> DataFrame:

@@ -52,8 +52,7 @@ def universe(hardware: DataFrame, deliveries: DataFrame, opened: DataFrame, prof
 
 def mini_universe(devices: DataFrame, usage: DataFrame, blackout: tuple[datetime, datetime]) -> DataFrame:
     """Universe without devices that used the app in the blackout window."""
-    used = usage.where(between_ts("conversion_ts", *blackout)).select("device_id").where(F.col("device_id").isNotNull()).distinct()
-    return exclude(devices, used, "device_id")
+    return exclude(devices, usage.where(between_ts("conversion_ts", *blackout)), "device_id")
 
 
 def exposures_in_universe(
@@ -72,7 +71,7 @@ def exposures_in_universe(
 
 def ad_tier_usage(usage: DataFrame, ad_evidence: DataFrame) -> DataFrame:
     """Usage by profiles that were served in-app ads."""
-    return semi(usage, ad_evidence.select("profile_id").distinct(), ["profile_id"])
+    return semi(usage, ad_evidence, ["profile_id"])
 
 
 def in_app_ads(ad_exposures: DataFrame, ad_meta: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def campaign_meta(
     version = ["modified_ts", "version_id"]
     opp = latest_per_key(semi(opportunities, order_codes, ["order_code"]), ["order_code"], version)
     opp = opp.select("order_code", "campaign_ref", "sales_order_id", "order_name")
-    wanted = opp.select("sales_order_id").distinct()
+    wanted = opp.select("sales_order_id")
     orders = latest_per_key(semi(sales_orders, wanted, ["sales_order_id"]), ["sales_order_id"], version, earliest)
     orders = orders.select("sales_order_id", F.col("start_date").alias("order_start"), F.col("end_date").alias("order_end"))
     lines = latest_per_key(semi(order_lines, wanted, ["sales_order_id"]), ["line_id"], version, earliest)

@@ -12,7 +12,7 @@ from ..functions.predicates import active_in
 from ..operators import delivery as d
 from ..operators.attribution import attribute, first_use
 from ..operators.pixels import exposed_visits, household_map, pixel_visits, visits_by_day
-from ..operators.rows import keep
+from ..operators.rows import keep, semi
 from ..operators.usage import app_usage
 
 ROW_KEYS = ["date_of_exposure", *d.CREATIVE_KEYS]
@@ -133,7 +133,7 @@ def weekly_report(
     conversions_end = w.attribution_end if cfg.attribution_extends else w.report_end
     lines = keep(active_lines(mapping, cfg))
     mapped = lines.select(F.col("mapping_country").alias("country"), "campaign_id", "flight_id", "creative_id", "line_item_id")
-    countries = mapped.select("country").distinct()
+    countries = mapped.select("country")
 
     keys_only = mapped.drop("line_item_id").distinct()
     recent = delivery.where(between_ts("event_ts", w.report_start, w.report_end))
@@ -143,7 +143,7 @@ def weekly_report(
     impressions = keep(mapped_of("impressions").select(*d.CREATIVE_KEYS, "device_id", "household_id", "event_ts", "event_id"))
 
     usage = app_usage(
-        sessions.join(countries, "country", "left_semi"), profile_map, apps, (w.lookback_start, conversions_end),
+        semi(sessions, countries, ["country"]), profile_map, apps, (w.lookback_start, conversions_end),
         min_seconds=cfg.min_session_seconds, inclusive=cfg.session_inclusive,
     )
     usage = keep(usage.drop("end_ts"))
@@ -151,7 +151,7 @@ def weekly_report(
 
     seen = delivery.where(between_ts("event_ts", w.pixel_start, w.report_end))
     households = household_map(d.in_creative_map(seen, keys_only), profile_map)
-    pixel_log = delivery.join(countries, "country", "left_semi")
+    pixel_log = semi(delivery, countries, ["country"])
     pixels = pixel_visits(pixel_log, households, (cfg.signup_segment, cfg.homepage_segment), (w.pixel_start, conversions_end))
     pixels = keep(pixels.drop("device_id"))
     visits = exposed_visits(impressions, pixels, cfg.attribution_days)

@@ -15,7 +15,7 @@ from ..functions.predicates import min_duration
 from ..operators.asof import asof, day_lookup
 from ..operators.attribution import daily_usage, distinct_exposure_days, nearest_exposure
 from ..operators.delivery import delivery_stats
-from ..operators.rows import keep
+from ..operators.rows import keep, semi
 from ..operators.usage import installs
 from .monthly import CREATIVE, LOG, ON, exposed_first_opens
 
@@ -119,7 +119,7 @@ def time_conversions(
     """
     shown = impressions.groupBy(*ON, "campaign_id").agg(F.min(day("event_ts")).alias("_shown"))
     if first_opened is not None:
-        shown = shown.join(first_opened.select("device_id").distinct(), "device_id", "left_semi")
+        shown = semi(shown, first_opened, ["device_id"])
     inside = sessions.where(day("start_ts").between(date_lit(start), date_lit(end)))
     last = inside.groupBy(*ON).agg(
         *[F.max(F.when(min_duration("start_ts", "end_ts", s, inclusive=False), day("start_ts"))).alias(f"_last{i}") for i, s in enumerate(thresholds.values())]

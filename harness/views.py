@@ -156,7 +156,7 @@ FROM (
         """SELECT DISTINCT r.r_name AS department, CASE l.l_linenumber % 3 WHEN 0 THEN 'Pre Sales' WHEN 1 THEN 'Post Sales' ELSE 'Pre and Post Sales' END AS sales_cycle,
   l.l_returnflag AS category, CASE l.l_linenumber WHEN 2 THEN 'PTO' WHEN 5 THEN 'Meetings' ELSE '' END AS change_category, 'Task ' || l.l_linenumber AS task
 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
-WHERE l.l_linenumber % 5 <> r.r_regionkey""",
+WHERE l.l_linenumber <> r.r_regionkey + 1""",
     ),
     "sheet_report": (
         ("long_log", "task_map"),
