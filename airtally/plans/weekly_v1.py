@@ -14,7 +14,8 @@ from ..functions.metrics import ratio
 from ..functions.predicates import min_duration
 from ..operators.asof import asof, day_lookup
 from ..operators.attribution import daily_usage, distinct_exposure_days, nearest_exposure
-from ..operators.delivery import delivery_stats
+from ..operators.delivery import delivery_stats, imps_and_clicks
+from ..operators.pixels import exposed_visits_any
 from ..operators.rows import keep, semi
 from ..operators.usage import installs
 from .monthly import CREATIVE, LOG, ON, exposed_first_opens
@@ -159,6 +160,43 @@ def nearest_first_opens(exposures: DataFrame, first_opens: DataFrame, keys: Sequ
     return best.groupBy(day("first_ts").alias("date"), *keys).agg(F.countDistinct("device_id").alias("exposed_first_opens"))
 
 
+def instant_campaign_table(
+    impressions: DataFrame,
+    clicks: DataFrame,
+    usage: DataFrame,
+    first_opens: DataFrame,
+    visits: DataFrame,
+    segments: dict[str, str],
+) -> DataFrame:
+    """The campaign table with exposures and conversions compared by instant.
+
+    Conversions are counted per day and (creative, placement) name; ``segments`` names a
+    pair of columns, all and first visits, for each pixel segment.
+    """
+    names = ["creative_name", "placement_name"]
+    columns = ["device_id", "event_ts", "creative_id", "campaign_id", *names]
+    impressions, clicks = (keep(log.select(*columns)) for log in (impressions, clicks))
+    exposures = impressions.unionByName(clicks)
+
+    def by_segment(first_only: bool, prefix: str) -> DataFrame:
+        seen = exposed_visits_any(exposures, visits, names, first_only=first_only)
+        segment = F.col("segment_id").cast("string")
+        return seen.groupBy("date", *names).agg(*[F.sum(F.when(segment == s, F.col("visitors"))).alias(f"{prefix}{n}") for n, s in segments.items()])
+
+    out = imps_and_clicks(impressions, clicks, ["creative_id", "campaign_id", *names])
+    parts = (
+        instant_opens(exposures, usage, names),
+        nearest_first_opens(exposures, first_opens, names),
+        by_segment(False, ""),
+        by_segment(True, "first_"),
+    )
+    for part in parts:
+        out = out.join(part, ["date", *names], "left")
+    counted = ["openers", "exposed_first_opens", *segments, *[f"first_{n}" for n in segments]]
+    average = F.coalesce(ratio("minutes", "openers"), F.lit(0.0))
+    return out.withColumn("avg_minutes", average).withColumns({c: F.coalesce(c, F.lit(0)) for c in counted}).drop("minutes")
+
+
 def downloads_and_exposures(exposures: DataFrame, first_opens: DataFrame, keys: Sequence[str] = ("creative_name", "placement_name")) -> DataFrame:
     """Diagnostic: first opens per day and creative beside the exposures of that day
     that belong to devices which opened later."""
