@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_files
+from . import bpe, mixing, near_duplicates, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        find_package(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
+
+
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where they see the driver's folders; elsewhere it is
+    shipped with ``--py-files``."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
 def word_bpe() -> str:
@@ -29,12 +46,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "quality.*")
+
+
 @query
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe())
 
 
+@query
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it."""
+    return mixing.mix(table(spark, sf_dir, "documents"), keep_row=False).drop("draws")
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document written to files of ids and looked up in them again."""
@@ -43,3 +73,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, manifest, docs).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "occurrence"
     )
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near-duplicates."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), words=3, similarity=85)
