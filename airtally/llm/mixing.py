@@ -72,7 +72,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, most:
                 out[i] = rest * weights[i] / total
             break
         for i in full:
-            out[i] = most * sizes[i]
+            out[i] = float(most * sizes[i])
             rest -= out[i]
         open_ -= set(full)
     return out

@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, near_duplicates, quality, token_files
+from . import bpe, mixing, near_duplicates, quality, token_files, top_k, vp_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,12 +59,67 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe())
 
 
+@query
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector."""
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op4_exact_top_k"] = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 @query
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
     return mixing.mix(table(spark, sf_dir, "documents"), keep_row=False).drop("draws")
 
 
+ORACLES["op5_source_mixing"] = r"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+        ('0x' || substr(md5(doc_id::VARCHAR || ':' || coalesce(text, '')), 1, 15))::BIGINT AS spot
+    FROM documents
+), named AS (
+    SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) AS i FROM sized GROUP BY source
+), weighed AS (
+    SELECT *, ([3, 1, 2])[(i - 1) % 3 + 1] AS w, sum(n) OVER () * 1.5::DOUBLE AS total FROM named
+), filled AS (  -- by the room for each unit of weight; a source is full if the level so far lifts it above
+    SELECT *, total - coalesce(sum(2 * n) OVER least_room, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER least_room, 0) AS open_weight
+    FROM weighed WINDOW least_room AS (ORDER BY n / w::DOUBLE, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), full_ones AS (
+    SELECT *, rest * w > 2 * n * open_weight AS is_full FROM filled
+), shared AS (
+    SELECT source, n, CASE WHEN is_full THEN 2.0 * n ELSE (total - coalesce(sum(2 * n) FILTER (is_full) OVER (), 0)) * w / (sum(w) FILTER (NOT is_full) OVER ()) END::DOUBLE AS target
+    FROM full_ones
+), given AS (
+    SELECT *, CASE WHEN n > 0 THEN floor(target + 1e-6)::BIGINT // n ELSE 0 END AS passes, CASE WHEN n > 0 THEN floor(target + 1e-6)::BIGINT % n ELSE 0 END AS rest FROM shared
+), placed AS (
+    SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY spot, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sized
+)
+SELECT doc_id, size, n AS source_size, target, (passes * size + greatest(0, least(size, rest - start)))::BIGINT AS taken
+FROM placed JOIN given ON placed.source IS NOT DISTINCT FROM given.source
+"""
+
+
+@query
+def op7_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest of every twentieth vector, as far as found."""
+    return vp_tree.near_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document written to files of ids and looked up in them again."""
