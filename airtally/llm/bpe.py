@@ -26,21 +26,26 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECE_CHARS = 65_536
-#: Characters of text that are handled at a time in a task, besides a longer single text.
-SLICE_CHARS = 4_000_000
+#: Bytes of text that are handled at a time in a task, besides a longer single text.
+SLICE_BYTES = 3_000_000
+#: Words that are encoded as one text.
+TOGETHER = 2_000
 #: Words a worker remembers at most; it forgets all and starts again beyond that.
-REMEMBERED = 300_000
+REMEMBERED = 350_000
 FIRST_WINDOW = 64
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -58,22 +63,52 @@ class Encoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word = drops_white_space(json.loads(self.tokenizer.to_str()))
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.StringArray) -> pa.BinaryArray:
         """Packed ids of each text."""
         if not self.by_word:
-            return [packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        # bytes.split() cuts at ASCII white space only
-        words = [text.encode().split() for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+            found = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+            return pa.array([packed(e.ids) for e in found], pa.binary())
+        # only ASCII white space is sure to separate; a leading one leaves an empty word
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        ids = self.ids_of(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        table, first = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(sizes) - sizes
+        word = words.indices.to_numpy()
+        n = sizes[word]
+        ends = np.cumsum(n)
+        taken = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[word] - (ends - n), n)
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        offsets = np.concatenate([[0], ends])[bounds - bounds[0]] * 4
+        if offsets[-1] > np.iinfo(np.int32).max:
+            raise ValueError("texts of one slice have more than 2 GB of ids")
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(table[taken])])
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Packed ids of different words."""
         known = self.known
-        new = [w for w in set().union(*words) if w not in known]
-        if new:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            known.update((w, packed(e.ids)) for w, e in zip(new, found, strict=True))
-        return [b"".join([known[w] for w in own]) for own in words]
+        if len(known) > REMEMBERED:
+            # most words of a corpus occur once; those met again are kept
+            known = self.known = {w: known[w] for w in self.again} if len(self.again) < REMEMBERED // 2 else {}
+            self.again.clear()
+        new = [w for w in words if w not in known]
+        if len(new) < len(words):
+            self.again |= set(words).difference(new)
+        for start in range(0, len(new), TOGETHER):
+            part = new[start : start + TOGETHER]
+            # one text of many words costs less than as many texts; their places tell them apart
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            begin = np.fromiter(map(itemgetter(0), found.offsets), dtype=np.int64, count=len(found.ids))
+            length = np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 1
+            cuts = np.searchsorted(begin, np.cumsum(length)).tolist()
+            ids, last = np.array(found.ids, dtype="<u4").tobytes(), 0
+            for w, cut in zip(part, cuts, strict=True):
+                known[w] = ids[last * 4 : cut * 4]
+                last = cut
+        return [known[w] for w in words]
 
     def tokens(self, text: str) -> Tokens:
         """Ids of one text with the characters each stands for."""
@@ -110,7 +145,7 @@ def drops_white_space(described: dict) -> bool:
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @dataclass
@@ -203,16 +238,15 @@ def join_all(encoder: Encoder, pieces: list[Tokens]) -> Tokens:
     return pieces[0]
 
 
-def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold about ``most`` characters each."""
-    start = chars = 0
-    for i, text in enumerate(texts):
-        chars += len(text)
-        if chars >= most:
-            yield start, i + 1
-            start, chars = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def slices(values: pa.StringArray | pa.BinaryArray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of values that hold about ``most`` bytes each, or a single longer one."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield start, end
+        start = end
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", piece_chars: int = PIECE_CHARS) -> DataFrame:
@@ -226,9 +260,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def short_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, end in slices(texts):
-                ids = pa.array(own.encode(texts[start:end]), pa.binary())
+            for start, end in slices(batch.column("text")):
+                ids = own.encode(batch.column("text").slice(start, end - start))
                 yield pa.record_batch([batch.column("doc_id").slice(start, end - start), ids], ["doc_id", "ids"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,10 +307,9 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFram
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in batches:
-            ids = batch.column(ids_col).to_pylist()
-            for start, end in slices([x or b"" for x in ids]):
+            for start, end in slices(batch.column(ids_col)):
                 part = batch.slice(start, end - start)
-                decoded = pa.array([None if x is None else own.decode(x) for x in ids[start:end]], pa.string())
+                decoded = pa.array([None if x is None else own.decode(x) for x in part.column(ids_col).to_pylist()], pa.string())
                 yield pa.record_batch([*part.columns, decoded], [*part.schema.names, "decoded"])
 
     encoded = encoded.drop("decoded")

@@ -144,12 +144,11 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
         ids_of, nulls, counts, out = [], [], [], None
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(batch.column("text")):
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{path}.ids")
-                found = [x + end for x in own.encode(texts[a:b])]
+                found = [x + end for x in own.encode(batch.column("text").slice(a, b - a)).to_pylist()]
                 column = batch.column("doc_id").slice(a, b - a)
                 ids_of.append(column.fill_null(0).to_numpy(zero_copy_only=False))
                 nulls.append(column.is_null().to_numpy(zero_copy_only=False))
@@ -245,7 +244,7 @@ def read(spark: SparkSession, manifest: DataFrame, keys: DataFrame, folder_uri:
 
     wanted = keys.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
     placed = wanted.mapInArrow(place, "shard int, doc_id long")
-    return placed.repartitionByRange("shard").sortWithinPartitions("shard").mapInPandas(look_up, "doc_id long, occurrence long, start long, n_tokens long, ids binary")
+    return placed.repartitionByRange(max(1, len(shards)), "shard").sortWithinPartitions("shard").mapInPandas(look_up, "doc_id long, occurrence long, start long, n_tokens long, ids binary")
 
 
 def spans(begin: np.ndarray, count: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
