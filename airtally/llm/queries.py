@@ -7,10 +7,10 @@ import os
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, near_duplicates, quality, token_files, top_k, vp_tree
+from . import bpe, mixing, near_duplicates, placement, quality, token_files, tool_calls, top_k, vp_tree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +46,105 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tools of the derived log: type of each parameter and whether it is required.
+TOOLS = {
+    "search": {"query": ("string", True), "limit": ("integer", False)},
+    "convert": {"value": ("number", True), "unit": ("string", True)},
+    "note": {"text": ("string", True), "pinned": ("boolean", False), "tags": ("array", False)},
+}
+
+
+def tool_log(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results that follow from a conversation's turns.
+
+    An assistant's turn is a call and the user's turn behind it the result. The length of the text
+    decides on the tool, on what is wrong with the arguments, on what the call needs (earlier calls)
+    and whether it reaches the log three turns late.
+    """
+    rows = conversations.withColumn("n", F.length(F.coalesce("text", F.lit(""))))
+
+    def call_id(back: int) -> Column:
+        return F.concat(F.lit("c"), F.substring(F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))), 1, 12))
+
+    def json(*parts: tuple[str, Column]) -> Column:
+        return F.to_json(F.struct(*(value.alias(name) for name, value in parts)))
+
+    n, text = F.col("n"), F.coalesce("text", F.lit(""))
+    limit = F.when(n % 11 == 0, json(("query", text), ("limit", n.cast("string")))).when(n % 7 == 0, json(("limit", n))).otherwise(json(("query", text), ("limit", n)))
+    convert = F.when(n % 7 == 0, json(("value", n))).when(n % 11 == 0, json(("value", n), ("unit", text), ("digits", F.lit(2)))).otherwise(json(("value", n), ("unit", text)))
+    note = F.when(n % 7 == 0, json(("tags", F.array(F.lit("a"), text)))).otherwise(json(("text", text), ("tags", F.array(F.lit("b"))), ("pinned", n % 2 == 0)))
+    name = F.when(n % 17 == 0, "unheard").when(n % 3 == 0, "search").when(n % 3 == 1, "convert").otherwise("note")
+    arguments = F.when(n % 3 == 0, limit).when(n % 3 == 1, convert).otherwise(note)
+    calls = rows.where("role = 'assistant'").select(
+        "conv_id", (F.col("turn") + F.when(n % 5 == 0, 3).otherwise(0)).alias("turn"), call_id(0).alias("call_id"), name.alias("name"),
+        F.when(n % 13 == 0, F.substring(arguments, F.lit(1), F.length(arguments) - 1)).otherwise(arguments).alias("arguments"),
+        F.when(F.col("turn") < 2, F.array().cast("array<string>")).when(n % 4 == 0, F.array(call_id(2), call_id(4))).otherwise(F.array(call_id(2))).alias("needs"),
+    )
+    results = rows.where("role = 'user' AND turn > 0").select("conv_id", "turn", call_id(1).alias("call_id"), F.col("text").alias("content"))
+    return calls, results
+
+
+@query
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls and results of all conversations, linked, ordered, checked and serialised."""
+    linked = tool_calls.link(*tool_log(table(spark, sf_dir, "conversations")), TOOLS)
+    return linked.withColumn("errors", F.concat_ws("; ", "errors"))
+
+
+ORACLES["op1_tool_calls"] = r"""
+WITH RECURSIVE base AS (
+    SELECT conv_id, turn, role, text, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+        to_json(coalesce(text, '')) AS q FROM conversations
+), logged AS (
+    SELECT conv_id, turn AS own, turn + CASE WHEN n % 5 = 0 THEN 3 ELSE 0 END AS turn, n,
+        CASE WHEN n % 17 = 0 THEN 'unheard' ELSE ['search', 'convert', 'note'][n % 3 + 1] END AS name,
+        CASE n % 3
+            WHEN 0 THEN CASE WHEN n % 11 = 0 THEN '{"query":' || q || ',"limit":"' || n || '"}' WHEN n % 7 = 0 THEN '{"limit":' || n || '}' ELSE '{"query":' || q || ',"limit":' || n || '}' END
+            WHEN 1 THEN CASE WHEN n % 7 = 0 THEN '{"value":' || n || '}' WHEN n % 11 = 0 THEN '{"value":' || n || ',"unit":' || q || ',"digits":2}' ELSE '{"value":' || n || ',"unit":' || q || '}' END
+            ELSE CASE WHEN n % 7 = 0 THEN '{"tags":["a",' || q || ']}' ELSE '{"text":' || q || ',"tags":["b"],"pinned":' || (n % 2 = 0) || '}' END
+        END AS said,
+        CASE n % 3
+            WHEN 0 THEN CASE WHEN n % 11 = 0 THEN '{"limit":"' || n || '","query":' || q || '}' WHEN n % 7 = 0 THEN '{"limit":' || n || '}' ELSE '{"limit":' || n || ',"query":' || q || '}' END
+            WHEN 1 THEN CASE WHEN n % 7 = 0 THEN '{"value":' || n || '}' WHEN n % 11 = 0 THEN '{"digits":2,"unit":' || q || ',"value":' || n || '}' ELSE '{"unit":' || q || ',"value":' || n || '}' END
+            ELSE CASE WHEN n % 7 = 0 THEN '{"tags":["a",' || q || ']}' ELSE '{"pinned":' || (n % 2 = 0) || ',"tags":["b"],"text":' || q || '}' END
+        END AS canonical,
+        CASE WHEN n % 13 = 0 THEN 'arguments are no object' WHEN n % 17 = 0 THEN 'tool is unknown'
+            WHEN n % 3 = 0 AND n % 11 = 0 THEN 'limit is no integer' WHEN n % 3 = 0 AND n % 7 = 0 THEN 'query is missing'
+            WHEN n % 3 = 1 AND n % 7 = 0 THEN 'unit is missing' WHEN n % 3 = 1 AND n % 11 = 0 THEN 'digits is unknown'
+            WHEN n % 3 = 2 AND n % 7 = 0 THEN 'text is missing' END AS wrong
+    FROM base WHERE role = 'assistant'
+), needs AS (
+    SELECT conv_id, own, own - 2 AS need FROM logged WHERE own >= 2
+    UNION ALL SELECT conv_id, own, own - 4 FROM logged WHERE own >= 2 AND n % 4 = 0
+), climb AS (  -- every chain of needs, from a call to one that it waits for
+    SELECT conv_id, own, turn, turn AS reached, 0 AS step FROM logged
+    UNION
+    SELECT climb.conv_id, needs.own, logged.turn, greatest(climb.reached, logged.turn), CASE WHEN logged.turn > climb.reached THEN 0 ELSE climb.step + 1 END
+    FROM climb JOIN needs ON needs.conv_id = climb.conv_id AND needs.need = climb.own
+        JOIN logged ON logged.conv_id = needs.conv_id AND logged.own = needs.own
+), placed AS (
+    SELECT conv_id, own, max({'t': reached, 's': step}) AS p FROM climb GROUP BY conv_id, own
+), missing AS (
+    SELECT needs.conv_id, needs.own, string_agg('needs c' || substr(md5(needs.conv_id || ':' || need), 1, 12) || ', which is not there', '; '
+        ORDER BY substr(md5(needs.conv_id || ':' || need), 1, 12)) AS absent
+    FROM needs LEFT JOIN logged ON logged.conv_id = needs.conv_id AND logged.own = needs.need WHERE logged.own IS NULL GROUP BY ALL
+), answers AS (
+    SELECT conv_id, turn, turn - 1 AS own, text FROM base WHERE role = 'user' AND turn > 0
+), calls AS (
+    SELECT l.*, 'c' || substr(md5(l.conv_id || ':' || l.own), 1, 12) AS call_id, p.t AS placed_turn, p.s AS step, absent
+    FROM logged l JOIN placed USING (conv_id, own) LEFT JOIN missing USING (conv_id, own)
+)
+SELECT conv_id, placed_turn, step, call_id, 0 AS part, turn, CASE WHEN EXISTS (SELECT 1 FROM answers a WHERE a.conv_id = calls.conv_id AND a.own = calls.own) THEN 'linked' ELSE 'no result' END AS link,
+    concat_ws('; ', wrong, absent) AS errors,
+    '{"arguments":' || CASE WHEN n % 13 = 0 THEN to_json(left(said, length(said) - 1)) ELSE canonical END || ',"id":"' || call_id || '","name":"' || name || '","type":"call"}' AS json
+FROM calls
+UNION ALL
+SELECT a.conv_id, coalesce(c.placed_turn, a.turn), coalesce(c.step, 0), i.id, 1, a.turn, CASE WHEN c.call_id IS NULL THEN 'no call' ELSE 'linked' END, '',
+    '{"content":' || coalesce(to_json(text), 'null') || ',"id":"' || i.id || '","type":"result"}'
+FROM answers a, LATERAL (SELECT 'c' || substr(md5(a.conv_id || ':' || a.own), 1, 12) AS id) i LEFT JOIN calls c ON c.conv_id = a.conv_id AND c.own = a.own
+"""
+
+
 @query
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored."""
@@ -114,6 +213,33 @@ FROM placed JOIN given ON placed.source IS NOT DISTINCT FROM given.source
 """
 
 
+@query
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    files = warc.write(table(spark, sf_dir, "pages"), revisit_bytes=0)
+
+    def page(name: str) -> Column:
+        return F.regexp_extract(F.coalesce(name, F.lit("")), r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+
+    records = warc.read(files, with_payload=False)
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+ORACLES["op6_warc_round_trip"] = """
+WITH hashed AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), known AS (
+    SELECT *, max(page_id) OVER (PARTITION BY h) AS owner,
+        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT, 1)), '') AS payload_digest
+    FROM hashed
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NULL AND owner IS NOT NULL OR page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS NULL OR page_id <> owner THEN owner END AS refers_to
+FROM known
+"""
+
+
 @query
 def op7_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty nearest of every twentieth vector, as far as found."""
@@ -134,3 +260,22 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component of near-duplicates."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), words=3, similarity=85)
+
+
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
+@query
+def op10_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return placement.place(table(spark, sf_dir, "documents"), SHARDS).select("doc_id", "slot", "shard")
+
+
+ORACLES["op10_shard_placement"] = f"""
+WITH slots AS (
+    SELECT i AS slot, 'shard-' || lpad(([{",".join(map(str, placement.lookup_table(SHARDS)))}])[i + 1]::VARCHAR, 3, '0') AS shard FROM range({placement.TABLE_SIZE}) AS r(i)
+), keyed AS (
+    SELECT doc_id, (('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT % {placement.TABLE_SIZE})::INTEGER AS slot FROM documents
+)
+SELECT doc_id, keyed.slot, shard FROM keyed JOIN slots ON keyed.slot = slots.slot
+"""

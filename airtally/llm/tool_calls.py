@@ -81,7 +81,7 @@ def ordered(calls: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             F.when(F.col("late"), F.col("after")["s"]).otherwise(F.col("step")).alias("step"), "cyclic",
         )
         # steps are counted by calls that wait for others, so more steps than such calls mean a cycle
-        waiting = new.groupBy("conv_id").agg(F.count_if("step > 0").alias("most"), F.max("step").alias("top")).where("top > most").select("conv_id", "most")
+        waiting = new.groupBy("conv_id").agg(F.count_if(F.col("step") > 0).alias("most"), F.max("step").alias("top")).where("top > most").select("conv_id", "most")
         joined = new.join(waiting, new["conv_id"].eqNullSafe(waiting["conv_id"]), "left").select(*(new[c] for c in new.columns), "most")
         cyclic = F.coalesce(F.col("step") > F.col("most"), F.lit(False))
         new = joined.select(
@@ -125,7 +125,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str
         .agg(F.array_sort(F.collect_set(F.concat(F.lit("needs "), F.coalesce(wanted["need"], F.lit("null")), F.lit(", which is not there")))).alias("absent"))
     )
     answered = got.where("call_id IS NOT NULL").select(*KEY).distinct()
-    known = unique.select(*KEY, "k").join(places.drop("turn"), list(KEY)) if False else unique.select(*KEY, "k")
+    known = unique.select(*KEY, "k")
     known = known.join(places, same(known, places, *KEY)).select(known["conv_id"], known["call_id"], "k", "placed_turn", "step", "cyclic")
     known = known.join(absent, same(known, absent, *KEY), "left").select(*(known[c] for c in known.columns), "absent")
     known = known.join(answered, same(known, answered, *KEY), "left").select(*(known[c] for c in known.columns), "absent", answered["call_id"].isNotNull().alias("answered"))
@@ -142,7 +142,6 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str
     bad = F.when(is_object, argument_errors(F.coalesce("name", F.lit("")), parsed, keys, schemas)).otherwise(F.array(F.lit("arguments are no object")))
     no_errors = F.array().cast("array<string>")
     errors = F.concat(bad, F.when(is_call, F.coalesce("absent", no_errors)).otherwise(no_errors), F.when(is_call & F.coalesce("cyclic", F.lit(False)), F.array(F.lit("depends on a cycle"))).otherwise(no_errors))
-    text = F.to_json(F.struct(F.lit("").alias("x")))  # quoting is that of JSON texts
 
     def quoted(c: Column) -> Column:
         return F.coalesce(F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2), F.lit("null"))
