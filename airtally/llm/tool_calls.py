@@ -80,18 +80,18 @@ def ordered(calls: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             F.when(F.col("late"), F.nullif(F.col("after")["t"], F.lit(-(2**63)))).otherwise(F.col("placed_turn")).alias("placed_turn"),
             F.when(F.col("late"), F.col("after")["s"]).otherwise(F.col("step")).alias("step"), "cyclic",
         )
+        new = materialize(new, "places")
         # steps are counted by calls that wait for others, so more steps than such calls mean a cycle
-        waiting = new.groupBy("conv_id").agg(F.count_if(F.col("step") > 0).alias("most"), F.max("step").alias("top")).where("top > most").select("conv_id", "most")
-        joined = new.join(waiting, new["conv_id"].eqNullSafe(waiting["conv_id"]), "left").select(*(new[c] for c in new.columns), "most")
+        waiting = new.groupBy(F.col("conv_id").alias("c")).agg(F.count_if(F.col("step") > 0).alias("most"), F.max("step").alias("top")).where("top > most")
         cyclic = F.coalesce(F.col("step") > F.col("most"), F.lit(False))
-        new = joined.select(
+        marked = new.join(waiting, new["conv_id"].eqNullSafe(waiting["c"]), "left").select(
             *KEY, "turn", F.when(cyclic, F.col("turn")).otherwise(F.col("placed_turn")).alias("placed_turn"),
             F.when(cyclic, F.lit(0)).otherwise(F.col("step")).alias("step"), (F.col("cyclic") | cyclic).alias("cyclic"),
         )
-        new = materialize(new, "places")
         discard(state)
+        state = materialize(marked, "places")
         discard(moved)
-        state = new
+        discard(new)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool]]]) -> DataFrame:
@@ -128,7 +128,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str
     known = unique.select(*KEY, "k")
     known = known.join(places, same(known, places, *KEY)).select(known["conv_id"], known["call_id"], "k", "placed_turn", "step", "cyclic")
     known = known.join(absent, same(known, absent, *KEY), "left").select(*(known[c] for c in known.columns), "absent")
-    known = known.join(answered, same(known, answered, *KEY), "left").select(*(known[c] for c in known.columns), "absent", answered["call_id"].isNotNull().alias("answered"))
+    known = known.join(answered, same(known, answered, *KEY), "left").select(*(known[c] for c in known.columns), answered["call_id"].isNotNull().alias("answered"))
     known = materialize(known, "known")
 
     parsed = F.try_parse_json("arguments")
