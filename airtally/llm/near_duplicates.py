@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -40,7 +40,7 @@ from .shared import discard, materialize
 
 ROWS = 5
 #: Classes in a bucket up to which its pairs are listed, and in a chunk of a larger one.
-LISTED, CHUNK = 8, 256
+LISTED, CHUNK = 8, 512
 CHUNK_SHINGLES = 1_000_000
 REMEMBERED = 400_000
 SEED = 20
@@ -231,8 +231,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
     classes = materialize(classes, "classes")
 
     buckets = classes.select("cls", "n", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("cls").alias("members"), F.min("cls").alias("pivot"), F.sum("n").alias("shingles")).where("members > 1")
-    members = materialize(buckets.join(shared, "key").select("key", "cls", "pivot", "members", "shingles"), "members")
+    shared = buckets.groupBy("key").agg(F.count("cls").alias("members"), F.min("cls").alias("pivot")).where("members > 1")
+    members = materialize(buckets.join(shared, "key").select("key", "cls", "n", "pivot", "members"), "members")
     candidates = members.select("cls").distinct()
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
     # buckets whose classes are in more than one component
     placed = members.join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     several = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    opened = materialize(placed.join(several, "key").select("key", "cls", "root", "members", "shingles"), "open")
+    opened = materialize(placed.join(several, "key").select("key", "cls", "n", "root", "members"), "open")
     few = opened.where(F.col("members") <= LISTED).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("cls", "root"))).alias("own"))
     listed = (
         few.select("own", F.explode("own").alias("p"))
@@ -267,12 +267,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
         .distinct()
     )
     small = verified(agreeing(listed, classes, similarity, n).select("a", "b"), sets, similarity)
-    chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
+    # the classes of a bucket's largest component only meet the others, so they have chunks of their own
+    crowded = opened.where(F.col("members") > LISTED)
+    parts = crowded.groupBy("key", "root").agg(F.count("cls").alias("c"), F.sum("n").alias("s"))
+    whole = parts.groupBy("key").agg(F.max(F.struct("c", "s", "root")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+
+    def chunks(classes: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(classes / CHUNK), F.ceil(shingles / CHUNK_SHINGLES)).cast("int")
+
+    whole = whole.select("key", F.col("main.root").alias("main"), chunks(F.col("main.c"), F.col("main.s")).alias("own"), chunks(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")).alias("rest"))
+    is_main, deal, every = F.col("root") == F.col("main"), F.xxhash64("cls"), F.col("own") + F.col("rest") - 1
     grid = (
-        opened.where(F.col("members") > LISTED)
-        .withColumn("chunks", chunks)
-        .withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        crowded.join(whole, "key")
+        .withColumn("chunk", F.when(is_main, F.pmod(deal, "own")).otherwise(F.col("own") + F.pmod(deal, "rest")).cast("int"))
+        .withColumn("other", F.explode(F.when(is_main, F.sequence("own", every)).otherwise(F.sequence(F.lit(0), every))))
         .select("key", "cls", "root", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
         .join(classes.select("cls", "bands", "sig"), "cls")
         .join(sets, "cls")
