@@ -59,7 +59,8 @@ def lift_by(
     """Lift per placement, creative, flight or frequency bucket (or overall).
 
     ``audience_usage`` is the usage of the matched audience with ``hours``;
-    a device exposed to a key at any time counts as exposed.
+    a device exposed to a key at any time counts as exposed. ``devices`` has the
+    country of each device, as every country is measured against its own universe.
     """
     per_device = device_imps(exposures, by)
     keys = ["country", *by]
@@ -76,8 +77,7 @@ def lift_by(
         F.sum("_hours").alias("exposed_hours"),
     ).where(F.col("exposed_users") > 0)
     totals = used.groupBy("country").agg(F.count("device_id").alias("total_users"), F.sum("_hours").alias("total_hours"))
-    size = devices.agg(F.countDistinct("device_id").alias("universe"))
-    out = exposed.join(totals, "country").crossJoin(F.broadcast(size))  # one row
+    out = exposed.join(totals, "country").join(universe_size(devices), "country")
     out = (
         out.withColumn("frequency_avg", ratio("imps", "reach"))
         .withColumn("unexposed", F.col("universe") - F.col("reach"))
@@ -96,16 +96,20 @@ def lift_by(
     )
 
 
+def universe_size(devices: DataFrame) -> DataFrame:
+    """Distinct devices of each country."""
+    return devices.groupBy("country").agg(F.countDistinct("device_id").alias("universe"))
+
+
 def daily_exposure(exposures: DataFrame, audience_usage: DataFrame, devices: DataFrame) -> DataFrame:
-    """Reach, impressions, app users and users exposed the same day, per day."""
+    """Reach, impressions, app users and users exposed the same day, per country and day."""
     keys = ["country", "date"]
     shown = exposures.groupBy("country", "device_id", day("event_ts").alias("date")).agg(F.count(F.lit(1)).alias("imps"))
     used = audience_usage.select("country", "device_id", day("conversion_ts").alias("date")).distinct()
     delivered = shown.groupBy(*keys).agg(F.count("device_id").alias("reach"), F.sum("imps").alias("imps"))
     users = used.groupBy(*keys).agg(F.count("device_id").alias("total_users"))
     exposed = semi(used, shown, [*keys, "device_id"]).groupBy(*keys).agg(F.count("device_id").alias("exposed_users"))
-    size = devices.agg(F.countDistinct("device_id").alias("universe"))
-    out = users.join(delivered, keys).join(exposed, keys).crossJoin(F.broadcast(size))  # one row
+    out = users.join(delivered, keys).join(exposed, keys).join(universe_size(devices), "country")
     return out.withColumn("unexposed", F.col("universe") - F.col("reach")).withColumn(
         "unexposed_users", F.col("total_users") - F.col("exposed_users")
     )

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_lit, label_date, week_number
 from ..functions.metrics import zero_label_to_blank
-from .rows import keep
 
 # Sales cycles that have their own report columns, and time off.
 CYCLES = {"presales": "Pre Sales", "pre_and_post": "Pre and Post Sales", "postsales": "Post Sales"}
@@ -166,10 +165,16 @@ def cycle_categories(hours: DataFrame, top_percent: float = 99.0) -> DataFrame:
     return filled.select("sales_cycle", "cycle_percent", "title", F.coalesce(part(F.col("_minutes"), F.col("_all")), F.lit(0.0)).alias("percent"))
 
 
-def cycle_pivot(report: DataFrame, totals: bool = False, **toggles) -> DataFrame:
-    """One row per sales cycle, one numbered percent column per category."""
-    shares = keep(cycle_categories(cycle_hours(report, **toggles)))  # cycles x categories
-    titles = [r[0] for r in shares.select("title").distinct().orderBy("title").collect()]
+def cycle_pivot(report: DataFrame, totals: bool = False, most_labels: int = 500, **toggles) -> DataFrame:
+    """One row per sales cycle, one numbered percent column per category.
+
+    Column names come from the data, so the labels are fetched first, from the category
+    sums alone; labels are a pick list, and more than ``most_labels`` of them are an error.
+    """
+    shares = cycle_categories(cycle_hours(report, **toggles))
+    titles = [r[0] for r in shares.select("title").distinct().orderBy("title").limit(most_labels + 1).collect()]
+    if len(titles) > most_labels:
+        raise ValueError(f"more than {most_labels} categories")
     pivoted = shares.groupBy("sales_cycle", "cycle_percent").pivot("title", titles).agg(F.sum("percent"))
     if totals:
         total = pivoted.agg(*[F.sum(F.col(f"`{c}`")).alias(c) for c in pivoted.columns if c != "sales_cycle"])

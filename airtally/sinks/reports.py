@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.numbering import chunk_rows
@@ -73,37 +73,74 @@ def write_report(
 
     ``name`` maps a sequence number to a file name. An empty report still yields one
     file with a header and one row that holds only the execution date. The rows of a
-    file are written by one task; ``max_rows`` is what bounds it.
+    file are written by one task into one part, whatever the session says on the size of
+    files; a missing part or row is an error. Files that an earlier run left beyond the
+    last one are removed once the new ones are in place.
     """
     spark = df.sparkSession
     chunks = chunk_rows(df, order, max_rows)
     spread = chunks.repartition("row_partition").sortWithinPartitions("row_partition", "row_num")
+    seen = Observation()
+    counted = spread.observe(seen, F.count(F.lit(1)).alias("rows"), F.max("row_num").alias("last"), F.max("row_partition").alias("files"))
     staging = f"{folder.rstrip('/')}/_parts_{name(0)}"
-    spread.select("row_partition", *columns).write.mode("overwrite").options(**CSV_FORMAT).partitionBy("row_partition").csv(staging)
+    to_csv(counted.select("row_partition", *columns)).partitionBy("row_partition").csv(staging)
+    rows, files = seen.get["rows"], seen.get["files"] or 0
+    if rows != (seen.get["last"] or 0):
+        raise ValueError(f"{rows} of {seen.get['last']} report rows were written")
     fs, Path = _fs(spark, folder)
     chunk_dirs = sorted(
         (s.getPath() for s in fs.listStatus(Path(staging)) if s.isDirectory()), key=lambda p: int(p.getName().split("=")[1])
     )
-    written = []
+    if len(chunk_dirs) != files:
+        raise ValueError(f"{len(chunk_dirs)} of {files} report files were written")
     if not chunk_dirs:
         blank = ensure_one_row(df.limit(0).select(*columns), report_execution_date=F.lit(as_of)).select(*columns)
-        blank.coalesce(1).write.mode("overwrite").options(**CSV_FORMAT).csv(f"{staging}/row_partition=1")
+        to_csv(blank.coalesce(1)).csv(f"{staging}/row_partition=1")
         chunk_dirs = [Path(f"{staging}/row_partition=1")]
-    for i, chunk in enumerate(chunk_dirs, 1):
-        part = next(s.getPath() for s in fs.listStatus(chunk) if s.getPath().getName().startswith("part-"))
+    parts = [[s.getPath() for s in fs.listStatus(chunk) if s.getPath().getName().startswith("part-")] for chunk in chunk_dirs]
+    if any(len(found) != 1 for found in parts):
+        raise ValueError("a report file was written in several parts")
+    written = []
+    for i, (part,) in enumerate(parts, 1):
         target = Path(f"{folder.rstrip('/')}/{name(i)}")
         fs.delete(target, False)
         fs.rename(part, target)
         written.append(target.toString())
     fs.delete(Path(staging), True)
+    remove_stale(spark, folder, name, len(written))
     return written
 
 
+def to_csv(df: DataFrame):
+    """Writer of delivered files: each task writes one file."""
+    return df.write.mode("overwrite").options(**CSV_FORMAT).option("maxRecordsPerFile", 0)
+
+
+def remove_stale(spark: SparkSession, folder: str, name, last: int) -> None:
+    """Remove files of the report with a sequence number beyond the last one."""
+    fs, Path = _fs(spark, folder)
+    there = {s.getPath().getName() for s in fs.listStatus(Path(folder))}
+    for i in range(last + 1, max(last + len(there), 1000) + 1):
+        if name(i) in there:
+            fs.delete(Path(f"{folder.rstrip('/')}/{name(i)}"), False)
+
+
 def deliver(df: DataFrame, destinations: Destinations, region: str, name, order, columns, as_of: date, max_rows: int = 999_999) -> list[str]:
-    """Write the report to every folder its region and the receipt option ask for."""
-    out = []
-    for folder in destinations.folders(region):
-        out += write_report(df, folder, name, order, columns, as_of, max_rows)
+    """Write the report once and copy the finished files to every other folder that its
+    region and the receipt option ask for."""
+    spark = df.sparkSession
+    first, *others = destinations.folders(region)
+    out = write_report(df, first, name, order, columns, as_of, max_rows)
+    source, Path = _fs(spark, first)
+    files = list(out)
+    for folder in others:
+        target, _ = _fs(spark, folder)
+        target.mkdirs(Path(folder))
+        for i, path in enumerate(files, 1):
+            copy = Path(f"{folder.rstrip('/')}/{name(i)}")
+            spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(source, Path(path), target, copy, False, True, spark.sparkContext._jsc.hadoopConfiguration())
+            out.append(copy.toString())
+        remove_stale(spark, folder, name, len(files))
     return out
 
 

@@ -86,17 +86,15 @@ def top_tasks(t):
 
 
 CYCLES = "('Pre Sales', 'Pre and Post Sales', 'Post Sales')"
-SHARES = f""", h AS (SELECT sales_cycle, category, {EXACT} AS m FROM sheet_report WHERE sales_cycle IN {CYCLES} AND category <> 'PTO' GROUP BY 1, 2),
-tot AS (SELECT CAST(sum(m) AS DOUBLE) AS total FROM h),
-hdr AS (SELECT sales_cycle, 100 * (CAST(sum(m) AS DOUBLE) / any_value(total)) AS cycle_percent FROM h, tot GROUP BY 1),
-cat AS (SELECT *, CASE WHEN 100 * (CAST(sum(m) OVER (PARTITION BY sales_cycle ORDER BY m DESC, category ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / CAST(sum(m) OVER (PARTITION BY sales_cycle) AS DOUBLE)) < 99
-  THEN category ELSE 'All Other' END AS report_category FROM h),
-allc AS (SELECT sales_cycle, report_category, m FROM cat UNION ALL SELECT DISTINCT hdr.sales_cycle, c.report_category, 0 FROM cat c CROSS JOIN hdr),
-sums AS (SELECT sales_cycle, report_category, sum(m) AS m FROM allc GROUP BY 1, 2),
-ord AS (SELECT report_category, row_number() OVER (ORDER BY sum(m) DESC, report_category) AS n FROM sums GROUP BY 1),
-shares AS (SELECT s.sales_cycle, round(hdr.cycle_percent, 6) AS cycle_percent, lpad(CAST(o.n AS VARCHAR), 2, '0') || ' - % ' || s.report_category AS title,
-    round(100 * (CAST(s.m AS DOUBLE) / total), 6) AS percent
-  FROM sums s JOIN hdr USING (sales_cycle) JOIN ord o USING (report_category), tot)
+# Running sums over a cycle's categories decide which are folded; the grid of cycles and labels is
+# filled from the folded sums, and labels are numbered by their sums.
+SHARES = f""", spent AS (SELECT sales_cycle, category, {EXACT} AS m FROM sheet_report WHERE sales_cycle IN {CYCLES} AND category <> 'PTO' GROUP BY ALL),
+running AS (SELECT *, sum(m) OVER (PARTITION BY sales_cycle ORDER BY m DESC, category) AS upto, sum(m) OVER (PARTITION BY sales_cycle) AS whole, sum(m) OVER () AS grand FROM spent),
+folded AS (SELECT sales_cycle, whole, grand, if(100 * (CAST(upto AS DOUBLE) / CAST(whole AS DOUBLE)) < 99, category, 'All Other') AS label, sum(m) AS m FROM running GROUP BY ALL),
+labels AS (SELECT label, row_number() OVER (ORDER BY sum(m) DESC, label) AS place FROM folded GROUP BY label),
+shares AS (SELECT c.sales_cycle, round(100 * (CAST(whole AS DOUBLE) / CAST(grand AS DOUBLE)), 6) AS cycle_percent, place, format('{{:02d}} - % {{}}', place, label) AS title,
+    round(coalesce(100 * (CAST(f.m AS DOUBLE) / CAST(c.grand AS DOUBLE)), 0), 6) AS percent
+  FROM (SELECT DISTINCT sales_cycle, whole, grand FROM folded) c CROSS JOIN labels LEFT JOIN (SELECT sales_cycle, label, m FROM folded) f USING (sales_cycle, label))
 """
 
 
@@ -105,10 +103,49 @@ def cycle_shares(t):
     return rounded(ts.cycle_categories(ts.cycle_hours(t.sheet_report())), "cycle_percent", "percent")
 
 
-@query("cycle_pivot", "sheet_report", SHARES + "SELECT * FROM (PIVOT shares ON title USING sum(percent) GROUP BY sales_cycle, cycle_percent)")
+#: Columns that the pivot is compared in: the pick lists give fewer labels than this.
+SLOTS = 8
+
+
+def _pivot_sql(shares: str = SHARES, totals: bool = False) -> str:
+    slots = ", ".join(f"max(title) FILTER (place = {i}) AS title_{i}, sum(percent) FILTER (place = {i}) AS percent_{i}" for i in range(1, SLOTS + 1))
+    total = f" UNION ALL SELECT 'Total', (SELECT sum(cycle_percent) FROM (SELECT DISTINCT sales_cycle, cycle_percent FROM shares)), {slots} FROM shares HAVING count(*) > 0" if totals else ""
+    wide = f"SELECT sales_cycle, cycle_percent, {slots} FROM shares GROUP BY sales_cycle, cycle_percent{total}"
+    # sums of rounded percents only agree to fewer digits
+    rounded_ = ", ".join(f"title_{i}, round(percent_{i}, 4) AS percent_{i}" for i in range(1, SLOTS + 1))
+    return f"{shares} SELECT sales_cycle, round(cycle_percent, 4) AS cycle_percent, {rounded_} FROM ({wide})"
+
+
+def _slots(out):
+    """The pivot's numbered columns by position: the title as a column of its own."""
+    titles = [c for c in out.columns if c not in ("sales_cycle", "cycle_percent")]
+    named = [(F.lit(titles[i]), F.round(F.col(f"`{titles[i]}`"), 4)) if i < len(titles) else (F.lit(None).cast("string"), F.lit(None).cast("double")) for i in range(max(SLOTS, len(titles)))]
+    columns = [c for i, (title, percent) in enumerate(named, 1) for c in (title.alias(f"title_{i}"), percent.alias(f"percent_{i}"))]
+    return out.select("sales_cycle", F.round("cycle_percent", 4).alias("cycle_percent"), *columns)
+
+
+@query("cycle_pivot", "sheet_report", _pivot_sql())
 def cycle_pivot(t):
-    out = ts.cycle_pivot(t.sheet_report())
-    return out.select("sales_cycle", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in out.columns if c != "sales_cycle"])
+    return _slots(ts.cycle_pivot(t.sheet_report()))
+
+
+@query("cycle_pivot_totals", "sheet_report", _pivot_sql(totals=True))
+def cycle_pivot_totals(t):
+    return _slots(ts.cycle_pivot(t.sheet_report(), totals=True))
+
+
+@query(
+    "cycle_pivot_client_facing",
+    "sheet_report",
+    _pivot_sql(SHARES.replace("category <> 'PTO'", "category <> 'PTO' AND client_facing_status = 'Client Facing'"), totals=True),
+)
+def cycle_pivot_client_facing(t):
+    return _slots(ts.cycle_pivot(t.sheet_report(), totals=True, client_facing="Client Facing"))
+
+
+@query("cycle_pivot_others", "sheet_report", _pivot_sql(SHARES.replace(f"sales_cycle IN {CYCLES}", "sales_cycle NOT IN ('Pre Sales')")))
+def cycle_pivot_others(t):
+    return _slots(ts.cycle_pivot(t.sheet_report(), cycles=("Pre Sales",), others=True))
 
 
 def _hours_sql() -> str:

@@ -180,7 +180,7 @@ def test_households_and_visits(spark, profile_map):
 def test_lift_rates(spark):
     shown = spark.createDataFrame([("US", 1, 9), ("US", 1, 9), ("US", 2, 9), ("US", 3, 8)], "country string, device_id int, placement int")
     used = spark.createDataFrame([("US", 1, 4), ("US", 5, 2)], "country string, device_id int, hours int")
-    devices = spark.createDataFrame([(i,) for i in range(1, 11)], "device_id int")
+    devices = spark.createDataFrame([(i, "US") for i in range(1, 11)], "device_id int, country string")
     got = lift.lift_by(shown, used, devices, ("placement",)).first()
     assert (got.placement, got.reach, got.imps, got.exposed_users, got.total_users, got.universe) == (9, 2, 3, 1, 2, 10)
     assert got.exposed_rate == 0.5 and got.unexposed_rate == 1 / 8 and got.lift == 3 and got.lift_hours == 1
@@ -190,6 +190,25 @@ def test_lift_rates(spark):
     assert nobody.reach == 0 and nobody.frequency is None and nobody.lift is None
 
 
+def test_lift_of_two_countries(spark):
+    """Each country is measured against its own universe, by hand."""
+    shown = spark.createDataFrame(
+        [("US", 1, 9, ts("2024-01-08 10:00:00")), ("US", 2, 9, ts("2024-01-08 11:00:00")), ("FR", 11, 9, ts("2024-01-08 12:00:00"))],
+        "country string, device_id int, placement int, event_ts timestamp_ntz",
+    )
+    used = spark.createDataFrame(
+        [("US", 1, 4, ts("2024-01-08 20:00:00")), ("US", 3, 2, ts("2024-01-08 20:00:00")), ("FR", 11, 6, ts("2024-01-08 20:00:00"))],
+        "country string, device_id int, hours int, conversion_ts timestamp_ntz",
+    )
+    devices = spark.createDataFrame([(1, "US"), (2, "US"), (3, "US"), (4, "US"), (11, "FR"), (12, "FR")], "device_id int, country string")
+    got = {r.country: r for r in lift.lift_by(shown, used, devices).collect()}
+    us, fr = got["US"], got["FR"]
+    assert (us.universe, us.reach, us.unexposed, us.exposed_rate, us.unexposed_rate, us.lift) == (4, 2, 2, 0.5, 0.5, 0)
+    assert (fr.universe, fr.reach, fr.unexposed, fr.exposed_rate, fr.unexposed_rate, fr.lift) == (2, 1, 1, 1, 0, None)
+    daily = {r.country: (r.universe, r.reach, r.unexposed, r.unexposed_users) for r in lift.daily_exposure(shown, used, devices).collect()}
+    assert daily == {"US": (4, 2, 2, 1), "FR": (2, 1, 1, 0)}
+
+
 def test_new_users_and_genres(spark):
     used = spark.createDataFrame(
         [(1, 1, ts("2024-01-01 10:00:00"), ts("2024-01-01 11:00:00"), 3600), (1, 1, ts("2024-01-02 10:00:00"), ts("2024-01-02 11:00:00"), 3600),
