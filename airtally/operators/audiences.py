@@ -33,7 +33,7 @@ PROGRAMME_TYPES = ("PROG", "VOD", "OTT_PROG")
 USER = ("device_id", "profile_id")
 
 
-def watched_titles(content: DataFrame, titles: DataFrame, programs: DataFrame, patterns: DataFrame, season: int | None = None) -> DataFrame:
+def watched_titles(content: DataFrame, titles: DataFrame, programs: DataFrame, patterns: Sequence[str], season: int | None = None) -> DataFrame:
     """Content whose title matches a pattern (and season, if one is required).
 
     Titles are cut down by the patterns before they meet the content log.

@@ -10,9 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# A pattern table is broadcast up to this size; above, Spark chooses the join.
-SMALL_ROWS = 100_000
-
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], ascending: bool = False) -> DataFrame:
     """Latest (or earliest) version of each key. ``order`` ends in a unique column.
@@ -56,10 +53,10 @@ def audience_and(*audiences: DataFrame) -> DataFrame:
     return seen.where(F.col("_in") == (1 << len(audiences)) - 1).select(column)
 
 
-def match_any_pattern(df: DataFrame, column: str, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
-    """Rows whose text matches at least one pattern of a parameter table, any case."""
-    small = patterns.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    return df.join(F.broadcast(patterns) if small else patterns, F.ilike(F.col(column), F.col(pattern)), "left_semi")
+def match_any_pattern(df: DataFrame, column: str, patterns: Sequence[str]) -> DataFrame:
+    """Rows whose text matches at least one of the LIKE patterns, any case. Patterns are
+    parameters of a report, so they become one predicate and no join."""
+    return df.where(reduce(lambda a, b: a | b, (F.ilike(F.col(column), F.lit(p)) for p in patterns), F.lit(False)))
 
 
 def ensure_one_row(df: DataFrame, **constants: Column) -> DataFrame:

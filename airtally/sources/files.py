@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,23 +33,38 @@ def _struct(schema) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
-def read_mapping_csv(spark: SparkSession, path, schema=MAPPING_SCHEMA, max_errors: int = 250, escape: str = "\\") -> DataFrame:
+def read_mapping_csv(
+    spark: SparkSession, path, schema=MAPPING_SCHEMA, max_errors: int = 250, escape: str = "\\", multi_line: bool = True
+) -> DataFrame:
     """Quoted CSV with a header. Unreadable rows are dropped up to ``max_errors``; more
-    of them, or none readable fields at all, fail the load."""
+    of them fail the load. :func:`read_mapping_with_rejects` returns them as well.
+
+    ``multi_line`` lets quoted cells hold line breaks; a file is then read by one task,
+    so turn it off for files that are large and have none."""
+    good, _ = read_mapping_with_rejects(spark, path, schema, max_errors, escape, multi_line)
+    return good
+
+
+def read_mapping_with_rejects(
+    spark: SparkSession, path, schema=MAPPING_SCHEMA, max_errors: int = 250, escape: str = "\\", multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """The readable rows, and the text of the others with the path of their file."""
     declared = _struct(schema)
     full = T.StructType([*declared.fields, T.StructField(CORRUPT, T.StringType())])
     df = (
         spark.read.schema(full)
-        .options(header=True, quote='"', escape=escape, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True)
+        .options(header=True, quote='"', escape=escape, multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True)
         .csv(path)
+        .withColumn("_path", F.col("_metadata.file_path"))
     )
     # Spark converts only the columns a query asks for; held as a whole, a row is
     # unreadable whichever columns are read later
     df = keep(df)
-    bad = df.where(F.col(CORRUPT).isNotNull()).count()
-    if bad > max_errors:
-        raise TooManyErrors(f"{bad} unreadable rows, {max_errors} allowed")
-    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    bad = df.where(F.col(CORRUPT).isNotNull()).select(F.col("_path").alias("path"), F.col(CORRUPT).alias("text"))
+    found = bad.count()
+    if found > max_errors:
+        raise TooManyErrors(f"{found} unreadable rows, {max_errors} allowed")
+    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "_path"), bad
 
 
 def read_id_list(spark: SparkSession, path, name: str = "profile_id", dtype: str = "string", header: bool = True) -> DataFrame:
@@ -85,13 +101,19 @@ def app_ids(meta: DataFrame, name: str | None = None, like: str | None = None) -
     return kept.select("app_id").distinct()
 
 
-def load_timesheets(spark: SparkSession, log_path, staff_path, groups_path, log_schema, staff_schema, pattern: str = "*.csv") -> tuple[DataFrame, DataFrame]:
+def load_timesheets(
+    spark: SparkSession, log_path, staff_path, groups_path, log_schema, staff_schema, pattern: str = "*.csv", own_groups: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Timesheet exports of many people as one table, and the files that failed.
 
-    Log and staff files share their base name. Commas inside cells become blanks,
-    ``None`` becomes ``0``, the sales cycle is attached by row position, the trailing
-    total row of each file is dropped, and a file with an unreadable row is left out
-    whole and listed in the second frame.
+    Log and staff files of a person have the same path below their folders. Commas inside
+    cells become blanks, ``None`` becomes ``0``, the sales cycle is attached by row
+    position, and the trailing total row of each file is dropped. A file is left out
+    whole and listed in the second frame with the reason if it has an unreadable row, no
+    partner on the other side, or not exactly one staff row.
+
+    The list of sales cycles is that of the one file in ``groups_path``, or with
+    ``own_groups`` the one with the path of the person's file.
     """
 
     def read(path, schema):
@@ -102,19 +124,33 @@ def load_timesheets(spark: SparkSession, log_path, staff_path, groups_path, log_
                      mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
             .csv(path)
         )
-        raw = keep(raw.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_seq")))
+        inside = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]*:?/*", "/")
+        root = F.lit("/" + re.sub("^[a-z0-9]*:?/*", "", str(path)).rstrip("/") + "/")
+        file = F.when(F.startswith(inside, root), F.substring(inside, F.length(root) + 1, F.length(inside))).otherwise(F.col("_metadata.file_name"))
+        raw = keep(raw.select("*", file.alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_seq")))
         cells = [F.col(c) for c in _struct(schema).fieldNames()]
         tidy = [F.when(c == "None", "0").otherwise(F.regexp_replace(c, ",", " ")).alias(n) for c, n in zip(cells, _struct(schema).fieldNames())]
         return raw.select(*tidy, CORRUPT, "file", "_at", "_seq")
 
-    logs, staff = read(log_path, log_schema), read(staff_path, staff_schema)
-    failures = logs.unionByName(staff, allowMissingColumns=True).groupBy("file").agg(F.count(CORRUPT).alias("bad_rows")).where(F.col("bad_rows") > 0)
+    logs, staff, groups = read(log_path, log_schema), read(staff_path, staff_schema), read(groups_path, "sales_cycle string")
+    if not own_groups and groups.select("file").distinct().limit(2).count() > 1:
+        raise ValueError("more than one file of sales cycles; own_groups attaches each to the file of its name")
+    per_file = lambda df: df.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.count(CORRUPT).alias("bad"))
+    both = per_file(logs).withColumnsRenamed({"rows": "log_rows", "bad": "log_bad"}).join(per_file(staff), "file", "full")
+    bad = F.coalesce("log_bad", F.lit(0)) + F.coalesce("bad", F.lit(0))
+    reason = (
+        F.when(bad > 0, "unreadable rows")
+        .when(F.col("log_rows").isNull(), "no log file")
+        .when(F.col("rows").isNull(), "no staff file")
+        .when(F.col("rows") != 1, "more than one staff row")
+    )
+    failures = both.select("file", bad.alias("bad_rows"), reason.alias("reason")).where(F.col("reason").isNotNull())
     # a file is one person's sheet, so its rows are few
     position = F.row_number().over(W.partitionBy("file").orderBy("_at", "_seq"))
     length = F.count(F.lit(1)).over(W.partitionBy("file"))
     placed = logs.withColumn("_pos", position).withColumn("_len", length).where(F.col("_pos") < F.col("_len"))
-    groups = read(groups_path, "sales_cycle string")
-    cycles = groups.select(F.row_number().over(W.partitionBy("file").orderBy("_at", "_seq")).alias("_pos"), "sales_cycle")
+    cycles = groups.select("file", position.alias("_pos"), "sales_cycle")
     good = placed.join(failures, "file", "left_anti")
-    joined = good.join(cycles, "_pos", "left").join(staff.drop(CORRUPT, "_at", "_seq"), "file")
+    joined = good.join(cycles, ["file", "_pos"], "left") if own_groups else good.join(cycles.drop("file"), "_pos", "left")
+    joined = joined.join(staff.drop(CORRUPT, "_at", "_seq"), "file")
     return joined.drop("_pos", "_len", "_at", "_seq", CORRUPT), failures

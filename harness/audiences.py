@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from airtally.operators import audiences as au
 from airtally.operators import rows
-from airtally.sources.files import split_param
 
 from .registry import query
 
@@ -16,8 +15,7 @@ EXCLUDED_SQL = " OR ".join(f"array_to_string(genres, '|') ILIKE '{x}'" for x in
 
 @query("pattern_match", "", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RING%' OR p_name ILIKE 'small%'")
 def pattern_match(t):
-    patterns = split_param(t.spark, "%RING%, small%", name="pattern")
-    return rows.match_any_pattern(t.table("part"), "p_name", patterns).select("p_partkey", "p_name")
+    return rows.match_any_pattern(t.table("part"), "p_name", ["%RING%", "small%"]).select("p_partkey", "p_name")
 
 
 @query("exclude_patterns", "programs", f"SELECT program_id, array_to_string(list_sort(genres), '|') AS genres FROM programs WHERE NOT ({EXCLUDED_SQL})")
@@ -52,9 +50,8 @@ SELECT DISTINCT u.device_id, u.profile_id FROM exposures e JOIN usage_in u ON u.
 WHERE u.profile_id IN (SELECT profile_id FROM watched) AND u.profile_id IN (SELECT c_custkey FROM customer WHERE c_nationkey BETWEEN 3 AND 20)""",
 )
 def content_audience(t):
-    patterns = split_param(t.spark, "%ring%, SMALL%", name="pattern")
     content = t.content().where(F.col("content_type") != "OTT_AD")
-    watched = au.watched_titles(content, t.titles(), t.programs(), patterns, season=2)
+    watched = au.watched_titles(content, t.titles(), t.programs(), ["%ring%", "SMALL%"], season=2)
     sets = t.table("customer").select(F.col("c_custkey").alias("profile_id"), F.col("c_nationkey").alias("model_year"))
     return au.content_audience(t.exposures(), t.usage_in(), watched, au.model_years(sets, 3, 20))
 

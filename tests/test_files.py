@@ -70,6 +70,59 @@ def test_timesheets(spark):
     assert rows(failed, "file") == [("bob.csv",)]
 
 
+def test_timesheets_of_two_folders(spark):
+    """Files are told apart by their path, not by their base name."""
+    sheet = "category,task,d1,total\n{0},One,1,1\n{0},Two,2,2\nTotal,,3,3\n"
+    path = folder(
+        {
+            "log/t1/ann.csv": sheet.format("Plan"), "log/t2/ann.csv": sheet.format("Call"), "log/t3/odd.csv": sheet.format("Odd"),
+            "staff/t1/ann.csv": "name,department\nAnn,Sales\n", "staff/t2/ann.csv": "name,department\nAnna,Care\n",
+            "staff/t4/two.csv": "name,department\nTwo,Care\n", "groups/t1/ann.csv": "sales_cycle\nPre Sales\nPost Sales\n", "groups/t2/ann.csv": "sales_cycle\nPost Sales\nOther\n",
+        }
+    )
+    schemas = "category string, task string, d1 string, total string", "name string, department string"
+    table, failed = f.load_timesheets(spark, f"{path}/log", f"{path}/staff", f"{path}/groups", *schemas, own_groups=True)
+    assert rows(table, "name", "category", "task", "sales_cycle") == [
+        ("Ann", "Plan", "One", "Pre Sales"), ("Ann", "Plan", "Two", "Post Sales"), ("Anna", "Call", "One", "Post Sales"), ("Anna", "Call", "Two", "Other"),
+    ]
+    assert rows(failed, "file", "reason") == [("t3/odd.csv", "no staff file"), ("t4/two.csv", "no log file")]
+    with pytest.raises(ValueError, match="more than one file of sales cycles"):
+        f.load_timesheets(spark, f"{path}/log", f"{path}/staff", f"{path}/groups", *schemas)
+
+
+def test_mapping_keeps_line_breaks_and_returns_rejects(spark):
+    path = folder({"m.csv": 'id,name\n1,"x\ny"\n2,z\nno number,w\n'})
+    good, bad = f.read_mapping_with_rejects(spark, path, "id int, name string", max_errors=1)
+    assert rows(good) == [(1, "x\ny"), (2, "z")]
+    assert [r.text for r in bad.collect()] == ["no number,w"]
+
+
+def test_report_files_lose_nothing(spark):
+    """A session that limits the size of files, and a rerun with fewer rows."""
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    name = lambda i: f"r_{i:03d}.csv"
+    df = spark.range(100).select("id", F.lit("x").alias("text"))
+    args = ("id",), ("id", "text"), date(2024, 1, 15)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 20)
+    try:
+        written = r.write_report(df, root, name, *args, max_rows=50)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert [len(read_lines(p)) - 1 for p in written] == [50, 50]
+    assert sorted(x for p in written for x in read_lines(p)[1:]) == sorted(f"{i},x" for i in range(100))
+    again = r.write_report(df.where("id < 40"), root, name, *args, max_rows=50)
+    assert len(again) == 1 and sorted(x for x in os.listdir(root) if not x.startswith(".")) == ["r_001.csv"]
+
+
+def test_delivery_copies_finished_files(spark):
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    where = r.Destinations(f"{root}/out", f"{root}/abroad", f"{root}/copies", f"{root}/abroad_copies", receipts="Y")
+    df = spark.range(5).select("id")
+    written = r.deliver(df, where, "US", lambda i: f"d_{i}.csv", ("id",), ("id",), date(2024, 1, 15), max_rows=3)
+    assert [p.replace("file:", "").removeprefix(root) for p in written] == ["/out/d_1.csv", "/out/d_2.csv", "/copies/d_1.csv", "/copies/d_2.csv"]
+    assert read_lines(written[1]) == read_lines(written[3])
+
+
 def test_numbering_is_total_and_chunked(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.lit("x").alias("g")).repartition(5)
     got = {x.v: x.row_num for x in number_rows(df, ("g", "v")).collect()}
