@@ -122,7 +122,8 @@ class Index:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key that the shard has, else -1."""
         slots = self.table.slots(keys)
-        slots[(slots >= 0) & (self.keys[slots] != keys)] = -1
+        own = np.flatnonzero(slots >= 0)
+        slots[own[self.keys[slots[own]] != keys[own]]] = -1
         return slots
 
 

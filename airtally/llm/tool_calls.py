@@ -68,22 +68,24 @@ def ordered(calls: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     while True:
         # nulls first, as in the order of a sort
         at = F.struct(F.coalesce("placed_turn", F.lit(-(2**63))).alias("t"), F.col("step").alias("s"))
-        needed = state.where("NOT cyclic").select(F.col("conv_id").alias("c"), F.col("call_id").alias("need"), F.struct(at["t"].alias("t"), (at["s"] + 1).alias("s")).alias("after"))
-        latest = edges.join(needed, edges["conv_id"].eqNullSafe(needed["c"]) & (edges["need"] == needed["need"])).groupBy(*KEY).agg(F.max("after").alias("after"))
-        moved = state.join(latest, same(state, latest, *KEY), "left").select(*(state[c] for c in state.columns), at.alias("at"), F.when(~state["cyclic"], latest["after"]).alias("after"))
+        needed = state.select(F.col("conv_id").alias("c"), F.col("call_id").alias("need"), F.when(~F.col("cyclic"), F.struct(at["t"].alias("t"), (at["s"] + 1).alias("s"))).alias("after"), F.col("cyclic").alias("behind"))
+        latest = edges.join(needed, edges["conv_id"].eqNullSafe(needed["c"]) & (edges["need"] == needed["need"])).groupBy(*KEY).agg(F.max("after").alias("after"), F.max("behind").alias("behind"))
+        moved = state.join(latest, same(state, latest, *KEY), "left").select(
+            *(state[c] for c in state.columns), at.alias("at"), F.when(~state["cyclic"], latest["after"]).alias("after"), (~state["cyclic"] & F.coalesce(latest["behind"], F.lit(False))).alias("behind")
+        )
         moved = moved.withColumn("late", (F.col("after")["t"] > F.col("at")["t"]) | ((F.col("after")["t"] == F.col("at")["t"]) & (F.col("after")["s"] > F.col("at")["s"])))
         moved = materialize(moved.withColumn("late", F.coalesce("late", F.lit(False))), "moved")
-        if not moved.agg(F.count_if("late")).first()[0]:
+        if not moved.agg(F.count_if(F.col("late") | F.col("behind"))).first()[0]:
             return state, [edges]
         new = moved.select(
             *KEY, "turn",
             F.when(F.col("late"), F.nullif(F.col("after")["t"], F.lit(-(2**63)))).otherwise(F.col("placed_turn")).alias("placed_turn"),
-            F.when(F.col("late"), F.col("after")["s"]).otherwise(F.col("step")).alias("step"), "cyclic",
+            F.when(F.col("late"), F.col("after")["s"]).otherwise(F.col("step")).alias("step"), (F.col("cyclic") | F.col("behind")).alias("cyclic"), "behind",
         )
         new = materialize(new, "places")
         # steps are counted by calls that wait for others, so more steps than such calls mean a cycle
         waiting = new.groupBy(F.col("conv_id").alias("c")).agg(F.count_if(F.col("step") > 0).alias("most"), F.max("step").alias("top")).where("top > most")
-        cyclic = F.coalesce(F.col("step") > F.col("most"), F.lit(False))
+        cyclic = F.col("behind") | F.coalesce(F.col("step") > F.col("most"), F.lit(False))
         marked = new.join(waiting, new["conv_id"].eqNullSafe(waiting["c"]), "left").select(
             *KEY, "turn", F.when(cyclic, F.col("turn")).otherwise(F.col("placed_turn")).alias("placed_turn"),
             F.when(cyclic, F.lit(0)).otherwise(F.col("step")).alias("step"), (F.col("cyclic") | cyclic).alias("cyclic"),
