@@ -249,11 +249,13 @@ def slices(values: pa.StringArray | pa.BinaryArray, most: int = SLICE_BYTES) ->
         start = end
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", piece_chars: int = PIECE_CHARS) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", piece_chars: int = PIECE_CHARS, decoded: bool = False) -> DataFrame:
     """``doc_id`` and ``ids`` (packed) of every text; ``tokenizer`` is a path that executors can read.
 
     Texts above ``piece_chars`` are shuffled as pieces, all others are encoded where they are read.
+    With ``decoded``, the task that has a text's ids also decodes them, as :func:`decode` does.
     """
+    schema = "doc_id long, ids binary" + ", decoded string" * decoded
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     long = F.length("text") > piece_chars
 
@@ -261,8 +263,10 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         own = encoder(tokenizer)
         for batch in batches:
             for start, end in slices(batch.column("text")):
-                ids = own.encode(batch.column("text").slice(start, end - start))
-                yield pa.record_batch([batch.column("doc_id").slice(start, end - start), ids], ["doc_id", "ids"])
+                columns = [batch.column("doc_id").slice(start, end - start), own.encode(batch.column("text").slice(start, end - start))]
+                if decoded:
+                    columns.append(pa.array([own.decode(x.as_py()) for x in columns[1]], pa.string()))
+                yield pa.record_batch(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         special = encoder(tokenizer).special
@@ -287,10 +291,12 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         copies = int((rows["piece"] == 0).sum())
         rows = rows.drop_duplicates("piece").sort_values("piece")
         pieces = [Tokens(r.text, np.frombuffer(r.ids, "<u4"), np.frombuffer(r.starts, "<i8"), np.frombuffer(r.ends, "<i8")) for r in rows.itertuples()]
-        ids = join_all(encoder(tokenizer), pieces).ids.astype("<u4").tobytes()
-        return pd.DataFrame({"doc_id": pd.array([rows["doc_id"].iloc[0]] * copies, "Int64"), "ids": [ids] * copies})
+        own = encoder(tokenizer)
+        ids = join_all(own, pieces).ids.astype("<u4").tobytes()
+        out = pd.DataFrame({"doc_id": pd.array([rows["doc_id"].iloc[0]] * copies, "Int64"), "ids": [ids] * copies})
+        return out.assign(decoded=own.decode(ids)) if decoded else out
 
-    short = rows.where(~long).mapInArrow(short_ids, "doc_id long, ids binary")
+    short = rows.where(~long).mapInArrow(short_ids, schema)
     pieces = (
         rows.where(long)
         .withColumn("digest", F.md5("text"))
@@ -298,7 +304,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         .repartition("doc_id", "digest", "piece")
         .mapInPandas(piece_ids, "doc_id long, digest string, piece int, text string, ids binary, starts binary, ends binary")
     )
-    return short.unionByName(pieces.groupBy("doc_id", "digest").applyInPandas(joined, "doc_id long, ids binary"))
+    return short.unionByName(pieces.groupBy("doc_id", "digest").applyInPandas(joined, schema))
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
@@ -319,7 +325,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFram
 
 def round_trip(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Sizes and digests of ids and of the decoded text of every document."""
-    return decode(encode(docs, tokenizer, **options), tokenizer).select(
+    return encode(docs, tokenizer, decoded=True, **options).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

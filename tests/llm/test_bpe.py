@@ -57,6 +57,8 @@ def test_round_trip(spark, library):
     expected = [wanted(i if i != 3 else None, t) for i, t in enumerate(texts)] + [wanted(5, texts[5])]
     assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
     assert bpe.round_trip(docs.limit(0), word_bpe()).count() == 0
+    apart = bpe.decode(bpe.encode(docs, word_bpe(), piece_chars=100), word_bpe()).collect()
+    assert sorted(hashlib.sha256(r.decoded.encode()).hexdigest() for r in apart) == sorted(e[3] for e in expected)
 
 
 def test_other_tokenizers_get_whole_texts(spark):
