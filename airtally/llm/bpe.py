@@ -45,7 +45,7 @@ SLICE_BYTES = 3_000_000
 #: Words that are encoded as one text.
 TOGETHER = 2_000
 #: Words a worker remembers at most; it forgets all and starts again beyond that.
-REMEMBERED = 350_000
+REMEMBERED = 500_000
 FIRST_WINDOW = 64
 
 _ENCODERS: dict[str, Encoder] = {}
