@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
 
     wanted = classes.join(candidates, "cls", "left_semi").select(F.col("first").alias("doc_id"))
     sets = rows.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(full_sets, "cls binary, shingles binary")
-    sets = materialize(sets.dropDuplicates(["cls"]), "sets")
+    sets = materialize(sets.dropDuplicates(["cls"]).join(classes.select("cls", "bands", "sig"), "cls"), "sets")
 
     # the best of the pivots that a class shares a bucket with
     stars = members.where("cls != pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
@@ -277,13 +277,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
 
     whole = whole.select("key", F.col("main.root").alias("main"), chunks(F.col("main.c"), F.col("main.s")).alias("own"), chunks(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")).alias("rest"))
     is_main, deal, every = F.col("root") == F.col("main"), F.xxhash64("cls"), F.col("own") + F.col("rest") - 1
+    # what a class is compared by is joined once for each bucket, before it is dealt to cells
     grid = (
         crowded.join(whole, "key")
+        .join(sets, "cls")
         .withColumn("chunk", F.when(is_main, F.pmod(deal, "own")).otherwise(F.col("own") + F.pmod(deal, "rest")).cast("int"))
         .withColumn("other", F.explode(F.when(is_main, F.sequence("own", every)).otherwise(F.sequence(F.lit(0), every))))
-        .select("key", "cls", "root", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-        .join(classes.select("cls", "bands", "sig"), "cls")
-        .join(sets, "cls")
+        .select("key", "cls", "root", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "bands", "sig", "shingles")
     )
     large = grid.groupBy("key", "i", "j").applyInPandas(cell_links(similarity, n), "a binary, b binary")
 
