@@ -24,25 +24,25 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_num") -> DataFrame:
-    """1..n in the given total order.
+    """1..n in the given total order, with one shuffle.
 
-    Rows are range-partitioned by the order, counted per range, and numbered within
-    their range on top of the counts of the ranges before. Range bounds are sampled, so
-    the ranges are checkpointed: counting and numbering must see the same ones, also
-    after an executor is lost.
+    Rows are range-partitioned and sorted; a row's number is its place within its range
+    on top of the counts of the ranges before. Range bounds are sampled, so the sorted
+    ranges are checkpointed with their places: counting and numbering must see the same
+    ones, also after an executor is lost.
     """
     use_checkpoint_dir(df.sparkSession)
-    # Spark's range exchange sorts nulls first, as the window below does
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    # ids count up from 0 within a partition, whose number is in the bits above the 33rd
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    ranged = placed.withColumn("_range", F.shiftright("_id", 33))
     per_range = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_range.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     # one row per range: at most the number of shuffle partitions
-    within = F.row_number().over(W.partitionBy("_range").orderBy(*order))
     return (
         ranged.join(F.broadcast(offsets), "_range")
-        .withColumn(name, (within + F.col("_offset")).cast("bigint"))
-        .drop("_range", "_offset")
+        .withColumn(name, F.col("_id").bitwiseAND((1 << 33) - 1) + F.col("_offset") + 1)
+        .drop("_range", "_offset", "_id")
     )
 
 
