@@ -41,11 +41,11 @@ from pyspark.sql import functions as F
 
 PIECE_CHARS = 65_536
 #: Bytes of text that are handled at a time in a task, besides a longer single text.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 2_000_000
 #: Words that are encoded as one text.
 TOGETHER = 2_000
 #: Words a worker remembers at most; it forgets all and starts again beyond that.
-REMEMBERED = 500_000
+REMEMBERED = 350_000
 FIRST_WINDOW = 64
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -62,7 +62,9 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.by_word = drops_white_space(json.loads(self.tokenizer.to_str()))
+        # only these two parts are described; the whole tokenizer as JSON takes much more memory
+        parts = {name: getattr(self.tokenizer, name) for name in ("normalizer", "pre_tokenizer")}
+        self.by_word = drops_white_space({name: json.loads(part.__getstate__()) for name, part in parts.items() if part is not None})
         self.known: dict[str, bytes] = {}
         self.again: set[str] = set()
 
@@ -267,6 +269,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 if decoded:
                     columns.append(pa.array([own.decode(x.as_py()) for x in columns[1]], pa.string()))
                 yield pa.record_batch(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+                del columns
+                pa.default_memory_pool().release_unused()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         special = encoder(tokenizer).special
