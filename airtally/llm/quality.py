@@ -2,15 +2,18 @@
 
 Two classifiers look at different sides of a document: one at its text, one at its metadata
 (language, source, length as recorded). Both are logistic regressions, first fitted on the same
-labelled rows. In each round, each of them labels the documents of an unlabelled pool about which
-its calibrated probability is confident, and the other one learns from these besides the labelled
-rows. In the end both are calibrated on labelled rows that no fit has used, and a third regression
-on the two calibrated log-odds gives the score of every document.
-
-Fitting uses a bounded sample: at most ``labelled_rows`` labelled documents and ``pool_rows``
-unlabelled ones, those with the smallest hash of ``doc_id``. Their features, some 2 kB a row, are
-made in tasks and fitted on the driver, so what the driver holds does not grow with the tables.
-Scoring is one pass over all documents where they are read, without a shuffle.
+labelled rows. In each round, each of them labels all unlabelled documents about which its
+calibrated probability is confident, and the other one learns from these besides the labelled
+rows; what a document was first labelled stays. In the end both are calibrated on labelled rows that
+no fit has used, and a third regression on the two calibrated log-odds gives the score of every
+document.
+
+Labels are a bounded sample: at most ``labelled_rows`` labelled documents, those with the smallest
+hash of ``doc_id``, whose features, some 2 kB a row, are fitted on the driver. All other rows are
+the unlabelled documents. Their features are written to shared storage once; each step of Newton's
+method adds up their gradient and Hessian in tasks, then over groups of tasks, so the driver gets
+some 0.6 MB for each group. Scoring is one pass over all documents where they are read, without a
+shuffle.
 
 Defined cases: null texts are empty, a null language or source is a value of its own, a null
 length is 0; labels that repeat a ``doc_id`` count by their mean, null ones not at all; rows that
@@ -21,17 +24,21 @@ empty tables; other columns are kept as they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LABELLED_ROWS, POOL_ROWS = 6_000, 4_000
-ROUNDS, CONFIDENT, ADDED = 3, 0.97, 400
+from .shared import discard, materialize
+
+LABELLED_ROWS = 6_000
+ROUNDS, CONFIDENT = 3, 0.97
 SHAPES, WORDS, STATS, META = 96, 256, 14, 160
 REMEMBERED = 400_000
 SEED = 11
@@ -124,6 +131,26 @@ class Logistic:
                 break
         return cls(mean, scale, w)
 
+    def sums(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Gradient and upper triangle of the Hessian of some rows, without the penalty."""
+        z = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
+        p = sigmoid(z @ self.weights)
+        gradient = z.T @ (p - y)
+        z *= np.sqrt(p * (1 - p) + 1e-6)[:, None]
+        return np.concatenate([gradient, (z.T @ z)[np.triu_indices(z.shape[1])]])
+
+    def step(self, sums: np.ndarray, ridge: float) -> float:
+        """Take the step of Newton's method that follows from added sums; how far it went."""
+        n = len(self.weights)
+        penalty = np.full(n, ridge)
+        penalty[-1] = 1e-6
+        hessian = np.zeros((n, n))
+        hessian[np.triu_indices(n)] = sums[n:]
+        hessian += np.triu(hessian, 1).T
+        step = np.linalg.solve(hessian + np.diag(penalty), sums[:n] + penalty * self.weights)
+        self.weights = self.weights - step
+        return float(np.abs(step).max())
+
     def odds(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of good quality."""
         return ((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
@@ -146,31 +173,72 @@ class Model:
         return sigmoid(both[0]), sigmoid(both[1]), sigmoid(self.combined.odds(np.column_stack(both)))
 
 
-def co_train(xs: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, confident: float = CONFIDENT) -> Model:
-    """Fit both views, each on the labels and on what the other one is sure of in the pool."""
+def taught(models: list[Model], xs: list[np.ndarray], view: int, confident: float) -> np.ndarray:
+    """What the other view tells this one of unlabelled documents: the first label of which it was sure, NaN if none."""
+    out = np.full(len(xs[0]), np.nan)
+    for model in models:
+        p = sigmoid(model.calibrated(1 - view, xs[1 - view]))
+        out[np.isnan(out) & (p >= confident)] = 1.0
+        out[np.isnan(out) & (1 - p >= confident)] = 0.0
+    return out
+
+
+#: Adds up what a function gives for blocks of the features of unlabelled documents, 0 without any.
+Total = Callable[[Callable[[list[np.ndarray]], np.ndarray]], np.ndarray]
+
+
+def fit_views(xs: list[np.ndarray], y: np.ndarray, total: Total, models: list[Model], confident: float, ridge: list[float]) -> list[Logistic]:
+    """Both views, from labelled rows and from all unlabelled documents of which the other one was sure."""
+    xs = [x.astype(np.float64) for x in xs]
+    if not models:
+        return [Logistic.fit(x, y, r) for x, r in zip(xs, ridge, strict=True)]
+
+    def own(block: list[np.ndarray], view: int) -> tuple[np.ndarray, np.ndarray]:
+        labels = taught(models, block, view, confident)
+        sure = ~np.isnan(labels)
+        return block[view][sure].astype(np.float64), labels[sure]
+
+    def moments(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+        return np.concatenate([[len(x)], (x - centre).sum(axis=0), ((x - centre) ** 2).sum(axis=0)])
+
+    centres = [x.mean(axis=0) for x in xs]
+    added = np.concatenate([moments(*c) for c in zip(xs, centres, strict=True)])
+    added = added + total(lambda block: np.concatenate([moments(own(block, i)[0], c) for i, c in enumerate(centres)]))
+    views, start = [], 0
+    for centre in centres:
+        n, k = added[start], len(centre)
+        shift, square = added[start + 1 : start + 1 + k] / n, added[start + 1 + k : start + 1 + 2 * k] / n
+        scale = np.sqrt(np.maximum(square - shift**2, 0))
+        scale[scale < 1e-6] = np.inf  # constant features say nothing
+        views.append(Logistic(centre + shift, scale, np.zeros(k + 1)))
+        start += 1 + 2 * k
+    moving = [0, 1]
+    for _ in range(12):
+        added = np.concatenate([views[i].sums(xs[i], y) for i in moving])
+        added = added + total(lambda block, at=tuple(moving): np.concatenate([views[i].sums(*own(block, i)) for i in at]))
+        parts = np.split(added, np.cumsum([len(views[i].weights) * (len(views[i].weights) + 3) // 2 for i in moving])[:-1])
+        moving = [i for i, part in zip(moving, parts, strict=True) if views[i].step(part, ridge[i]) >= 1e-3]
+        if not moving:
+            break
+    return views
+
+
+def co_train(xs: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray] | Total, rounds: int = ROUNDS, confident: float = CONFIDENT) -> Model:
+    """Fit both views, each on the labels and on what the other one is sure of in the pool, which is
+    the features of unlabelled documents or a function that adds up over them."""
+    total = pool if callable(pool) else lambda f: f(pool)
     held = np.arange(len(y)) % 4 == 3
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), dtype=bool)  # too few labels to keep some back
     fold = held if held.any() else ~held
-    added: list[dict[int, float]] = [{}, {}]
-    ridge = [3.0, 10.0]
+    models: list[Model] = []
     while True:
-        views, calibrations = [], []
-        for i, x in enumerate(xs):
-            own = np.array(sorted(added[i]), dtype=np.int64)
-            labels = np.concatenate([y[~held], [added[i][k] for k in own.tolist()]])
-            views.append(Logistic.fit(np.concatenate([x[~held], pool[i][own]]), labels, ridge[i]))
-            calibrations.append(Logistic.fit(np.clip(views[i].odds(x[fold]), -30, 30)[:, None], y[fold], 1.0))
+        views = fit_views([x[~held] for x in xs], y[~held], total, models, confident, [3.0, 10.0])
+        calibrations = [Logistic.fit(np.clip(v.odds(x[fold]), -30, 30)[:, None], y[fold], 1.0) for v, x in zip(views, xs, strict=True)]
         both = [c.odds(np.clip(v.odds(x[fold]), -30, 30)[:, None]) for c, v, x in zip(calibrations, views, xs, strict=True)]
-        model = Model(views, calibrations, Logistic.fit(np.column_stack(both), y[fold], 1.0))
-        if rounds == 0 or not len(pool[0]):
-            return model
-        rounds -= 1
-        for i in (0, 1):
-            p = sigmoid(model.calibrated(i, pool[i]))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                fresh = [k for k in np.argsort(-sure, kind="stable").tolist() if sure[k] >= confident and k not in added[1 - i]]
-                added[1 - i] |= dict.fromkeys(fresh[:ADDED], label)
+        models.append(Model(views, calibrations, Logistic.fit(np.column_stack(both), y[fold], 1.0)))
+        if len(models) > rounds:
+            return models[-1]
 
 
 def inputs(docs: DataFrame, text_col: str, lang_col: str, source_col: str, chars_col: str) -> list[Column]:
@@ -185,7 +253,39 @@ def featured(batch: pd.DataFrame) -> list[np.ndarray]:
     return [np.stack(text), np.stack(meta)]
 
 
-def fit(rows: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS) -> Model | float:
+def matrices(text: list[bytes], meta: list[bytes]) -> list[np.ndarray]:
+    widths = ((text, SHAPES + WORDS + STATS), (meta, META))
+    return [np.frombuffer(b"".join(packed), dtype=np.float32).reshape(-1, width) for packed, width in widths]
+
+
+def summed(features: DataFrame) -> Total:
+    """Sums over all rows of ``text`` and ``meta``: in each task, then over groups of tasks, in the order of tasks."""
+    groups = math.isqrt(max(1, features.rdd.getNumPartitions()))
+    schema = "part int, sums binary"
+
+    def total(f: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray:
+        def of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = None
+            for batch in batches:
+                for start in range(0, len(batch), 1000):
+                    part = batch.iloc[start : start + 1000]
+                    sums = f(matrices(part["text"].tolist(), part["meta"].tolist()))
+                    out = sums if out is None else out + sums
+            if out is not None:
+                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "sums": [out.tobytes()]})
+
+        def of_group(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("part")
+            out = sum(np.frombuffer(x, dtype=np.float64) for x in rows["sums"])
+            return pd.DataFrame({"part": rows["part"].iloc[:1], "sums": [out.tobytes()]})
+
+        found = features.mapInPandas(of_task, schema).groupBy(F.pmod("part", F.lit(groups))).applyInPandas(of_group, schema).collect()
+        return sum((np.frombuffer(r["sums"], dtype=np.float64) for r in sorted(found, key=lambda r: r["part"])), np.float64(0))
+
+    return total
+
+
+def fit(rows: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS) -> Model | float:
     """A model for rows of ``doc_id`` and :func:`inputs`, or the mean label where there is nothing to tell apart."""
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,25 +295,28 @@ def fit(rows: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS,
                 text, meta = featured(part)
                 yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "text": [x.tobytes() for x in text], "meta": [x.tobytes() for x in meta]})
 
+    schema = "doc_id long, y double, text binary, meta binary"
     order = F.xxhash64("doc_id", F.lit(SEED))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("q"))
     known = known.where("doc_id IS NOT NULL AND q IS NOT NULL").groupBy("doc_id").agg((F.avg("q") >= 0.5).cast("double").alias("y"))
     marked = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(labelled_rows)
-    ids = rows.where("doc_id IS NOT NULL").select("doc_id").distinct().join(known, "doc_id", "left_anti")
-    pool = ids.orderBy(order, "doc_id").limit(pool_rows).withColumn("y", F.lit(None).cast("double"))
-    # both samples are limited, so the broadcast is
-    sample = rows.join(F.broadcast(marked.union(pool)), "doc_id").mapInPandas(features, "doc_id long, y double, text binary, meta binary")
+    spark = rows.sparkSession
+    # limited, so the broadcasts are
+    marked = F.broadcast(spark.createDataFrame(marked.collect() if labelled_rows else [], "doc_id long, y double"))
+    sample = rows.join(marked, "doc_id").mapInPandas(features, schema)
     found = {r["doc_id"]: r for r in sample.collect()} if labelled_rows else {}
     own = [found[k] for k in sorted(found, key=lambda k: (xxhash.xxh3_64_intdigest(str(k)), k))]
-    y = np.array([r["y"] for r in own if r["y"] is not None])
+    y = np.array([r["y"] for r in own])
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 1.0
-
-    def matrix(marked: bool, view: str) -> np.ndarray:
-        width = SHAPES + WORDS + STATS if view == "text" else META
-        return np.frombuffer(b"".join(r[view] for r in own if (r["y"] is not None) == marked), dtype=np.float32).reshape(-1, width)
-
-    return co_train([matrix(True, v) for v in ("text", "meta")], y, [matrix(False, v) for v in ("text", "meta")], rounds)
+    xs = matrices([r["text"] for r in own], [r["meta"] for r in own])
+    if not rounds:
+        return co_train(xs, y, [x[:0] for x in xs], 0)
+    others = rows.join(marked, "doc_id", "left_anti").withColumn("y", F.lit(None).cast("double"))
+    others = materialize(others.mapInPandas(features, schema).select("text", "meta"), "features")
+    model = co_train(xs, y, summed(others), rounds)
+    discard(others)
+    return model
 
 
 def scores_of(model: Model | float, threshold: float):
@@ -242,7 +345,7 @@ def classify(
     text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", **sizes: int,
 ) -> DataFrame:
     """All rows and columns of ``docs`` and a struct column ``name`` with ``text_score``, ``meta_score``,
-    ``score`` and ``kept``. ``sizes`` are the bounds of the samples and the number of rounds."""
+    ``score`` and ``kept``. ``sizes`` are the bound of the labelled sample and the number of rounds."""
     seen = inputs(docs, text_col, lang_col, source_col, chars_col)
     model = fit(docs.select(docs[id_col].cast("long").alias("doc_id"), *seen), labels, **sizes)
     return docs.withColumn(name, scores_of(model, threshold)(*seen))

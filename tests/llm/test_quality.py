@@ -29,6 +29,43 @@ def test_views_teach_each_other():
     assert accuracy[2] > 0.9 and accuracy[2] >= max(accuracy[:2]) - 0.01
 
 
+def test_all_unlabelled_documents_teach(monkeypatch, spark):
+    """Each round adds up over every row that is not in the labelled sample, null ids too."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet").limit(60)
+    docs = docs.union(docs.where("doc_id % 7 = 0").withColumn("doc_id", F.lit(None).cast("long"))).union(docs.withColumn("doc_id", F.col("doc_id") + 10**9)).union(docs.withColumn("doc_id", F.col("doc_id") + 10**10))
+    docs = docs.union(docs.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id") + 10**11))
+    seen = []
+
+    def co_train(xs, y, pool, *rest):
+        seen.append((len(y), int(pool(lambda block: np.array([float(len(block[0]))]))[0])))
+        return quality_co_train(xs, y, pool, *rest)
+
+    quality_co_train = quality.co_train
+    monkeypatch.setattr(quality, "co_train", co_train)
+    assert quality.classify(docs, labels).count() == docs.count()
+    [(labelled, pool)] = seen
+    assert labelled + pool == docs.count() and pool > 4000
+
+
+def test_sums_over_blocks_fit_like_one_block():
+    """What is added up block by block gives the weights of a fit on all sure documents at once."""
+    rnd = np.random.default_rng(3)
+    y = rnd.integers(0, 2, 4000).astype(float)
+    views = [y[:, None] * 3 + rnd.normal(size=(4000, 4)) * [[1, 1, 0.5, 0]] for _ in range(2)]
+    pool = [v[300:] for v in views]
+    total = lambda f: sum(f([p[a : a + 500] for p in pool]) for a in range(0, 3700, 500))
+    labelled = [v[:300] for v in views]
+    first = quality.co_train(labelled, y[:300], total, 0)
+    got = quality.co_train(labelled, y[:300], total, 1)
+    fitted = np.arange(300) % 4 != 3
+    for i in (0, 1):
+        given = quality.taught([first], pool, i, quality.CONFIDENT)
+        sure = ~np.isnan(given)
+        assert sure.sum() > 800
+        wanted = quality.Logistic.fit(np.concatenate([labelled[i][fitted], pool[i][sure]]), np.concatenate([y[:300][fitted], given[sure]]), [3.0, 10.0][i])
+        assert np.allclose(got.views[i].odds(pool[i]), wanted.odds(pool[i]), atol=1e-3)
+
+
 def test_odd_rows_and_no_labels(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "word " * 30000, "en", None, -5), (3, "fine words here.", "xx", "t", 10**12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit("mine"))
