@@ -16,8 +16,9 @@ some 0.6 MB for each group. Scoring is one pass over all documents where they ar
 shuffle.
 
 Defined cases: null texts are empty, a null language or source is a value of its own, a null
-length is 0; labels that repeat a ``doc_id`` count by their mean, null ones not at all; rows that
-repeat a ``doc_id`` are scored each; without labels of both kinds nothing can be told apart, so
+length is 0; labels that repeat a ``doc_id`` count by their mean, null ones not at all; of rows that
+repeat a labelled ``doc_id``, the one with the smallest digest is fitted; rows that repeat a
+``doc_id`` are scored each; without labels of both kinds nothing can be told apart, so
 every document gets the mean label as score, 1 if there is none, and is kept; empty tables give
 empty tables; other columns are kept as they are.
 """
@@ -303,7 +304,10 @@ def fit(rows: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS,
     spark = rows.sparkSession
     # limited, so the broadcasts are
     marked = F.broadcast(spark.createDataFrame(marked.collect() if labelled_rows else [], "doc_id long, y double"))
-    sample = rows.join(marked, "doc_id").mapInPandas(features, schema)
+    content = [c for c in rows.columns if c != "doc_id"]
+    # a row for each id, whatever the order of rows
+    sample = rows.join(marked, "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min(F.struct(F.xxhash64(*content).alias("digest"), *content)).alias("row"))
+    sample = sample.select("doc_id", "y", *(F.col("row")[c].alias(c) for c in content)).mapInPandas(features, schema)
     found = {r["doc_id"]: r for r in sample.collect()} if labelled_rows else {}
     own = [found[k] for k in sorted(found, key=lambda k: (xxhash.xxh3_64_intdigest(str(k)), k))]
     y = np.array([r["y"] for r in own])

@@ -47,6 +47,18 @@ def test_all_unlabelled_documents_teach(monkeypatch, spark):
     assert labelled + pool == docs.count() and pool > 4000
 
 
+def test_rows_of_one_id_are_one_sample_row(monkeypatch, spark):
+    """Which text of a repeated id is fitted does not depend on the order of rows."""
+    rows = [(i % 40, ("Good words here. " if i % 2 else "BAD!!! 0x0 ") * (1 + i // 40) + str(i), "en", "s", i) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    co_train = quality.co_train
+    monkeypatch.setattr(quality, "co_train", lambda xs, *rest: seen.append(xs) or co_train(xs, *rest))
+    for ordered in (rows, rows[::-1]):
+        quality.classify(spark.createDataFrame(ordered, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1), labels, rounds=0)
+    assert [len(x) for x in seen[0]] == [40, 40] and all((a == b).all() for a, b in zip(*seen, strict=True))
+
+
 def test_sums_over_blocks_fit_like_one_block():
     """What is added up block by block gives the weights of a fit on all sure documents at once."""
     rnd = np.random.default_rng(3)
