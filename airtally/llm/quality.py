@@ -26,6 +26,7 @@ empty tables; other columns are kept as they are.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -48,18 +49,25 @@ _WORDS: dict[str, int] = {}
 _CLASSES = {"A": range(65, 91), "a": range(97, 123), "0": range(48, 58), " ": (32, *range(9, 14)), "x": range(128, 256)}
 
 
+class Kinds(dict[int, str]):
+    """The kind of a character, found when it is first seen."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return kind
+
+
+_KINDS, _RUNS = Kinds(), re.compile(r"(.)\1{2,}", re.DOTALL)
+
+
 def bucket(value: str, n: int) -> int:
     return xxhash.xxh3_64_intdigest(value, seed=SEED) % n
 
 
 def shape(word: str) -> str:
     """Runs of upper case, lower case, digits and others as they are: ``Ab.`` becomes ``Aa.``."""
-    out: list[str] = []
-    for c in word[:64]:
-        kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if out[-2:] != [kind, kind]:
-            out.append(kind)
-    return "".join(out[:12])
+    return _RUNS.sub(r"\1\1", word.translate(_KINDS))
 
 
 def text_features(text: str | None) -> np.ndarray:

@@ -18,6 +18,13 @@ def test_held_out_accuracy(spark):
     assert np.mean(good) > 0.98
 
 
+def test_shapes_cover_the_whole_word():
+    assert quality.shape("Abcd.") == "Aaa." and quality.shape("ABC--12345") == "AA--00"
+    assert quality.shape("x" * 100 + "9" * 50 + "Y") == "aa00A"
+    assert quality.shape("a1" * 300) == "a0" * 300
+    assert (quality.text_features("q" * 64 + "!!!") != quality.text_features("q" * 67)).any()
+
+
 def test_views_teach_each_other():
     """Few labels, two informative views: the pool helps."""
     rnd = np.random.default_rng(1)
