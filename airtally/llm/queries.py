@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, near_duplicates, placement, quality, token_files, tool_calls, top_k, vp_tree, warc
+from . import bpe, mixing, near_duplicates, periodic, placement, quality, token_files, tool_calls, top_k, vp_tree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -279,3 +279,36 @@ WITH slots AS (
 )
 SELECT doc_id, keyed.slot, shard FROM keyed JOIN slots ON keyed.slot = slots.slot
 """
+
+
+WORD = r"([^\x20\x09-\x0D]+)"
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth or so, by the checksum of its id, has its end written anew: the
+    words from some place on repeat a stretch over and over."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(1))
+    sums = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", sums.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    rows = rows.withColumn("a", F.when(n > 0, g % n)).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("long"))
+    again = F.transform(F.sequence(F.col("a").cast("long"), (n - 1).cast("long")), lambda i: F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    text = F.concat_ws(" ", F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), again))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every document, and what is left of it without their repetitions."""
+    found = periodic.periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    best = periodic.longest(F.col("runs"))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(periodic.listing(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
