@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, near_duplicates, periodic, placement, quality, token_files, tool_calls, top_k, vp_tree, warc
+from . import bpe, mixing, near_duplicates, periodic, phrases, placement, quality, token_files, tool_calls, top_k, vp_tree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -312,3 +312,31 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(periodic.listing(F.col("runs")), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op11_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier document has."""
+    left = phrases.remove_repeated(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op11_repeated_phrases"] = r"""
+WITH split AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), placed AS (
+    SELECT r, doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM split
+), windows AS (
+    SELECT r, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS said FROM placed
+), firsts AS (
+    SELECT said, min(doc_id) AS first FROM windows GROUP BY said
+), covered AS (
+    SELECT DISTINCT r, i + j AS place FROM windows JOIN firsts USING (said), range(13) AS w(j) WHERE first < doc_id
+), words AS (
+    SELECT r, unnest(range(1, len(ws) + 1)) AS place, unnest(ws) AS word FROM split
+), kept AS (
+    SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS left_over FROM words ANTI JOIN covered USING (r, place) GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (r)
+"""
