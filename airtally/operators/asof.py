@@ -15,11 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# A key with more rows than this is cut into time slices. At most rows / HOT_ROWS keys
-# are above it, which bounds the list that is broadcast below: 10^12 rows leave at most
-# a million keys (some 50 MB), usually none.
-HOT_ROWS = 1_000_000
-SLICE_SECONDS = 60
+# Every key is cut into slices of this length, whatever it holds: a key with a third of 10^12
+# rows in a year has 4 * 10^7 in a slice, and no key has more than 8,784 slices in a year.
+SLICE_SECONDS = 3600
+
+
+def _of_all(columns: Sequence[str]) -> Column:
+    """True, in a form that needs all the columns. A plan that needs the same columns of
+    a shuffle as another one reads the other's shuffle instead of making its own."""
+    return F.pmod(F.hash(*columns), F.lit(1)) == 0
 
 
 def _all_present(columns: Sequence[str]) -> Column:
@@ -37,7 +41,6 @@ def asof(
     sums: Mapping[str, Column] | None = None,
     direction: str = "backward",
     how: str = "inner",
-    hot_rows: int = HOT_ROWS,
     slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """For each ``left`` row look at the ``right`` rows of the same key that lie at or
@@ -49,18 +52,21 @@ def asof(
     going forward. ``how="inner"`` keeps left rows with a hit, ``"left"`` keeps all;
     rows with a null key never match.
 
-    A key above ``hot_rows`` is split into ``slice_seconds`` slices, each sorted on its
-    own, and what earlier slices leave behind is added from one row per slice. Shorter
-    slices suit logs in which one key has millions of rows within a minute.
+    A scan in two levels: each slice of a key is sorted on its own, and what the slices
+    on the way to it leave behind, the nearest row and the totals, is carried over from
+    one row per slice. Both levels read the same shuffle. Shorter slices suit logs in
+    which one key has millions of rows within an hour.
     """
     sums = dict(sums or {})
     keys = list(on)
     backward = direction == "backward"
     side_cols = [f"_k{i}" for i in range(len(keys))]
+    cell = [*side_cols, "_slice"]
 
     named = [F.col(k).alias(s) for k, s in zip(keys, side_cols)]
+    own = [f"_l{i}" for i in range(len(left.columns))]
     rows_left = left.where(_all_present([*keys, left_ts])).select(
-        *named, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_row")
+        *named, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), *[F.col(c).alias(o) for c, o in zip(left.columns, own)]
     )
     rows_right = right.where(_all_present([*keys, right_ts])).select(
         *named,
@@ -70,40 +76,36 @@ def asof(
         *[expr.alias(f"_v{i}") for i, expr in enumerate(sums.values())],
     )
     rows = rows_left.unionByName(rows_right, allowMissingColumns=True)
+    sliced = rows.withColumn("_slice", F.floor(F.unix_timestamp("_ts") / slice_seconds)).repartition(*cell)
 
-    hot = rows.groupBy(*side_cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    marked = rows.join(F.broadcast(hot.select(*side_cols, F.lit(True).alias("_hot"))), side_cols, "left").withColumn(
-        "_slice", F.when(F.col("_hot"), F.floor(F.unix_timestamp("_ts") / slice_seconds)).otherwise(F.lit(0))
-    )
-
-    cell = [*side_cols, "_slice"]
     order = ("_ts", "_side", "_hit") if backward else (F.desc("_ts"), F.asc("_side"), F.desc("_hit"))
     so_far = W.partitionBy(*cell).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = marked.select(
+    inside = sliced.select(
         *cell,
         "_side",
-        "_row",
+        *own,
         F.last("_hit", ignorenulls=True).over(so_far).alias("_near"),
         *[F.sum(f"_v{i}").over(so_far).alias(f"_in{i}") for i in range(len(sums))],
-    ).where(F.col("_side") == 1)
+    ).where((F.col("_side") == 1) & _of_all(own))
 
-    nearest = F.max("_hit") if backward else F.min("_hit")
-    per_slice = (
-        marked.where(F.col("_hot"))
-        .groupBy(*cell)
-        .agg(nearest.alias("_best"), *[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(sums))])
+    nearest = F.max if backward else F.min
+    per_slice = sliced.groupBy(*cell).agg(
+        nearest(F.when(F.col("_side") == 0, F.struct("_ts", "_hit"))).alias("_best"),
+        F.count_if((F.col("_side") == 1) & _of_all(own)).alias("_asks"),
+        *[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(sums))],
     )
     slice_order = F.asc("_slice") if backward else F.desc("_slice")
-    earlier = W.partitionBy(*side_cols).orderBy(slice_order).rowsBetween(W.unboundedPreceding, -1)
+    passed = W.partitionBy(*side_cols).orderBy(slice_order).rowsBetween(W.unboundedPreceding, -1)
     left_behind = per_slice.select(
         *cell,
-        F.last("_best", ignorenulls=True).over(earlier).alias("_before"),
-        *[F.sum(f"_t{i}").over(earlier).alias(f"_pre{i}") for i in range(len(sums))],
-    )
+        "_asks",
+        F.last("_best", ignorenulls=True).over(passed).alias("_before"),
+        *[F.sum(f"_t{i}").over(passed).alias(f"_pre{i}") for i in range(len(sums))],
+    ).where(F.col("_asks") > 0)
 
     out = inside.join(left_behind, cell, "left").select(
-        "_row.*",
-        F.coalesce("_near", "_before").alias("hit"),
+        *[F.col(o).alias(c) for c, o in zip(left.columns, own)],
+        F.coalesce("_near", "_before._hit").alias("hit"),
         *[
             F.coalesce(F.coalesce(f"_in{i}", F.lit(0)) + F.coalesce(f"_pre{i}", F.lit(0)), F.lit(0)).alias(name)
             for i, name in enumerate(sums)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import day
-from .asof import HOT_ROWS, asof, day_lookup
+from .asof import SLICE_SECONDS, asof, day_lookup
 from .rows import keep
 
 
@@ -24,7 +24,7 @@ def attribute(
     carry: Sequence[str] = (),
     tiebreak: Sequence[str] = (),
     grain: str = "instant",
-    hot_rows: int = HOT_ROWS,
+    slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """Conversions with the one exposure that gets credit, in the struct ``hit``.
 
@@ -35,7 +35,7 @@ def attribute(
     largest tiebreak for last touch, to the smallest for first touch.
     """
     if grain == "instant" and touch == "last":
-        found = asof(conversions, exposures, on, conversion_ts, exposure_ts, carry, tiebreak, hot_rows=hot_rows)
+        found = asof(conversions, exposures, on, conversion_ts, exposure_ts, carry, tiebreak, slice_seconds=slice_seconds)
         if window_days is not None:
             found = found.where(F.datediff(conversion_ts, "hit.ts") <= window_days)
         return found
@@ -150,11 +150,11 @@ def credit_last(
     carry: Sequence[str] = ("creative_id", "campaign_id"),
     tiebreak: Sequence[str] = (),
     window_days: int | None = None,
-    hot_rows: int = HOT_ROWS,
+    slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """Each session credited once overall, to the last exposure before it."""
     return attribute(
-        exposures, sessions, on, "last", window_days, exposure_ts, session_ts, carry, tiebreak, hot_rows=hot_rows
+        exposures, sessions, on, "last", window_days, exposure_ts, session_ts, carry, tiebreak, slice_seconds=slice_seconds
     )
 
 
@@ -164,11 +164,11 @@ def sessions_after(
     on: Sequence[str],
     exposure_ts: str = "event_ts",
     session_ts: str = "conversion_ts",
-    hot_rows: int = HOT_ROWS,
+    slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """Exposures followed by at least one session, with the number that follow."""
     return asof(
-        exposures, sessions, on, exposure_ts, session_ts, sums={"sessions_after": F.lit(1)}, direction="forward", hot_rows=hot_rows
+        exposures, sessions, on, exposure_ts, session_ts, sums={"sessions_after": F.lit(1)}, direction="forward", slice_seconds=slice_seconds
     ).drop("hit")
 
 
@@ -184,7 +184,7 @@ def nearest_exposure(
     exposure_ts: str = "event_ts",
     open_ts: str = "first_ts",
     carry: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
+    slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """One row per device: the exposure with the fewest seconds to a first open, the
     earlier exposure (then the earlier open) when several are equally near."""
@@ -194,7 +194,7 @@ def nearest_exposure(
         .agg(F.min(F.struct(exposure_ts, *carry)).alias("_first"))
         .select(device, "_first.*")
     )
-    near = asof(first_opens, per_second, [device], open_ts, exposure_ts, carry=carry, hot_rows=hot_rows)
+    near = asof(first_opens, per_second, [device], open_ts, exposure_ts, carry=carry, slice_seconds=slice_seconds)
     gap = F.unix_timestamp(open_ts) - F.unix_timestamp("hit.ts")
     best = near.groupBy(device).agg(F.min(F.struct(gap.alias("gap_seconds"), F.col("hit"), F.col(open_ts))).alias("_b"))
     return best.select(device, "_b.gap_seconds", F.col("_b.hit.ts").alias(exposure_ts), f"_b.{open_ts}", *[F.col(f"_b.hit.{c}").alias(c) for c in carry])

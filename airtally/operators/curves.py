@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import diff
 from ..functions.metrics import ttc_bucket
-from .asof import HOT_ROWS, asof
+from .asof import SLICE_SECONDS, asof
 from .rows import keep
 
 
@@ -22,7 +22,7 @@ def exposures_to_convert(
     placement: str = "placement",
     exposure_ts: str = "event_ts",
     conversion_ts: str = "conversion_ts",
-    hot_rows: int = HOT_ROWS,
+    slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """Per device and placement: first exposure, first conversion it led to, distinct
     exposure times up to then and seconds between the two.
@@ -32,7 +32,7 @@ def exposures_to_convert(
     those that lead to it.
     """
     shown = exposures.select(device, placement, exposure_ts).distinct()
-    led = asof(shown, conversions, [device], exposure_ts, conversion_ts, direction="forward", hot_rows=hot_rows)
+    led = asof(shown, conversions, [device], exposure_ts, conversion_ts, direction="forward", slice_seconds=slice_seconds)
     led = led.where(F.datediff("hit.ts", exposure_ts) <= window_days)
     per_conversion = led.groupBy(device, placement, F.col("hit.ts").alias("_converted")).agg(
         F.count(F.lit(1)).alias("_shown"), F.min(exposure_ts).alias("_first_shown")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import date_lit, day
 from ..functions.metrics import ratio
 from ..functions.predicates import min_duration
-from ..operators.asof import asof, day_lookup
+from ..operators.asof import SLICE_SECONDS, asof, day_lookup
 from ..operators.attribution import daily_usage, distinct_exposure_days, nearest_exposure
 from ..operators.delivery import delivery_stats, imps_and_clicks
 from ..operators.pixels import exposed_visits_any
@@ -131,13 +131,12 @@ def time_conversions(
     return rows.groupBy("country", F.col("_t.threshold").alias("threshold"), "placement_name").agg(F.countDistinct("device_id").alias("conversions"))
 
 
-def instant_opens(exposures: DataFrame, usage: DataFrame, keys: Sequence[str] = ("creative_name", "placement_name"), hot_rows: int | None = None) -> DataFrame:
+def instant_opens(exposures: DataFrame, usage: DataFrame, keys: Sequence[str] = ("creative_name", "placement_name"), slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Openers and time per session day and creative, exposures compared by instant.
 
     A session counts once for each exposure before it. Exposures of earlier days apply
     to the whole day, those of the same day to the sessions after them.
     """
-    extra = {} if hot_rows is None else {"hot_rows": hot_rows}
     known = usage.where(F.col("device_id").isNotNull())
     days = known.groupBy("device_id", day("conversion_ts").alias("date")).agg(F.sum("minutes").alias("_day_minutes"))
     shown = exposures.groupBy("device_id", *keys, day("event_ts").alias("_shown_on")).agg(F.count(F.lit(1)).alias("_n"))
@@ -149,7 +148,7 @@ def instant_opens(exposures: DataFrame, usage: DataFrame, keys: Sequence[str] =
     same_day = asof(
         exposures.select("device_id", *keys, "event_ts", day("event_ts").alias("date")),
         known.select("device_id", "conversion_ts", "minutes", day("conversion_ts").alias("date")),
-        ["device_id", "date"], "event_ts", "conversion_ts", sums={"_later": F.col("minutes")}, direction="forward", **extra,
+        ["device_id", "date"], "event_ts", "conversion_ts", sums={"_later": F.col("minutes")}, direction="forward", slice_seconds=slice_seconds,
     ).select("device_id", *keys, "date", F.col("_later").alias("minutes"))
     return carried.unionByName(same_day).groupBy("date", *keys).agg(F.countDistinct("device_id").alias("openers"), F.sum("minutes").alias("minutes"))
 

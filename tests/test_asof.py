@@ -1,4 +1,4 @@
-"""The linear lookups against all pairs, with and without split keys."""
+"""The linear lookups against all pairs, with slices of several lengths."""
 
 import random
 from datetime import datetime, timedelta
@@ -39,11 +39,11 @@ def frames(spark, seed, n=70, m=40):
     return e, c, exposures, conversions
 
 
-@pytest.mark.parametrize("hot_rows", [3, 1_000_000])
+@pytest.mark.parametrize("slice_seconds", [60, 3600, 10**9])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_nearest_row_matches_all_pairs(spark, seed, hot_rows):
+def test_nearest_row_matches_all_pairs(spark, seed, slice_seconds):
     e, c, exposures, conversions = frames(spark, seed)
-    back = asof(conversions, exposures, ["device_id"], "conversion_ts", "event_ts", ("creative_id",), ("event_id",), {"n": F.lit(1)}, hot_rows=hot_rows)
+    back = asof(conversions, exposures, ["device_id"], "conversion_ts", "event_ts", ("creative_id",), ("event_id",), {"n": F.lit(1)}, slice_seconds=slice_seconds)
     expected = []
     for cid, dev, at, _ in c:
         before = [(t, i) for i, d, t, _ in e if dev is not None and d == dev and t <= at]
@@ -51,7 +51,7 @@ def test_nearest_row_matches_all_pairs(spark, seed, hot_rows):
             expected.append((cid, max(before)[1], len(before)))
     assert rows(back, "cid", F.col("hit.event_id"), "n") == sorted(expected, key=lambda r: tuple((True, str(v)) for v in r))
 
-    ahead = asof(exposures, conversions.withColumn("k", F.col("cid")), ["device_id"], "event_ts", "conversion_ts", (), ("k",), {"s": F.col("minutes")}, "forward", hot_rows=hot_rows)
+    ahead = asof(exposures, conversions.withColumn("k", F.col("cid")), ["device_id"], "event_ts", "conversion_ts", (), ("k",), {"s": F.col("minutes")}, "forward", slice_seconds=slice_seconds)
     expected = []
     for i, dev, at, _ in e:
         after = [(t, cid, m + 1) for cid, d, t, m in c if dev is not None and d == dev and t >= at]
@@ -70,10 +70,10 @@ def test_left_keeps_every_row(spark):
 
 @pytest.mark.parametrize("touch", ["last", "first"])
 @pytest.mark.parametrize("window", [0, 2, None])
-@pytest.mark.parametrize("hot_rows", [2, 1_000_000])
-def test_attribution_matches_all_pairs(spark, touch, window, hot_rows):
+@pytest.mark.parametrize("slice_seconds", [60, 3600, 10**9])
+def test_attribution_matches_all_pairs(spark, touch, window, slice_seconds):
     e, c, exposures, conversions = frames(spark, 11)
-    found = attribute(exposures, conversions, ["device_id"], touch, window, carry=("creative_id",), tiebreak=("event_id",), hot_rows=hot_rows)
+    found = attribute(exposures, conversions, ["device_id"], touch, window, carry=("creative_id",), tiebreak=("event_id",), slice_seconds=slice_seconds)
     expected = []
     for cid, dev, at, _ in c:
         ok = [(t, i) for i, d, t, _ in e if dev is not None and d == dev and t <= at and (window is None or (at.date() - t.date()).days <= window)]
@@ -106,15 +106,15 @@ def test_credit_once_matches_all_pairs(spark, seed):
     assert {(r.device_id, r.creative_id): (r.minutes, r.sessions) for r in got.collect()} == expected
 
 
-@pytest.mark.parametrize("hot_rows", [2, 1_000_000])
-def test_pair_counts_and_nearest(spark, hot_rows):
+@pytest.mark.parametrize("slice_seconds", [60, 3600, 10**9])
+def test_pair_counts_and_nearest(spark, slice_seconds):
     e, c, exposures, usage = frames(spark, 31)
-    after = sessions_after(exposures, usage, ["device_id"], hot_rows=hot_rows)
+    after = sessions_after(exposures, usage, ["device_id"], slice_seconds=slice_seconds)
     pairs = [(i, cid) for i, d, t, _ in e for cid, d2, t2, _ in c if d is not None and d == d2 and t <= t2]
     assert after.agg(F.sum("sessions_after")).first()[0] == len(pairs)
 
     firsts = usage.withColumnRenamed("conversion_ts", "first_ts")
-    near = nearest_exposure(exposures, firsts, carry=("creative_id",), hot_rows=hot_rows)
+    near = nearest_exposure(exposures, firsts, carry=("creative_id",), slice_seconds=slice_seconds)
     best = {}
     for _, d, t, cr in e:
         for _, d2, t2, _ in c:
@@ -124,11 +124,11 @@ def test_pair_counts_and_nearest(spark, hot_rows):
     assert {r.device_id: (r.gap_seconds, r.event_ts, r.creative_id, r.first_ts) for r in near.collect()} == best
 
 
-@pytest.mark.parametrize("hot_rows", [2, 1_000_000])
-def test_exposures_to_convert_matches_all_pairs(spark, hot_rows):
+@pytest.mark.parametrize("slice_seconds", [60, 3600, 10**9])
+def test_exposures_to_convert_matches_all_pairs(spark, slice_seconds):
     e, c, exposures, usage = frames(spark, 41, 60)
     placed = exposures.withColumn("placement", F.col("creative_id"))
-    got = exposures_to_convert(placed, usage, 2, hot_rows=hot_rows)
+    got = exposures_to_convert(placed, usage, 2, slice_seconds=slice_seconds)
     expected = {}
     for d in {x[1] for x in e if x[1] is not None}:
         for p in range(3):
@@ -144,10 +144,10 @@ def test_exposures_to_convert_matches_all_pairs(spark, hot_rows):
     assert {(r.device_id, r.placement): (r.first_exposure, r.first_conversion, r.exposures) for r in got.collect()} == expected
 
 
-@pytest.mark.parametrize("hot_rows", [2, 1_000_000])
-def test_repeated_time_matches_all_pairs(spark, hot_rows):
+@pytest.mark.parametrize("slice_seconds", [60, 3600, 10**9])
+def test_repeated_time_matches_all_pairs(spark, slice_seconds):
     e, c, exposures, usage = frames(spark, 51)
-    got = instant_opens(exposures, usage, ("creative_id",), hot_rows=hot_rows)
+    got = instant_opens(exposures, usage, ("creative_id",), slice_seconds=slice_seconds)
     minutes, openers = {}, {}
     for _, d, t, cr in e:
         for _, d2, t2, m in c:
@@ -186,3 +186,12 @@ def test_day_lookup_range(spark):
     right = spark.sql("select 1 as k, date'2024-01-03' as r, 5 as v union all select 1, date'2024-01-05', 7")
     out = day_lookup(left, right, ["k"], "d", "r", {"s": F.sum("v")}, -2, 0)
     assert rows(out, "k", F.col("d").cast("string"), "s") == [(None, "2024-01-05", None), (1, "2024-01-05", 12), (1, "2024-01-09", None)]
+
+
+def test_both_levels_read_one_shuffle(spark):
+    _, _, exposures, conversions = frames(spark, 3)
+    found = asof(conversions, exposures, ["device_id"], "conversion_ts", "event_ts", ("creative_id",), sums={"n": F.lit(1)})
+    out = found.select("cid", "hit.creative_id", "n")  # a report reads some of the columns only
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("REPARTITION_BY_COL") == 2 and plan.count("ReusedExchange") == 1
