@@ -3,22 +3,26 @@
 A window is ``window`` consecutive words of one document. Words are removed that a window covers
 whose sequence of words also starts in a document with a smaller id.
 
-1. *Copies.* Of documents with the same sequence of words, the one with the smallest id goes on. The
-   others lose every word that a window covers, and have no window that the first one lacks.
+1. *Copies.* Rows with the same id and text are one document from here on, and of documents with the
+   same sequence of words, the one with the smallest id goes on. The others lose every word that a
+   window covers, and have no window that the first one lacks. Texts are shuffled once, into buckets
+   that all later joins use.
 2. *Recurring seeds.* The seed of a window is its gram of five words with the least hash, so equal
    windows have equal seeds, and neighbouring windows mostly share one. Seeds are reduced to the
    smallest and largest document in each task before they are shuffled; those of one document drop out.
 3. *Stretches.* A stretch is the text below consecutive windows that share a recurring seed. It goes
-   to the shard that owns the seed. A seed with more than ``HEAVY`` occurrences would overload it, so
-   its windows go one by one: those of two documents or more are found by their words, reduced
-   before the shuffle, and their occurrences are spread over parts of a shard.
+   to the shard that owns the seed. Of a seed with more than ``heavy`` occurrences, only the different
+   stretches go there, each with its smallest and largest document, and what is found returns to the
+   documents by the stretch's text.
 4. *Automata.* A shard confirms its recurring windows on the words themselves and compiles them into
-   an Aho-Corasick automaton, with the smallest document of each. Every stretch of every document
-   that was sent to the shard streams through it, which locates every occurrence of every window.
-5. *Removal.* The places found go back to their documents.
+   an Aho-Corasick automaton, with the smallest document of each. Every stretch that was sent to the
+   shard streams through it, which locates every occurrence of every window.
+5. *Crowded seeds.* More than ``cell`` different stretches of one seed would overload a shard. Their
+   windows are reduced to one row for each sequence of words, and recurring ones are joined back.
+6. *Removal.* The places found go back to their documents.
 
 Hashes only decide what is compared: equal windows always meet, and what meets is compared in full.
-A cell holds some ``CELL`` stretches and at most ``HEAVY`` more.
+A shard holds some ``cell`` stretches, and at most ``heavy`` or ``cell`` more of its last seed.
 
 Defined cases: a null or empty text has no words; fewer words than a window are all kept; rows with a
 null id keep all words and take none from others; rows that repeat an id are documents of one id, so
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .shared import discard, materialize
+from .shared import discard, materialize, materialize_buckets
 from .words import Words, grams, hashes, words_of
 
 WINDOW, GRAM = 13, 5
@@ -72,7 +76,7 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def seed_ranges(reps: DataFrame, window: int) -> DataFrame:
+def seed_ranges(firsts: DataFrame, window: int) -> DataFrame:
     """``seed``, smallest and largest document, number of occurrences, of each slice of texts."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,29 +95,29 @@ def seed_ranges(reps: DataFrame, window: int) -> DataFrame:
                 columns = [signed(seed[new]), pa.array(np.minimum.reduceat(doc, new)), pa.array(np.maximum.reduceat(doc, new)), pa.array(np.diff(np.append(new, len(seed))))]
                 yield pa.record_batch(columns, ["seed", "low", "high", "n"])
 
-    found = reps.select("doc_id", "text").mapInArrow(find, "seed long, low long, high long, n long")
+    found = firsts.select("doc_id", "text").mapInArrow(find, "seed long, low long, high long, n long")
     return found.groupBy("seed").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
 
 
-def seed_places(reps: DataFrame, window: int) -> DataFrame:
-    """``seed``, ``key`` of the text, and the number ``at`` of the seed's first word in it."""
+def seed_places(firsts: DataFrame, window: int) -> DataFrame:
+    """``seed``, ``doc_id`` and ``key``, and the number ``at`` of the seed's first word."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("key").to_numpy()
+            doc_ids, keys = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
             for a, b in slices(batch.column("text"), TOGETHER):
                 words = words_of(batch.column("text").slice(a, b - a))
                 gram, _, at = seeds(words, window)
                 at = distinct(at)
                 text = words.text()[at]
-                yield pa.record_batch([signed(gram[at]), pa.array(keys[a + text]), pa.array((at - words.first[text]).astype(np.int32))], ["seed", "key", "at"])
+                yield pa.record_batch([signed(gram[at]), pa.array(doc_ids[a + text]), pa.array(keys[a + text]), pa.array((at - words.first[text]).astype(np.int32))], ["seed", "doc_id", "key", "at"])
 
-    return reps.select("key", "text").mapInArrow(find, "seed long, key long, at int")
+    return firsts.select("doc_id", "key", "text").mapInArrow(find, "seed long, doc_id long, key long, at int")
 
 
 def stretches(found: DataFrame, window: int) -> DataFrame:
-    """``seed``, ``heavy``, ``doc_id``, ``key``, first word ``at`` and ``text`` of every stretch, and of
-    every single window of a heavy seed.
+    """``seed``, ``heavy``, ``doc_id``, ``key`` and ``text`` of every different stretch of a document, with
+    ``places``, the numbers of its first words.
 
     ``found`` has documents with ``hits``: places of recurring seeds, -1 - place of heavy ones.
     """
@@ -128,30 +132,31 @@ def stretches(found: DataFrame, window: int) -> DataFrame:
                 hits = part.column("hits")
                 place = hits.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 of = np.repeat(np.arange(b - a), hits.value_lengths().to_numpy(zero_copy_only=False))
-                word = words.first[of] + np.where(place < 0, -1 - place, place)
-                inside = word < words.first[of + 1]
                 kind = np.zeros(len(words.starts) + 1, dtype=np.int8)
-                kind[word[inside]] = np.where(place[inside] < 0, 2, 1)
-                of_window = kind[at]
-                # a light stretch opens where the seed is another one or windows have been left out
-                joins = np.zeros(len(at), dtype=bool)
-                joins[1:] = (at[1:] == at[:-1]) & (starts[1:] == starts[:-1] + 1)
-                opens = np.flatnonzero((of_window == 2) | ((of_window == 1) & ~joins))
-                length = np.diff(np.append(np.flatnonzero(~joins), len(at)))
-                runs = np.repeat(length, length)
-                last = starts[opens] + np.where(of_window[opens] == 2, 1, runs[opens]) + window - 2
-                first, heavy = starts[opens], of_window[opens] == 2
-                data, text = words.data.tobytes(), words.text()[first]
-                cuts = [data[x:y] for x, y in zip(words.starts[first].tolist(), words.ends[last].tolist(), strict=True)]
-                # heavy windows are grouped by their words, so the white space between these is made one blank
-                cuts = [b" ".join(c.split()) if h else c for c, h in zip(cuts, heavy.tolist(), strict=True)]
+                kind[words.first[of] + np.where(place < 0, -1 - place, place)] = np.where(place < 0, 2, 1)
+                # a stretch opens where the seed is another one
+                opens = np.ones(len(at), dtype=bool)
+                opens[1:] = at[1:] != at[:-1]
+                opens = np.flatnonzero(opens)
+                last = starts[np.append(opens[1:], len(at)) - 1] + window - 1 if len(at) else opens
+                wanted = kind[at[opens]] > 0
+                opens, last = opens[wanted], last[wanted]
+                first, seed = starts[opens], gram[at[opens]].view(np.int64)
+                text, data = words.text()[first], words.data.tobytes()
+                places: dict[tuple[int, bytes], list[int]] = {}
+                index = []
+                for i, (t, p, x, y) in enumerate(zip(text.tolist(), (first - words.first[text]).tolist(), words.starts[first].tolist(), words.ends[last].tolist(), strict=True)):
+                    own = places.setdefault((t, data[x:y]), [])
+                    if not own:
+                        index.append(i)
+                    own.append(p)
                 columns = [
-                    signed(gram[at[opens]]), pa.array(heavy), pa.array(doc_ids[a + text]), pa.array(keys[a + text]),
-                    pa.array((first - words.first[text]).astype(np.int32)), pa.array(cuts, pa.binary()),
+                    pa.array(seed[index]), pa.array(kind[at[opens[index]]] == 2), pa.array(doc_ids[a + text[index]]), pa.array(keys[a + text[index]]),
+                    pa.array([t for _, t in places], pa.binary()), pa.array(places.values(), pa.list_(pa.int32())),
                 ]
-                yield pa.record_batch(columns, ["seed", "heavy", "doc_id", "key", "at", "text"])
+                yield pa.record_batch(columns, ["seed", "heavy", "doc_id", "key", "text", "places"])
 
-    return found.select("doc_id", "key", "text", "hits").mapInArrow(cut, "seed long, heavy boolean, doc_id long, key long, at int, text binary")
+    return found.select("doc_id", "key", "text", "hits").mapInArrow(cut, "seed long, heavy boolean, doc_id long, key long, text binary, places array<int>")
 
 
 def spelled(texts: list[bytes]) -> list[str]:
@@ -168,20 +173,21 @@ def spelled(texts: list[bytes]) -> list[str]:
     return out
 
 
-def cell_hits(window: int):
-    """Function for a cell: the windows of its stretches that a smaller document has."""
+def spread_out(windows: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """Numbers as lists of so many each."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(windows))
+
+
+def located(window: int):
+    """Function for a shard: the windows of its stretches that a smaller document than ``high`` has."""
 
-    def locate(patterns: pa.Table, rows: pa.Table) -> pa.Table:
+    def locate(rows: pa.Table) -> pa.Table:
         import ahocorasick
 
-        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("starts", pa.list_(pa.int32()))])
-        if not rows.num_rows:
-            return schema.empty_table()
-        doc = rows["doc_id"].to_numpy()
-        own = spelled([*rows["text"].to_pylist(), *patterns["text"].to_pylist()])
-        low, high = np.concatenate([doc, patterns["low"].to_numpy()]).tolist(), np.concatenate([doc, patterns["high"].to_numpy()]).tolist()
+        own = spelled(rows["text"].to_pylist())
+        low, high = rows["low"].to_numpy(), rows["high"].to_numpy()
         ranges: dict[str, tuple[int, int]] = {}
-        for text, a, b in zip(own, low, high, strict=True):
+        for text, a, b in zip(own, low.tolist(), high.tolist(), strict=True):
             for i in range(len(text) - window + 1):
                 phrase = text[i : i + window]
                 seen = ranges.get(phrase)
@@ -193,25 +199,41 @@ def cell_hits(window: int):
         for phrase, (a, b) in ranges.items():
             if a < b:
                 automaton.add_word(phrase, a)
-        if not len(automaton):
-            return schema.empty_table()
-        automaton.make_automaton()
+        if len(automaton):
+            automaton.make_automaton()
         # all stretches stream through as one, with a character between them that no phrase has
-        own = own[: rows.num_rows]
         size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) + 1
         begin = np.cumsum(size) - size
-        found = np.array([pair for pair in automaton.iter("\0".join(own))], dtype=np.int64).reshape(-1, 2)
-        end, first = found[:, 0], found[:, 1]
-        of = np.searchsorted(begin, end, "right") - 1
-        taken = first < doc[of]
-        of, start = of[taken], (end - begin[of] - window + 1)[taken] + rows["at"].to_numpy()[of[taken]]
-        new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, dtype=np.int64)
-        starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(of)).astype(np.int32)), pa.array(start.astype(np.int32)))
-        return pa.table([pa.array(doc[of[new]]), rows["key"].take(pa.array(of[new])), starts], schema=schema)
+        pairs = list(automaton.iter("\0".join(own))) if len(automaton) else []
+        found = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+        of = np.searchsorted(begin, found[:, 0], "right") - 1
+        taken = found[:, 1] < high[of]
+        of, found = of[taken], found[taken]
+        counts = np.bincount(of, minlength=len(own))
+        offset = (found[:, 0] - begin[of] - window + 1).astype(np.int32)
+        some = pa.array(counts > 0)
+        out = rows.drop_columns(["low", "high", "shard"])
+        out = out.append_column("offsets", spread_out(offset, counts)).append_column("firsts", spread_out(found[:, 1], counts))
+        return out.filter(some)
 
     return locate
 
 
+def each_window(rows: DataFrame, window: int) -> DataFrame:
+    """``text``, ``low`` and ``high`` of stretches with the ``phrase`` and ``offset`` of each window."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                words = text.split()
+                n = len(words) - window + 1
+                phrases = [b" ".join(words[k : k + window]) for k in range(n)]
+                columns = [batch.column(c).slice(i, 1).take(pa.array(np.zeros(n, dtype=np.int64))) for c in ("text", "low", "high")]
+                yield pa.record_batch([*columns, pa.array(phrases, pa.binary()), pa.array(range(n), pa.int32())], ["text", "low", "high", "phrase", "offset"])
+
+    return rows.select("text", "low", "high").mapInArrow(cut, "text binary, low long, high long, phrase binary, offset int")
+
+
 def digested(rows: DataFrame) -> DataFrame:
     """``doc_id``, ``key``, number of words and digest of the words in their order."""
 
@@ -245,9 +267,12 @@ def without(rows: DataFrame, window: int) -> DataFrame:
                         words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
                     removed.append(n[-1] - len(words))
                     kept.append(b" ".join(words))
-                yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                columns = [part.column("doc_id"), part.column("times"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+                yield pa.record_batch(columns, ["doc_id", "times", "n_words", "n_removed", "kept"])
 
-    return rows.select("doc_id", "text", "copy", "starts").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    out = rows.select("doc_id", "times", "text", "copy", "starts").mapInArrow(cut, "doc_id long, times long, n_words long, n_removed long, kept string")
+    # rows that repeat come out as often as they went in
+    return out.withColumn("nth", F.explode(F.expr("sequence(1, times)"))).select("doc_id", "n_words", "n_removed", "kept")
 
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, cell: int = CELL) -> DataFrame:
@@ -257,31 +282,41 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     rows = rows.withColumn("key", F.xxhash64("text"))
     same = ["doc_id", "key"]
     known = materialize(digested(rows.where("doc_id IS NOT NULL")).where(F.col("n") >= window).distinct(), "digests")
-    ranked = known.join(known.groupBy("digest").agg(F.min("doc_id").alias("first")), "digest")
-    copies = ranked.where("doc_id > first").select(*same, F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
-    whole = rows.where("doc_id IS NOT NULL").groupBy(*same).agg(F.first("text").alias("text"))
-    reps = materialize(whole.join(ranked.where("doc_id = first").select(*same), same), "firsts")
+    kinds = known.join(known.groupBy("digest").agg(F.min("doc_id").alias("first")), "digest")
+    kinds = kinds.select(*same, (F.col("doc_id") == F.col("first")).alias("is_first"))
+    whole = rows.groupBy(*same).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
+    whole = materialize_buckets(whole.join(kinds, same, "left"), "texts", *same)
+    firsts = whole.where("is_first")
+
+    recurring = seed_ranges(firsts, window).where("low < high").select("seed", (F.col("n") > heavy).alias("heavy"))
+    hits = seed_places(firsts, window).join(recurring, "seed")
+    hits = hits.groupBy(*same).agg(F.collect_list(F.when(F.col("heavy"), -1 - F.col("at")).otherwise(F.col("at"))).alias("hits"))
+    cuts = materialize(stretches(firsts.join(hits, same), window), "stretches")
+
+    def found_in_shards(rows: DataFrame, n: int, columns: str) -> DataFrame:
+        shard = F.pmod(F.xxhash64("seed"), F.lit(max(1, -(-n // cell)))).cast("int")
+        return rows.withColumn("shard", shard).groupBy("shard").applyInArrow(located(window), f"{columns}, offsets array<int>, firsts array<long>")
 
-    recurring = seed_ranges(reps, window).where("low < high").select("seed", (F.col("n") > heavy).alias("heavy"))
-    hits = seed_places(reps, window).join(recurring, "seed")
-    hits = hits.groupBy("key").agg(F.collect_list(F.when(F.col("heavy"), -1 - F.col("at")).otherwise(F.col("at"))).alias("hits"))
-    cuts = materialize(stretches(reps.join(hits, "key"), window), "stretches")
+    light = cuts.where("NOT heavy").select("seed", "text", *same, "places", F.col("doc_id").alias("low"), F.col("doc_id").alias("high"))
+    of_light = found_in_shards(light, light.count(), "seed long, text binary, doc_id long, key long, places array<int>").select(*same, "places", "offsets")
 
-    # windows of heavy seeds, by their words
+    # the different stretches of heavy seeds
     of_heavy = cuts.where("heavy")
-    phrases = of_heavy.groupBy("text").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    phrases = materialize(phrases.withColumn("parts", F.ceil(F.col("n") / cell)), "phrases")
-    shards = max(1, -(-cuts.where("NOT heavy").count() // cell), -(-phrases.count() // cell))
-    spread = of_heavy.join(phrases.select("text", "parts"), "text").withColumn("part", F.pmod(F.xxhash64("key", "at"), "parts").cast("int"))
-    spread = spread.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int"))
-    light = cuts.where("NOT heavy").select("*", F.pmod(F.xxhash64("seed"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("part"))
-    sent = [*same, "at", "text", "shard", "part"]
-    streams = light.select(*sent).unionByName(spread.select(*sent))
-    patterns = phrases.select("text", "low", "high", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
-    located = patterns.groupBy("shard", "part").cogroup(streams.groupBy("shard", "part")).applyInArrow(cell_hits(window), "doc_id long, key long, starts array<int>")
-    covered = materialize(located.groupBy(*same).agg(F.flatten(F.collect_list("starts")).alias("starts")), "covered")
-
-    marks = materialize(covered.withColumn("copy", F.lit(False)).unionByName(copies), "marks")
-    for table in (known, reps, cuts, phrases, covered):
+    different = materialize(of_heavy.groupBy("seed", "text").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "different")
+    crowds = different.groupBy("seed").agg((F.count(F.lit(1)) > cell).alias("crowded"))
+    dealt = different.join(crowds, "seed")
+    shared = found_in_shards(dealt.where("NOT crowded").drop("crowded"), different.count(), "seed long, text binary").select("text", "offsets", "firsts")
+    windows = each_window(dealt.where("crowded"), window)
+    phrases = windows.groupBy("phrase").agg(F.min("low").alias("first"), F.max("high").alias("top")).where("first < top")
+    alone = windows.join(phrases, "phrase").where("first < high").groupBy("text").agg(F.collect_list(F.struct("offset", "first")).alias("own"))
+    alone = alone.select("text", F.col("own.offset").alias("offsets"), F.col("own.first").alias("firsts"))
+    earlier = F.filter(F.arrays_zip("offsets", "firsts"), lambda x: x["firsts"] < F.col("doc_id"))
+    back = of_heavy.join(shared.unionByName(alone), "text").select(*same, "places", earlier["offsets"].alias("offsets"))
+
+    every = F.flatten(F.transform("places", lambda p: F.transform("offsets", lambda o: p + o)))
+    covered = of_light.unionByName(back).where(F.size("offsets") > 0).groupBy(*same).agg(F.flatten(F.collect_list(every)).alias("starts"))
+    covered = materialize(covered, "covered")
+    for table in (known, cuts, different):
         discard(table)
-    return without(rows.join(marks, same, "left"), window)
+    marked = whole.join(covered, same, "left").withColumn("copy", F.coalesce(~F.col("is_first"), F.lit(False)))
+    return without(marked, window)

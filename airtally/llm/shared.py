@@ -41,6 +41,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def materialize_buckets(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """The same, hashed by some columns into as many buckets as a shuffle has partitions, so that
+    joins on these columns shuffle the other side alone."""
+    spark = df.sparkSession
+    table, n = f"llm_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, *columns).sortBy(*columns).option("path", shared_folder(spark, name)).saveAsTable(table, format="parquet")
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the frame knows its files, and they stay
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`materialize` wrote, when nothing will read it again."""
     files = df.inputFiles()
