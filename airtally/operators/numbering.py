@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names; a local session without one gets a new folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-        named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    sc.setCheckpointDir(named)
+from ..storage import use_checkpoint_dir
 
 
 def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_num") -> DataFrame:

@@ -13,6 +13,8 @@ from ..operators.attribution import any_touch, any_touch_by_day, attribute, cred
 from ..operators.delivery import delivery_stats
 from ..operators.rows import keep
 from ..operators.usage import active_users, installs
+from ..sources.events import Facts
+from .logs import older_report_logs
 
 CREATIVE = ["country", "campaign_id", "creative_id"]
 ON = ["device_id", "country"]
@@ -110,3 +112,23 @@ def monthly_report(
     )
     active_days = daily_users.join(installs(usage), ["country", "date"]).select("country", "date", "installs", "active_users", "new_users", "returning_users")
     return {"day": by_day, "month": by_month, "active_days": active_days}
+
+
+def monthly_from_logs(
+    delivery: DataFrame | Facts,
+    sessions: DataFrame | Facts,
+    creative_map: DataFrame,
+    profile_map: DataFrame,
+    start: date,
+    end: date,
+    usage_start: date,
+    usage_end: date,
+    window_days: int = 14,
+    countries: Sequence[str] = (),
+    since: date | None = None,
+    **usage,
+) -> dict[str, DataFrame]:
+    """The monthly report from the fact logs, read in its days and countries only.
+    ``usage`` are options of app_usage."""
+    logs = older_report_logs(delivery, sessions, creative_map, profile_map, start, end, usage_start, usage_end, countries, **usage)
+    return monthly_report(*logs, creative_map, start, end, usage_end, window_days, countries, since)

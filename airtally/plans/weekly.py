@@ -12,8 +12,9 @@ from ..functions.predicates import active_in
 from ..operators import delivery as d
 from ..operators.attribution import attribute, first_use
 from ..operators.pixels import exposed_visits, household_map, pixel_visits, visits_by_day
-from ..operators.rows import keep, semi
-from ..operators.usage import app_usage
+from ..operators.rows import keep
+from ..sources.events import Facts
+from .logs import routed_delivery, usage_log
 
 ROW_KEYS = ["date_of_exposure", *d.CREATIVE_KEYS]
 
@@ -39,11 +40,23 @@ REPORT_ORDER = (
 
 def active_lines(mapping: DataFrame, cfg: ReportConfig) -> DataFrame:
     """Mapping rows of lines active in the report window and of the wanted countries."""
+    return _active(mapping, cfg).distinct()
+
+
+def mapped_countries(mapping: DataFrame, cfg: ReportConfig) -> DataFrame:
+    """Countries of the active lines. The mapping is cut to three columns first, so that
+    the plan is not that of held lines: Spark prunes the folders of other countries only
+    where it sees a filter on the mapping."""
+    cut = mapping.select("mapping_country", "line_item_start_ts", "line_item_end_ts")
+    return _active(cut, cfg).where(F.col("mapping_country").isNotNull()).select(F.col("mapping_country").alias("country"))
+
+
+def _active(mapping: DataFrame, cfg: ReportConfig) -> DataFrame:
     w = cfg.windows()
     kept = mapping.where(active_in("line_item_start_ts", "line_item_end_ts", ts_lit(w.report_start), ts_lit(w.report_end)))
     if cfg.countries:
         kept = kept.where(F.lower("mapping_country").isin(*[c.strip().lower() for c in cfg.countries]))
-    return kept.distinct()
+    return kept
 
 
 def exposed_opens(impressions: DataFrame, usage: DataFrame, cfg: ReportConfig) -> DataFrame:
@@ -116,8 +129,8 @@ def core_rows(lines: DataFrame, impressions: DataFrame, clicks: DataFrame, any_s
 
 
 def weekly_report(
-    delivery: DataFrame,
-    sessions: DataFrame,
+    delivery: DataFrame | Facts,
+    sessions: DataFrame | Facts,
     mapping: DataFrame,
     profile_map: DataFrame,
     cfg: ReportConfig,
@@ -125,34 +138,36 @@ def weekly_report(
 ) -> DataFrame:
     """All countries in one plan. ``mapping`` is the enriched creative mapping.
 
-    Every right side of the final join chain is aggregated to the row key first. The
-    stages read more than once (mapped impressions of the report window, usage, pixels)
-    are cut to their needed columns and held.
+    Each log is read once, in the report's windows and the mapped countries. Every right
+    side of the final join chain is aggregated to the row key first. The stages read
+    more than once (the routed log, usage, pixels) are cut to their needed columns and held.
     """
     w = cfg.windows()
     conversions_end = w.attribution_end if cfg.attribution_extends else w.report_end
+    among = mapped_countries(mapping, cfg)
     lines = keep(active_lines(mapping, cfg))
     mapped = lines.select(F.col("mapping_country").alias("country"), "campaign_id", "flight_id", "creative_id", "line_item_id")
-    countries = mapped.select("country")
-
-    keys_only = mapped.drop("line_item_id").distinct()
-    recent = delivery.where(between_ts("event_ts", w.report_start, w.report_end))
-    logs = d.split_delivery(recent)
-    mapped_of = lambda name: d.in_creative_map(logs[name], mapped, cfg.line_fanout)
-    clicks, tracker = mapped_of("clicks"), mapped_of("tracker")
-    impressions = keep(mapped_of("impressions").select(*d.CREATIVE_KEYS, "device_id", "household_id", "event_ts", "event_id"))
-
-    usage = app_usage(
-        semi(sessions, countries, ["country"]), profile_map, apps, (w.lookback_start, conversions_end),
-        min_seconds=cfg.min_session_seconds, inclusive=cfg.session_inclusive,
+
+    segments = (cfg.signup_segment, cfg.homepage_segment)
+    columns = (*d.CREATIVE_KEYS, "event_type", "event_ts", "event_id", "device_id", "household_id", "segment_id", "tracker", "dropped")
+    since, until = min(w.pixel_start, w.report_start), max(w.report_end, conversions_end)
+    log = routed_delivery(delivery, mapped, segments, since, until, cfg.countries, among, columns)
+    shown = log.where("is_mapped").drop("is_mapped")
+    logs = d.split_delivery(shown.where(between_ts("event_ts", w.report_start, w.report_end)))
+    if cfg.line_fanout:
+        logs = {kind: d.in_creative_map(rows, mapped, True) for kind, rows in logs.items()}
+    clicks, tracker = logs["clicks"], logs["tracker"]
+    impressions = logs["impressions"].select(*d.CREATIVE_KEYS, "device_id", "household_id", "event_ts", "event_id")
+
+    usage = usage_log(
+        sessions, profile_map, w.lookback_start, conversions_end, cfg.countries, among,
+        apps=apps, min_seconds=cfg.min_session_seconds, inclusive=cfg.session_inclusive,
     )
     usage = keep(usage.drop("end_ts"))
     opens = open_counts(exposed_opens(impressions, usage, cfg))
 
-    seen = delivery.where(between_ts("event_ts", w.pixel_start, w.report_end))
-    households = household_map(d.in_creative_map(seen, keys_only), profile_map)
-    pixel_log = semi(delivery, countries, ["country"])
-    pixels = pixel_visits(pixel_log, households, (cfg.signup_segment, cfg.homepage_segment), (w.pixel_start, conversions_end))
+    households = household_map(shown.where(between_ts("event_ts", w.pixel_start, w.report_end)), profile_map)
+    pixels = pixel_visits(log, households, segments, (w.pixel_start, conversions_end))
     pixels = keep(pixels.drop("device_id"))
     visits = exposed_visits(impressions, pixels, cfg.attribution_days)
     # a first visit counts only when it falls in the report window

@@ -18,6 +18,8 @@ from ..operators.delivery import delivery_stats, imps_and_clicks
 from ..operators.pixels import exposed_visits_any
 from ..operators.rows import keep, semi
 from ..operators.usage import installs
+from ..sources.events import Facts
+from .logs import older_report_logs
 from .monthly import CREATIVE, LOG, ON, exposed_first_opens
 
 
@@ -90,6 +92,24 @@ def total_table(impressions: DataFrame, clicks: DataFrame, usage: DataFrame, cre
     return out.withColumn("hours", F.col("minutes") / 60)
 
 
+def tables_from_logs(
+    delivery: DataFrame | Facts,
+    sessions: DataFrame | Facts,
+    creative_map: DataFrame,
+    profile_map: DataFrame,
+    start: date,
+    end: date,
+    usage_start: date,
+    countries: Sequence[str] = (),
+    since: date | None = None,
+    **usage,
+) -> dict[str, DataFrame]:
+    """``campaign`` and ``total`` tables from the fact logs, read in the report's days, the
+    usage look-back and the mapped countries only. ``usage`` are options of app_usage."""
+    logs = older_report_logs(delivery, sessions, creative_map, profile_map, start, end, usage_start, end, countries, **usage)
+    return {"campaign": campaign_table(*logs, creative_map, since), "total": total_table(*logs, creative_map, start, end, since)}
+
+
 def download_table(usage: DataFrame, visits_by_day: DataFrame, start: date, end: date, segments: dict[str, str]) -> DataFrame:
     """Installs per day beside first visits per named segment; days without installs
     drop out."""

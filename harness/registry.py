@@ -21,3 +21,16 @@ def query(name: str, views: str, sql: str):
         return fn
 
     return add
+
+
+def also(name: str, like: str):
+    """Register ``fn(tables)`` under another name with the SQL of an earlier query."""
+
+    def add(fn):
+        from .tables import Tables
+
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        ORACLES[name] = ORACLES[like]
+        return fn
+
+    return add
