@@ -33,23 +33,21 @@ from dataclasses import dataclass
 from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import Recall, owned
+
 PIECE_CHARS = 65_536
-#: Bytes of text that are handled at a time in a task, besides a longer single text.
-SLICE_BYTES = 2_000_000
+#: Bytes of text that are handled at a time in a task, besides a longer single text. A word is looked up
+#: once for each slice.
+SLICE_BYTES = 8_000_000
 #: Words that are encoded as one text.
 TOGETHER = 2_000
-#: Words a worker remembers at most; it forgets all and starts again beyond that.
-REMEMBERED = 350_000
 FIRST_WINDOW = 64
 
-_ENCODERS: dict[str, Encoder] = {}
-
 
 class Encoder:
     """The library's tokenizer, with the words of a worker remembered."""
@@ -65,8 +63,7 @@ class Encoder:
         # only these two parts are described; the whole tokenizer as JSON takes much more memory
         parts = {name: getattr(self.tokenizer, name) for name in ("normalizer", "pre_tokenizer")}
         self.by_word = drops_white_space({name: json.loads(part.__getstate__()) for name, part in parts.items() if part is not None})
-        self.known: dict[str, bytes] = {}
-        self.again: set[str] = set()
+        self.known = Recall()
 
     def encode(self, texts: pa.StringArray) -> pa.BinaryArray:
         """Packed ids of each text."""
@@ -91,26 +88,22 @@ class Encoder:
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         """Packed ids of different words."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            # most words of a corpus occur once; those met again are kept
-            known = self.known = {w: known[w] for w in self.again} if len(self.again) < REMEMBERED // 2 else {}
-            self.again.clear()
-        new = [w for w in words if w not in known]
-        if len(new) < len(words):
-            self.again |= set(words).difference(new)
-        for start in range(0, len(new), TOGETHER):
-            part = new[start : start + TOGETHER]
+        return self.known.values(words, self.new_ids)
+
+    def new_ids(self, words: list[str]) -> list[bytes]:
+        out = []
+        for start in range(0, len(words), TOGETHER):
+            part = words[start : start + TOGETHER]
             # one text of many words costs less than as many texts; their places tell them apart
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             begin = np.fromiter(map(itemgetter(0), found.offsets), dtype=np.int64, count=len(found.ids))
             length = np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 1
             cuts = np.searchsorted(begin, np.cumsum(length)).tolist()
             ids, last = np.array(found.ids, dtype="<u4").tobytes(), 0
-            for w, cut in zip(part, cuts, strict=True):
-                known[w] = ids[last * 4 : cut * 4]
+            for cut in cuts:
+                out.append(ids[last * 4 : cut * 4])
                 last = cut
-        return [known[w] for w in words]
+        return out
 
     def tokens(self, text: str) -> Tokens:
         """Ids of one text with the characters each stands for."""
@@ -124,9 +117,10 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    held = owned("tokenizers")
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def drops_white_space(described: dict) -> bool:
@@ -272,43 +266,46 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 del columns
                 pa.default_memory_pool().release_unused()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = encoder(tokenizer).special
         for batch in batches:
-            for doc_id, text, digest in zip(batch["doc_id"], batch["text"], batch["digest"], strict=True):
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 bounds = [0, *cut_points(text, piece_chars, special), len(text)]
                 pieces = [text[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array([doc_id] * len(pieces), "Int64"), "digest": digest, "piece": range(len(pieces)), "text": pieces})
+                # columns stay as they are: a null among large ids must not turn them to doubles
+                same = [batch.column(c).take(pa.array([i] * len(pieces))) for c in ("doc_id", "times", "digest")]
+                yield pa.record_batch([*same, pa.array(range(len(pieces)), pa.int32()), pa.array(pieces)], ["doc_id", "times", "digest", "piece", "text"])
 
-    def piece_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def piece_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in batches:
-            for start in range(0, len(batch), 16):
-                part = batch.iloc[start : start + 16].copy()
-                found = [own.tokens(text) for text in part["text"]]
-                part["ids"] = [t.ids.tobytes() for t in found]
-                part["starts"] = [t.starts.astype("<i8").tobytes() for t in found]
-                part["ends"] = [t.ends.astype("<i8").tobytes() for t in found]
-                yield part
-
-    def joined(rows: pd.DataFrame) -> pd.DataFrame:
-        copies = int((rows["piece"] == 0).sum())
-        rows = rows.drop_duplicates("piece").sort_values("piece")
-        pieces = [Tokens(r.text, np.frombuffer(r.ids, "<u4"), np.frombuffer(r.starts, "<i8"), np.frombuffer(r.ends, "<i8")) for r in rows.itertuples()]
+            for start in range(0, batch.num_rows, 16):
+                part = batch.slice(start, 16)
+                found = [own.tokens(text) for text in part.column("text").to_pylist()]
+                packed_ = [[t.ids.tobytes() for t in found], [t.starts.astype("<i8").tobytes() for t in found], [t.ends.astype("<i8").tobytes() for t in found]]
+                yield pa.record_batch([*part.columns, *(pa.array(x, pa.binary()) for x in packed_)], [*part.schema.names, "ids", "starts", "ends"])
+
+    def joined(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("piece")
+        parts = zip(*(rows[c].to_pylist() for c in ("text", "ids", "starts", "ends")), strict=True)
+        pieces = [Tokens(text, np.frombuffer(ids, "<u4"), np.frombuffer(starts, "<i8"), np.frombuffer(ends, "<i8")) for text, ids, starts, ends in parts]
         own = encoder(tokenizer)
         ids = join_all(own, pieces).ids.astype("<u4").tobytes()
-        out = pd.DataFrame({"doc_id": pd.array([rows["doc_id"].iloc[0]] * copies, "Int64"), "ids": [ids] * copies})
-        return out.assign(decoded=own.decode(ids)) if decoded else out
+        out = rows.slice(0, 1).select(["doc_id", "times"]).append_column("ids", pa.array([ids], pa.binary()))
+        return out.append_column("decoded", pa.array([own.decode(ids)])) if decoded else out
 
     short = rows.where(~long).mapInArrow(short_ids, schema)
+    # rows that are alike are cut and joined once
+    whole = rows.where(long).withColumn("digest", F.sha2("text", 256)).groupBy("doc_id", "digest").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
+    fields = "doc_id long, times long, digest string, piece int, text string"
     pieces = (
-        rows.where(long)
-        .withColumn("digest", F.md5("text"))
-        .mapInPandas(cut, "doc_id long, digest string, piece int, text string")
+        whole.mapInArrow(cut, fields)
         .repartition("doc_id", "digest", "piece")
-        .mapInPandas(piece_ids, "doc_id long, digest string, piece int, text string, ids binary, starts binary, ends binary")
+        .mapInArrow(piece_ids, f"{fields}, ids binary, starts binary, ends binary")
     )
-    return short.unionByName(pieces.groupBy("doc_id", "digest").applyInPandas(joined, schema))
+    found = pieces.groupBy("doc_id", "digest").applyInArrow(joined, "doc_id long, times long, ids binary" + ", decoded string" * decoded)
+    found = found.withColumn("nth", F.explode(F.expr("sequence(1, times)"))).drop("times", "nth")
+    return short.unionByName(found)
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:

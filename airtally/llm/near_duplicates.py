@@ -36,17 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .memory import recall
 from .shared import discard, materialize
 
 ROWS = 5
 #: Classes in a bucket up to which its pairs are listed, and in a chunk of a larger one.
 LISTED, CHUNK = 8, 512
 CHUNK_SHINGLES = 1_000_000
-REMEMBERED = 400_000
 SEED = 20
 
-_WORDS: dict[bytes, int] = {}
-
 
 def bands_for(similarity: int, miss: float, rows: int = ROWS) -> int:
     """Bands such that a pair at the threshold shares none with a probability of at most ``miss``."""
@@ -60,12 +58,9 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     if len(words) < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)], dtype=np.uint64)
-    if len(_WORDS) > REMEMBERED:
-        _WORDS.clear()
-    known = _WORDS
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    own = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
+    different = list(set(words))
+    known = dict(zip(different, recall("near-duplicates").values(different, lambda new: map(xxhash.xxh3_64_intdigest, new)), strict=True))
+    own = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     out = np.zeros(len(own) - size + 1, dtype=np.uint64)
     for i in range(size):
         out = (out ^ own[i : len(own) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)

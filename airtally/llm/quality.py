@@ -37,15 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import recall
 from .shared import discard, materialize
 
 LABELLED_ROWS = 6_000
 ROUNDS, CONFIDENT = 3, 0.97
 SHAPES, WORDS, STATS, META = 96, 256, 14, 160
-REMEMBERED = 400_000
 SEED = 11
 
-_WORDS: dict[str, int] = {}
 _CLASSES = {"A": range(65, 91), "a": range(97, 123), "0": range(48, 58), " ": (32, *range(9, 14)), "x": range(128, 256)}
 
 
@@ -70,17 +69,18 @@ def shape(word: str) -> str:
     return _RUNS.sub(r"\1\1", word.translate(_KINDS))
 
 
+def code(word: str) -> int:
+    """Buckets of a word's shape and of the word, as one number."""
+    return bucket(shape(word), SHAPES) * WORDS + bucket(word.lower(), WORDS)
+
+
 def text_features(text: str | None) -> np.ndarray:
     """Shares of word shapes and of hashed words, and counts of kinds of characters."""
     text = text or ""
     words = text.split()
-    if len(_WORDS) > REMEMBERED:
-        _WORDS.clear()
-    known = _WORDS
-    different = set(words)
-    for w in different.difference(known):
-        known[w] = bucket(shape(w), SHAPES) * WORDS + bucket(w.lower(), WORDS)
-    codes = np.fromiter((known[w] for w in words), dtype=np.int64, count=len(words))
+    different = list(set(words))
+    known = dict(zip(different, recall("classifier").values(different, lambda new: map(code, new)), strict=True))
+    codes = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
     n = max(len(words), 1)
     data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
     counts = np.zeros(256, dtype=np.int64)
@@ -326,9 +326,10 @@ def fit(rows: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS,
         return co_train(xs, y, [x[:0] for x in xs], 0)
     others = rows.join(marked, "doc_id", "left_anti").withColumn("y", F.lit(None).cast("double"))
     others = materialize(others.mapInPandas(features, schema).select("text", "meta"), "features")
-    model = co_train(xs, y, summed(others), rounds)
-    discard(others)
-    return model
+    try:
+        return co_train(xs, y, summed(others), rounds)
+    finally:
+        discard(others)
 
 
 def scores_of(model: Model | float, threshold: float):

@@ -3,9 +3,9 @@
 A shard is two files. ``*.ids`` holds the ids of its documents one after the other and nothing
 else, in two bytes each where the vocabulary allows it, else in four (little-endian, unsigned).
 ``*.index`` maps a document's key to its place among these ids: a minimal perfect hash gives the
-key's slot, and the slot holds the 64-bit fingerprint of the key, the offset and the number of ids.
-A lookup reads one slot, whatever the size of the shard; a fingerprint that differs means that the
-shard lacks the key.
+key's slot, and the slot holds the 64-bit fingerprint of the key, its first document in the shard and
+how many there are; these stand one after the other. A lookup reads one slot, whatever the size of
+the shard; a fingerprint that differs means that the shard lacks the key.
 
 Documents are in ascending order of ``doc_id`` over all shards (a range shuffle), each with an end
 id behind it. A task writes files whose names carry the number of its attempt and returns their
@@ -13,8 +13,8 @@ manifest row, so files of attempts that were lost are never read.
 
 Defined cases: a null ``doc_id`` comes before all others and can be looked up; a null text is
 empty, so its document holds the end id alone; rows that repeat a ``doc_id`` are occurrences 0, 1,
-2, ... of it, ordered by text, and a lookup finds all of them; an empty table has no shards;
-further columns are ignored.
+2, ... of it over all shards, ordered by a hash of the text, then by text, and a lookup finds all of
+them; an empty table has no shards; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,19 +24,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, slices
+from .memory import owned
 from .shared import materialize, open_store, shared_folder
 
-MANIFEST = "shard int, path string, docs long, ids long, width int, has_null boolean, first long, last long"
+MANIFEST = "shard int, path string, docs long, ids long, width int, nulls long, first long, last long, last_docs long"
 #: Bytes of ids that a reader fetches at a time, besides a longer single document.
 READ_BYTES = 8_000_000
-_LOADED: dict[str, Index] = {}
 
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -48,11 +47,11 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(doc_ids: np.ndarray, nulls: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each occurrence of a document; ``doc_ids`` are any number where null."""
+def fingerprints(doc_ids: np.ndarray, nulls: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each id; ``doc_ids`` are any number where null."""
     with np.errstate(over="ignore"):
         own = mixed(np.where(nulls, 0, doc_ids).astype(np.int64).view(np.uint64), 0)
-        return mixed(own + occurrence.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + nulls.astype(np.uint64) * np.uint64(0xA0761D6478BD642F), 1)
+        return mixed(own + nulls.astype(np.uint64) * np.uint64(0xA0761D6478BD642F), 1)
 
 
 @dataclass
@@ -96,28 +95,33 @@ class PerfectHash:
 
 @dataclass
 class Index:
-    """The index file of a shard."""
+    """The index file of a shard: for each slot its key, first document and number of documents, and
+    where each document begins among the ids."""
 
     table: PerfectHash
     keys: np.ndarray
-    offsets: np.ndarray
-    counts: np.ndarray
+    rows: np.ndarray
+    times: np.ndarray
+    begins: np.ndarray
 
     @classmethod
-    def build(cls, keys: np.ndarray, counts: np.ndarray) -> Index:
+    def build(cls, keys: np.ndarray, counts: np.ndarray, times: np.ndarray | None = None) -> Index:
+        """``keys`` in the order of documents, each of ``times`` documents (1 if not said); ``counts`` are
+        the ids of every document."""
+        times = np.ones(len(keys), dtype=np.int64) if times is None else times
         table = PerfectHash.build(keys)
         order = np.argsort(table.slots(keys))
-        return cls(table, keys[order], (np.cumsum(counts) - counts)[order], counts[order])
+        return cls(table, keys[order], (np.cumsum(times) - times)[order], times[order], np.concatenate([[0], np.cumsum(counts)]))
 
     def dump(self) -> bytes:
         file = io.BytesIO()
-        np.savez(file, sizes=self.table.sizes, words=self.table.words, before=self.table.before, keys=self.keys, offsets=self.offsets, counts=self.counts)
+        np.savez(file, sizes=self.table.sizes, words=self.table.words, before=self.table.before, keys=self.keys, rows=self.rows, times=self.times, begins=self.begins)
         return file.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> Index:
         with np.load(io.BytesIO(data)) as x:
-            return cls(PerfectHash(x["sizes"], x["words"], x["before"]), x["keys"], x["offsets"], x["counts"])
+            return cls(PerfectHash(x["sizes"], x["words"], x["before"]), x["keys"], x["rows"], x["times"], x["begins"])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key that the shard has, else -1."""
@@ -136,38 +140,42 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "ids")
 
-    def write_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def write_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         width = 2 if max(own.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
         task = TaskContext.get()
         fs, root = open_store(folder)
         path = f"{root}/shard-{task.partitionId():06d}-{task.taskAttemptId()}"
         ids_of, nulls, counts, out = [], [], [], None
-        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{path}.ids")
-                found = [x + end for x in own.encode(batch.column("text").slice(a, b - a)).to_pylist()]
+                found = own.encode(batch.column("text").slice(a, b - a))
+                ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1, found.offset * 4) // 4
+                ids = np.frombuffer(found.buffers()[2], "<u4")[ends[0] : ends[-1]]
                 column = batch.column("doc_id").slice(a, b - a)
                 ids_of.append(column.fill_null(0).to_numpy(zero_copy_only=False))
                 nulls.append(column.is_null().to_numpy(zero_copy_only=False))
-                counts.append(np.array([len(x) // 4 for x in found], dtype=np.int64))
-                out.write(np.frombuffer(b"".join(found), "<u4").astype(f"<u{width}").tobytes())
+                counts.append(np.diff(ends).astype(np.int64) + 1)
+                out.write(np.insert(ids, ends[1:] - ends[0], end_id).astype(f"<u{width}").tobytes())
+                del found, ids
+                pa.default_memory_pool().release_unused()
         if out is None:
             return
         out.close()
         doc_ids, null, n = np.concatenate(ids_of).astype(np.int64), np.concatenate(nulls), np.concatenate(counts)
-        # rows are sorted: an occurrence is the distance from the first row of its document
+        # rows are sorted, so those of an id stand together
         new = np.ones(len(n), dtype=bool)
         new[1:] = (doc_ids[1:] != doc_ids[:-1]) | (null[1:] != null[:-1])
-        occurrence = np.arange(len(n)) - np.maximum.accumulate(np.where(new, np.arange(len(n)), 0))
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(n)))
         with fs.open_output_stream(f"{path}.index") as file:
-            file.write(Index.build(fingerprints(doc_ids, null, occurrence), n).dump())
+            file.write(Index.build(fingerprints(doc_ids[first], null[first]), n, times).dump())
         known = doc_ids[~null]
-        row = [[task.partitionId()], [path], [len(n)], [int(n.sum())], [width], [bool(null.any())]]
-        row += [[int(known[0])] if len(known) else [None], [int(known[-1])] if len(known) else [None]]
+        row = [[task.partitionId()], [path], [len(n)], [int(n.sum())], [width], [int(null.sum())]]
+        row += [[int(known[0])], [int(known[-1])], [int(times[-1])]] if len(known) else [[None], [None], [None]]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, MANIFEST_TYPES, strict=True)], [c.split()[0] for c in MANIFEST.split(", ")])
 
     # the range shuffle samples its input, so texts are encoded behind it, not before
@@ -177,16 +185,17 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     return materialize(placed, "manifest")
 
 
-MANIFEST_TYPES = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+MANIFEST_TYPES = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def index_of(folder_fs, path: str) -> Index:
     """The worker's copy of a shard's index; it keeps the last one."""
-    if path not in _LOADED:
-        _LOADED.clear()
+    held = owned("token index")
+    if path not in held:
+        held.clear()
         with folder_fs.open_input_stream(f"{path}.index") as file:
-            _LOADED[path] = Index.load(file.read())
-    return _LOADED[path]
+            held[path] = Index.load(file.read())
+    return held[path]
 
 
 def read(spark: SparkSession, manifest: DataFrame, keys: DataFrame, folder_uri: str = "file:///", id_col: str = "doc_id") -> DataFrame:
@@ -201,8 +210,16 @@ def read(spark: SparkSession, manifest: DataFrame, keys: DataFrame, folder_uri:
     known = [r for r in shards if r["first"] is not None]
     firsts, lasts = np.array([r["first"] for r in known], dtype=np.int64), np.array([r["last"] for r in known], dtype=np.int64)
     numbers = np.array([r["shard"] for r in known], dtype=np.int32)
-    with_null = [r["shard"] for r in shards if r["has_null"]]
+    with_null = [r["shard"] for r in shards if r["nulls"]]
     of_shard = {r["shard"]: (r["path"], r["width"]) for r in shards}
+    # occurrences of a shard's first id, and of null, in the shards before it
+    nulls_before = dict(zip([r["shard"] for r in shards], np.cumsum([0, *(r["nulls"] for r in shards)])[:-1].tolist(), strict=True))
+    earlier: dict[int, tuple[int, int]] = {}
+    for i, r in enumerate(known):
+        last = known[i - 1] if i else None
+        same = last is not None and last["last"] == r["first"]
+        carried = earlier[last["shard"]][1] if same and last["first"] == last["last"] else 0
+        earlier[r["shard"]] = (r["first"], carried + last["last_docs"] if same else 0)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,36 +233,38 @@ def read(spark: SparkSession, manifest: DataFrame, keys: DataFrame, folder_uri:
             at = np.where(null[row], np.array([*with_null, 0])[np.where(null[row], nth, 0)], np.append(numbers, 0)[np.where(null[row], 0, low[row] + nth)])
             yield pa.record_batch([pa.array(at.astype(np.int32)), column.take(pa.array(row))], ["shard", "doc_id"])
 
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = open_store(folder_uri)
         for batch in batches:
-            for shard, part in batch.groupby("shard"):
+            numbers = batch.column("shard").to_numpy()
+            for shard in np.unique(numbers).tolist():
                 path, width = of_shard[shard]
                 index = index_of(fs, path)
-                null = part["doc_id"].isna().to_numpy()
-                doc_ids = part["doc_id"].fillna(0).to_numpy(dtype=np.int64)
-                rest, found, nth = np.arange(len(part)), [], 0
-                while len(rest):
-                    slots = index.find(fingerprints(doc_ids[rest], null[rest], np.full(len(rest), nth)))
-                    rest, slots = rest[slots >= 0], slots[slots >= 0]
-                    found.append(np.stack([rest, slots, np.full(len(rest), nth)]))
-                    nth += 1
-                row, slot, occurrence = np.concatenate(found, axis=1)
-                order = np.argsort(index.offsets[slot])
-                row, slot, occurrence = row[order], slot[order], occurrence[order]
-                begin, count = index.offsets[slot], index.counts[slot]
+                column = batch.column("doc_id").filter(pa.array(numbers == shard))
+                null = column.is_null().to_numpy(zero_copy_only=False)
+                doc_ids = column.fill_null(0).to_numpy(zero_copy_only=False)
+                slots = index.find(fingerprints(doc_ids, null))
+                found = np.flatnonzero(slots >= 0)
+                found = found[np.argsort(index.rows[slots[found]], kind="stable")]
+                slot = slots[found]
+                times = index.times[slot]
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                first, before = earlier.get(shard, (None, 0))
+                base = np.where(null[found], nulls_before[shard], np.where(doc_ids[found] == first, before, 0) if first is not None else 0)
+                of, row = np.repeat(found, times), np.repeat(index.rows[slot], times) + nth
+                occurrence = nth + np.repeat(base, times)
+                begin, count = index.begins[row], index.begins[row + 1] - index.begins[row]
                 with fs.open_input_file(f"{path}.ids") as file:
                     for a, b in spans(begin, count, READ_BYTES // width):
-                        first, last = int(begin[a]), int(begin[b - 1] + count[b - 1])
-                        ids = np.frombuffer(file.read_at((last - first) * width, first * width), f"<u{width}").astype("<u4")
-                        own = [ids[i - first : i - first + n].tobytes() for i, n in zip(begin[a:b].tolist(), count[a:b].tolist(), strict=True)]
-                        keys_ = pd.array(doc_ids[row[a:b]], "Int64")
-                        keys_[null[row[a:b]]] = pd.NA
-                        yield pd.DataFrame({"doc_id": keys_, "occurrence": occurrence[a:b], "start": begin[a:b] + starts[shard], "n_tokens": count[a:b], "ids": own})
+                        low, high = int(begin[a]), int(begin[b - 1] + count[b - 1])
+                        ids = np.frombuffer(file.read_at((high - low) * width, low * width), f"<u{width}").astype("<u4")
+                        own = [ids[i - low : i - low + n].tobytes() for i, n in zip(begin[a:b].tolist(), count[a:b].tolist(), strict=True)]
+                        columns = [column.take(pa.array(of[a:b])), pa.array(occurrence[a:b]), pa.array(begin[a:b] + starts[shard]), pa.array(count[a:b]), pa.array(own, pa.binary())]
+                        yield pa.record_batch(columns, ["doc_id", "occurrence", "start", "n_tokens", "ids"])
 
     wanted = keys.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
     placed = wanted.mapInArrow(place, "shard int, doc_id long")
-    return placed.repartitionByRange(max(1, len(shards)), "shard").sortWithinPartitions("shard").mapInPandas(look_up, "doc_id long, occurrence long, start long, n_tokens long, ids binary")
+    return placed.repartitionByRange(max(1, len(shards)), "shard").sortWithinPartitions("shard").mapInArrow(look_up, "doc_id long, occurrence long, start long, n_tokens long, ids binary")
 
 
 def spans(begin: np.ndarray, count: np.ndarray, most: int) -> Iterator[tuple[int, int]]:

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from airtally.llm import bpe
+from airtally.llm import bpe, memory
 from airtally.llm.queries import word_bpe
 
 PARTS = ["a", "the", "ing", "'", "'s", "'ll", "!!", "...", "é", "é", "ß", "́", "日本", "👩‍👧", " ", "\n", "<|endoftext|>", "<|start", "oftext|>", "0", "12", "A", "İ", "Σ", "\xa0", "\x1f", "aaaaaaaaaaaa", "thethethe"]
@@ -34,13 +34,28 @@ def test_words_and_trees_equal_the_library(library, monkeypatch, seed):
         assert bpe.join_all(encoder, pieces).ids.tolist() == wanted
 
 
-def test_memory_is_bounded(library, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+def test_memory_is_bounded(library):
     encoder = bpe.Encoder(word_bpe())
+    encoder.known = memory.Recall(generation_bytes=3000)
     for n in range(30):
         text = f"again {n} and other words{n} w{n * 7} x{n}y"
         assert np.frombuffer(encoder.encode(pa.array([text]))[0].as_py(), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
-        assert len(encoder.known) < 40
+        assert len(encoder.known.young) + len(encoder.known.old) < 60
+    encoder.encode(pa.array(["v" * 65 + " short"]))
+    assert "short" in encoder.known.young and "v" * 65 not in encoder.known.young
+
+
+def test_one_operator_owns_the_memory():
+    memory.recall("first").values(["a", "b"], lambda new: map(len, new))
+    assert memory.recall("first").values(["b", "a"], lambda new: 1 / 0) == [1, 1]
+    memory.owned("second")["x"] = 1
+    assert memory.recall("first").values(["a"], lambda new: [7]) == [7]
+
+
+def test_ids_beside_null_stay_whole(spark, library):
+    rows = [((1 << 60) + 1, "x" * 300), (None, "y" * 300), ((1 << 60) + 3, "z " * 200), ((1 << 60) + 3, "z " * 200)]
+    got = bpe.round_trip(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), word_bpe(), piece_chars=100).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len(library.encode(t, add_special_tokens=False).ids)) for i, t in rows)
 
 
 def test_round_trip(spark, library):

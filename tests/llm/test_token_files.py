@@ -1,12 +1,14 @@
 """Files of ids: the perfect hash, and keyed reading against the library."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from airtally.llm import token_files as tf
-from airtally.llm.queries import word_bpe
+from airtally.llm.queries import QUERIES, word_bpe
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 1000, 20000])
@@ -40,6 +42,34 @@ def test_written_ids_are_found_by_key(spark):
     assert sorted(r.occurrence for r in got if r.doc_id == 7) == [0, 1, 2]
 
 
+def test_large_ids_beside_null_and_an_id_of_many_shards(spark):
+    big = 1 << 60
+    rows = [(big + 1, "a b"), (None, "c"), (big + 3, "d e f"), *((5, f"text {i}") for i in range(400)), *((None, f"none {i}") for i in range(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    manifest = tf.write(docs, word_bpe(), end_id=2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() > 1
+    got = tf.read(spark, manifest, docs.select("doc_id").coalesce(1)).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+    for key, n in ((5, 400), (None, 61)):
+        assert sorted(r.occurrence for r in got if r.doc_id == key) == list(range(n))
+        own = sorted((r for r in got if r.doc_id == key), key=lambda r: r.start)
+        assert [r.occurrence for r in own] == list(range(n))
+
+
+def test_checksums_of_the_query(spark):
+    folder = "/root/testdata/sf0.001"
+    library = Tokenizer.from_file(word_bpe())
+    start, wanted = 0, []
+    for r in sorted(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect(), key=lambda r: r.doc_id):
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 2]
+        wanted.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = QUERIES["op8_token_files"](spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == wanted
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     manifest = tf.write(docs, word_bpe(), end_id=2)
