@@ -6,8 +6,9 @@ none gets more than ``most`` times what it has, and the excess goes to the other
 *Blocks.* The documents of a source stand in the order of a digest of their content, a fixed random
 permutation. Ranges of the digest cut it into blocks, so a busy source has many blocks and no task
 ever holds more than one of them. A source gives all its blocks as often as its target allows, and
-once more the first blocks up to the target; there the last document is cut after its last wanted
-word, so what a source gives is its target to the word.
+once more the first blocks up to the target. Documents are taken whole: the one that the target
+falls into is taken if that comes nearer to the target, so a source gives its target but for half
+of one document.
 
 *Splitting tree.* Blocks are counted for each source: that is its quota. The shards of the mix are
 the leaves of a binary tree. A node draws which part of its blocks goes left, without replacement
@@ -140,7 +141,7 @@ def mix(
     ``taken`` words, ``draws`` and, with ``keep_row``, ``row`` with all columns.
 
     ``draws`` holds, for each time the document is in the mix, ``shard``, ``nth`` (place of the
-    block in the shard), ``copy`` and ``words``, the number of its first words that are taken.
+    block in the shard), ``copy`` and ``words``, its size.
     """
     spark = docs.sparkSession
     text, source = docs[text_col], docs[source_col]
@@ -193,19 +194,14 @@ def mix(
         .withColumn("start", F.col("first") + F.col("before"))
     )
     taken = F.expr("""filter(transform(coalesce(drawn, array()), d -> struct(d.shard AS shard, d.nth AS nth, d.copy AS copy,
-        CASE WHEN d.copy < passes THEN size ELSE greatest(0L, least(size, rest - start)) END AS words)), d -> d.words > 0)""")
+        CASE WHEN d.copy < passes OR 2 * (rest - start) >= size THEN size ELSE 0L END AS words)), d -> d.words > 0)""")
     placed = placed.withColumn("draws", taken).withColumn("taken", F.expr("aggregate(draws, 0L, (t, d) -> t + d.words)"))
     return placed.select("doc_id", "size", "source_size", "target", "taken", "draws", *(["row"] if keep_row else []))
 
 
-def mixed(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a row for each time a document is taken, its text
-    cut after the last taken word. Each shard is in one partition, in its shuffled order."""
-    rows = mix(docs, text_col=text_col, **options).select("row", "size", F.explode("draws").alias("d"))
-    start = F.concat_ws("", F.slice(F.regexp_extract_all(F.col("row")[text_col], F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("d.words").cast("int")))
-    cut = F.when(F.col("d.words") < F.col("size"), start).otherwise(F.col("row")[text_col])
-    rows = rows.withColumn("cut", cut).repartition("d.shard").sortWithinPartitions("d.shard", "d.nth", F.xxhash64("d.copy", "cut"))
-    own = {text_col: F.col("cut")}
-    if chars_col:
-        own[chars_col] = F.when(F.col("d.words") < F.col("size"), F.length("cut")).otherwise(F.col("row")[chars_col])
-    return rows.select(*(own.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each time a document is taken. Each
+    shard is in one partition, in its shuffled order."""
+    rows = mix(docs, **options).select("row", F.explode("draws").alias("d"))
+    rows = rows.repartition("d.shard").sortWithinPartitions("d.shard", "d.nth", F.xxhash64("d.copy", "row"))
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -208,7 +208,7 @@ WITH sized AS (
 ), placed AS (
     SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY spot, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sized
 )
-SELECT doc_id, size, n AS source_size, target, (passes * size + greatest(0, least(size, rest - start)))::BIGINT AS taken
+SELECT doc_id, size, n AS source_size, target, (passes * size + CASE WHEN 2 * (rest - start) >= size THEN size ELSE 0 END)::BIGINT AS taken
 FROM placed JOIN given ON placed.source IS NOT DISTINCT FROM given.source
 """
 
