@@ -66,6 +66,31 @@ def ensure_one_row(df: DataFrame, **constants: Column) -> DataFrame:
     return filled.select(*constants, *[c for c in df.columns if c not in constants])
 
 
+#: Levels of aligned nodes: 2^40 bins are longer than any log.
+LEVELS = 40
+
+
+def dyadic_nodes(first: Column, last: Column) -> Column:
+    """Aligned nodes (``level``, ``node``) that exactly cover the bins ``first`` to ``last``.
+
+    A node of level k stands for 2^k bins. At each level at most two are left over, one
+    at each end, so there are at most about twice as many as the length has digits.
+    """
+    one = F.lit(1).cast("bigint")
+
+    def ends(level):
+        shift = lambda n: F.call_function("shiftright", n, level)
+        # whole nodes of this level inside the bins: from ``low`` to before ``high``
+        low, high = shift(first + F.call_function("shiftleft", one, level) - 1), shift(last + 1)
+        odd = lambda n: n.bitwiseAND(one) == 1
+        left = F.when((low < high) & odd(low), F.struct(level.alias("level"), low.alias("node")))
+        right = F.when((low < high) & odd(high), F.struct(level.alias("level"), (high - 1).alias("node")))
+        return F.array(left, right)
+
+    levels = F.sequence(F.lit(0), F.lit(LEVELS))
+    return F.filter(F.flatten(F.transform(levels, ends)), lambda n: n.isNotNull())
+
+
 def contained_in(
     inner: DataFrame,
     outer: DataFrame,
@@ -76,15 +101,27 @@ def contained_in(
 ) -> DataFrame:
     """Pairs where the inner interval lies inside the outer one.
 
-    Outer intervals are listed once per time bin they touch and the inner ones by the
-    bin of their start, so the join key is (key, bin): each pair is found exactly once
-    and a busy key is spread over its bins.
+    An outer interval is cut into aligned nodes, some 40 for one of 24 years, and the
+    start of an inner one looks up its ancestors at the levels that outer intervals use.
+    The join key is (key, level, node), so each pair is found exactly once and a busy
+    key is spread over its nodes.
     """
     (i0, i1), (o0, o1) = inner_span, outer_span
     bin_of = lambda c: F.floor(F.unix_timestamp(c) / bin_seconds)
-    spread = outer.where(F.col(o1) >= F.col(o0)).withColumn("_bin", F.explode(F.sequence(bin_of(o0), bin_of(o1))))
-    placed = inner.withColumn("_bin", bin_of(i0))
-    return placed.join(spread, [*on, "_bin"]).where((F.col(i0) >= F.col(o0)) & (F.col(i1) <= F.col(o1))).drop("_bin")
+    spread = outer.where(F.col(o1) >= F.col(o0)).withColumn("_n", F.explode(dyadic_nodes(bin_of(o0), bin_of(o1))))
+    spread = spread.withColumns({"_level": F.col("_n.level"), "_node": F.col("_n.node")}).drop("_n")
+    levels = spread.select("_level").distinct()  # at most LEVELS rows
+    placed = inner.crossJoin(F.broadcast(levels)).withColumn("_node", F.call_function("shiftright", bin_of(i0), F.col("_level")))
+    found = placed.join(spread, [*on, "_level", "_node"]).drop("_level", "_node")
+    return found.where((F.col(i0) >= F.col(o0)) & (F.col(i1) <= F.col(o1)))
+
+
+def first_value(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], name: str) -> DataFrame:
+    """Add the value of the first row of each key, in the order of ``order`` (which ends in
+    a unique column). It is aggregated and joined back: no key is gathered into a task."""
+    firsts = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(value, F.struct(*order)).alias(name))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(firsts, same, "left").select(*df.columns, name)
 
 
 def ratio_to_report(df: DataFrame, column: str, keys: Sequence[str] = (), name: str = "share") -> DataFrame:
@@ -103,9 +140,3 @@ def keep(df: DataFrame) -> DataFrame:
     """Hold a stage that several later stages read. Lost blocks are recomputed, blocks
     that do not fit in memory go to disk; ``spark.catalog.clearCache()`` lets go."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def scalar(df: DataFrame):
-    """Single value of a one-row frame, for use as a parameter."""
-    row = df.first()
-    return None if row is None else row[0]

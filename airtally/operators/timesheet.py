@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_lit, label_date, week_number
 from ..functions.metrics import zero_label_to_blank
+from .numbering import number_rows
 
 # Sales cycles that have their own report columns, and time off.
 CYCLES = {"presales": "Pre Sales", "pre_and_post": "Pre and Post Sales", "postsales": "Post Sales"}
@@ -122,13 +123,14 @@ def _shares(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def top_tasks(log: DataFrame, k: int | None = 10) -> DataFrame:
-    """Tasks ranked by time with their share of the total."""
+    """Tasks ranked by time with their share of the total. All of them (``k=None``) are
+    numbered in sorted ranges, the first ones by a limited sort."""
     sums = log.groupBy("category", "task").agg(minutes_sum().alias("_minutes"))
     shared = _shares(sums, ["category", "task"]).drop("hours", "grand_hours")
     order = [F.desc("minutes"), "category", "task"]
-    if k is not None:
-        shared = shared.orderBy(*order).limit(k)
-    return shared.withColumn("rank_by_time", F.row_number().over(W.orderBy(*order)))
+    if k is None:
+        return number_rows(shared, order, "rank_by_time")
+    return shared.orderBy(*order).limit(k).withColumn("rank_by_time", F.row_number().over(W.orderBy(*order)))
 
 
 def cycle_hours(report: DataFrame, cycles: Sequence[str] = tuple(CYCLES.values()), others: bool = False, client_facing: str | None = None) -> DataFrame:
