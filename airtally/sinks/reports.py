@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.numbering import chunk_rows
 from ..operators.rows import ensure_one_row
+from .commits import Folder, Manifest, replace_table
 
 # Text formats of delivered files.
 CSV_FORMAT = {
@@ -60,34 +61,35 @@ def _fs(spark: SparkSession, path: str):
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
-def write_report(
-    df: DataFrame,
-    folder: str,
-    name,
-    order: Sequence[str],
-    columns: Sequence[str],
-    as_of: date,
-    max_rows: int = 999_999,
-) -> list[str]:
+@dataclass(frozen=True)
+class Staged:
+    """Finished files that nobody reads yet: path and rows of each, and a digest of all rows."""
+
+    files: tuple[tuple[str, int], ...]
+    digest: str
+
+
+def stage_report(df: DataFrame, staging: str, order: Sequence[str], columns: Sequence[str], as_of: date, max_rows: int = 999_999) -> Staged:
     """Write files of at most ``max_rows`` rows, each with a header, in the given order.
 
-    ``name`` maps a sequence number to a file name. An empty report still yields one
-    file with a header and one row that holds only the execution date. The rows of a
-    file are written by one task into one part, whatever the session says on the size of
-    files; a missing part or row is an error. Files that an earlier run left beyond the
-    last one are removed once the new ones are in place.
+    An empty report still yields one file with a header and one row that holds only the
+    execution date. The rows of a file are written by one task into one part, whatever
+    the session says on the size of files; a missing part or row is an error. The digest
+    is a sum over rows, so it does not depend on the files they are in.
     """
     spark = df.sparkSession
     chunks = chunk_rows(df, order, max_rows)
     spread = chunks.repartition("row_partition").sortWithinPartitions("row_partition", "row_num")
     seen = Observation()
-    counted = spread.observe(seen, F.count(F.lit(1)).alias("rows"), F.max("row_num").alias("last"), F.max("row_partition").alias("files"))
-    staging = f"{folder.rstrip('/')}/_parts_{name(0)}"
+    row_digest = F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+    counted = spread.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.max("row_num").alias("last"), F.max("row_partition").alias("files"), row_digest.cast("string").alias("digest")
+    )
     to_csv(counted.select("row_partition", *columns)).partitionBy("row_partition").csv(staging)
     rows, files = seen.get["rows"], seen.get["files"] or 0
     if rows != (seen.get["last"] or 0):
         raise ValueError(f"{rows} of {seen.get['last']} report rows were written")
-    fs, Path = _fs(spark, folder)
+    fs, Path = _fs(spark, staging)
     chunk_dirs = sorted(
         (s.getPath() for s in fs.listStatus(Path(staging)) if s.isDirectory()), key=lambda p: int(p.getName().split("=")[1])
     )
@@ -96,21 +98,86 @@ def write_report(
     if not chunk_dirs:
         blank = ensure_one_row(df.limit(0).select(*columns), report_execution_date=F.lit(as_of)).select(*columns)
         to_csv(blank.coalesce(1)).csv(f"{staging}/row_partition=1")
-        chunk_dirs = [Path(f"{staging}/row_partition=1")]
+        chunk_dirs, rows = [Path(f"{staging}/row_partition=1")], 1
     parts = [[s.getPath() for s in fs.listStatus(chunk) if s.getPath().getName().startswith("part-")] for chunk in chunk_dirs]
     if any(len(found) != 1 for found in parts):
         raise ValueError("a report file was written in several parts")
+    sizes = [min(max_rows, rows - i * max_rows) for i in range(len(parts))]
+    return Staged(tuple((part.toString(), n) for (part,), n in zip(parts, sizes, strict=True)), seen.get["digest"] or "0")
+
+
+def write_report(
+    df: DataFrame,
+    folder: str,
+    name,
+    order: Sequence[str],
+    columns: Sequence[str],
+    as_of: date,
+    max_rows: int = 999_999,
+) -> list[str]:
+    """The files of :func:`stage_report` in a folder, named by ``name`` (sequence number to file name).
+
+    Each file replaces its predecessor in one step, but the files of a report one by one:
+    :func:`commit_reports` is for readers that must not see half of two runs. Files that
+    an earlier run left beyond the last one are removed once the new ones are in place.
+    """
+    spark = df.sparkSession
+    here = Folder(spark, folder)
+    staging = f"{here.root}/_parts_{name(0)}"
+    staged = stage_report(df, staging, order, columns, as_of, max_rows)
     written = []
-    for i, (part,) in enumerate(parts, 1):
-        target = Path(f"{folder.rstrip('/')}/{name(i)}")
-        fs.delete(target, False)
-        fs.rename(part, target)
-        written.append(target.toString())
-    fs.delete(Path(staging), True)
+    for i, (part, _) in enumerate(staged.files, 1):
+        written.append(f"{here.root}/{name(i)}")
+        here.rename(part, written[-1], overwrite=True)
+    here.fs.delete(here.path(staging), True)
     remove_stale(spark, folder, name, len(written))
     return written
 
 
+@dataclass(frozen=True)
+class Report:
+    """A finished report of a run: its rows, how they are ordered and which columns are delivered."""
+
+    table: str
+    rows: DataFrame
+    order: Sequence[str]
+    columns: Sequence[str]
+
+
+def commit_reports(
+    reports: Sequence[Report], folders: Sequence[str], name, arguments: Mapping, as_of: date, max_rows: int = 999_999
+) -> list[Manifest]:
+    """Deliver all reports of a run to every folder, each of which shows them at once.
+
+    ``name`` maps a table and a sequence number to a file name. The files are written once
+    and copied; then each folder gets its manifest. Until its manifest is there, a folder
+    shows the run before, whatever fails.
+    """
+    spark = reports[0].rows.sparkSession
+    first, *others = [Folder(spark, f) for f in folders]
+    numbers = [max(f.numbers(), default=0) + 1 for f in (first, *others)]
+    run, files, digests = first.new_run(), [], []
+    for report in reports:
+        staged = stage_report(report.rows, f"{run}/_parts_{report.table}", report.order, report.columns, as_of, max_rows)
+        digests.append(f"{report.table}:{staged.digest}")
+        for i, (part, n) in enumerate(staged.files, 1):
+            path = f"{run}/{name(report.table, i)}"
+            first.rename(part, path, overwrite=False)
+            files.append({"table": report.table, "path": path, "rows": n, "bytes": first.fs.getFileStatus(first.path(path)).getLen()})
+        first.fs.delete(first.path(f"{run}/_parts_{report.table}"), True)
+    ready = [(first, run, files)]
+    copy = spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy
+    for folder in others:
+        copied_run, copied = folder.new_run(), []
+        folder.fs.mkdirs(folder.path(copied_run))
+        for f in files:
+            path = f"{copied_run}/{f['path'].rsplit('/', 1)[-1]}"
+            copy(first.fs, first.path(f["path"]), folder.fs, folder.path(path), False, True, spark.sparkContext._jsc.hadoopConfiguration())
+            copied.append({**f, "path": path})
+        ready.append((folder, copied_run, copied))
+    return [folder.commit(own, there, arguments, ";".join(digests), number) for (folder, own, there), number in zip(ready, numbers, strict=True)]
+
+
 def to_csv(df: DataFrame):
     """Writer of delivered files: each task writes one file."""
     return df.write.mode("overwrite").options(**CSV_FORMAT).option("maxRecordsPerFile", 0)
@@ -144,9 +211,11 @@ def deliver(df: DataFrame, destinations: Destinations, region: str, name, order,
     return out
 
 
-def overwrite_table(df: DataFrame, name: str, fmt: str = "parquet") -> None:
-    """Replace a table in one step."""
-    df.write.mode("overwrite").format(fmt).saveAsTable(name)
+def overwrite_table(df: DataFrame, name: str, fmt: str = "parquet", root: str | None = None) -> None:
+    """Full refresh of a table, whose versions are kept below ``root`` (by default beside the
+    warehouse's tables); see :func:`replace_table`."""
+    warehouse = df.sparkSession.conf.get("spark.sql.warehouse.dir")
+    replace_table(df, name, root or f"{warehouse.rstrip('/')}/{name.rsplit('.', 1)[-1]}_versions", fmt)
 
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str, as_of: date) -> dict[str, str]:

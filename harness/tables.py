@@ -328,6 +328,14 @@ class Tables:
             F.concat(F.lit("Task "), F.col("l_linenumber").cast("string"), F.lit(" ")).alias("task"),
         )
 
+    def weekly_types(self) -> list[tuple[str, str]]:
+        """Columns and types of the weekly report."""
+        from airtally.plans import mapping as mp
+        from airtally.plans.weekly import REPORT_COLUMNS, weekly_report
+
+        mapping = mp.enrich_mapping(self.mapping(), self.order_meta())
+        return weekly_report(self.delivery(), self.sessions(), mapping, self.profile_map(), CONFIG).select(*REPORT_COLUMNS).dtypes
+
     @once
     def sheet_report(self) -> DataFrame:
         from airtally.operators.timesheet import clean_map, timesheet_report
