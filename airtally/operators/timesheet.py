@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_lit, label_date, week_number
 from ..functions.metrics import zero_label_to_blank
+from ..storage import use_checkpoint_dir
 from .numbering import number_rows
 
 # Sales cycles that have their own report columns, and time off.
@@ -167,17 +168,19 @@ def cycle_categories(hours: DataFrame, top_percent: float = 99.0) -> DataFrame:
     return filled.select("sales_cycle", "cycle_percent", "title", F.coalesce(part(F.col("_minutes"), F.col("_all")), F.lit(0.0)).alias("percent"))
 
 
-def cycle_pivot(report: DataFrame, totals: bool = False, most_labels: int = 500, **toggles) -> DataFrame:
+def cycle_pivot(report: DataFrame, totals: bool = False, **toggles) -> DataFrame:
     """One row per sales cycle, one numbered percent column per category.
 
-    Column names come from the data, so the labels are fetched first, from the category
-    sums alone; labels are a pick list, and more than ``most_labels`` of them are an error.
+    Column names come from the data. The report is read once, here: its hours by cycle and
+    category are checkpointed, a row for each pair of labels, and all that follows is made
+    of these.
     """
-    shares = cycle_categories(cycle_hours(report, **toggles))
-    titles = [r[0] for r in shares.select("title").distinct().orderBy("title").limit(most_labels + 1).collect()]
-    if len(titles) > most_labels:
-        raise ValueError(f"more than {most_labels} categories")
-    pivoted = shares.groupBy("sales_cycle", "cycle_percent").pivot("title", titles).agg(F.sum("percent"))
+    use_checkpoint_dir(report.sparkSession)
+    shares = cycle_categories(cycle_hours(report, **toggles).checkpoint())
+    by_title = F.map_from_entries(F.collect_list(F.struct("title", "percent"))).alias("_percents")
+    rows = shares.groupBy("sales_cycle", "cycle_percent").agg(by_title).checkpoint()
+    titles = sorted(r[0] for r in rows.select(F.explode(F.map_keys("_percents"))).distinct().collect())
+    pivoted = rows.select("sales_cycle", "cycle_percent", *[F.col("_percents")[F.lit(t)].alias(t) for t in titles])
     if totals:
         total = pivoted.agg(*[F.sum(F.col(f"`{c}`")).alias(c) for c in pivoted.columns if c != "sales_cycle"])
         pivoted = pivoted.unionByName(total.withColumn("sales_cycle", F.lit("Total")))
@@ -186,16 +189,18 @@ def cycle_pivot(report: DataFrame, totals: bool = False, most_labels: int = 500,
 
 def department_hours(report: DataFrame, weeks: int = 4, days: int = 20) -> DataFrame:
     """Hours per department: total, per member and per sales cycle, with weekly and
-    daily averages. Conditional sums in one pass replace a subquery per cycle."""
-    sizes = report.groupBy("department").agg(F.countDistinct(F.concat("name", F.lit(" - "), "role")).alias("members"))
-    cycle = F.col("sales_cycle")
+    daily averages. Members and sums by condition come from one pass."""
+    cycle, worked = F.col("sales_cycle"), F.col("category") != TIME_OFF
     picks = {name: cycle == value for name, value in CYCLES.items()}
     picks["other"] = ~cycle.isin(*CYCLES.values())
-    hours = report.where(F.col("category") != TIME_OFF).groupBy("department").agg(
-        (minutes_sum().cast("double") / 60).alias("total_hours"),
-        *[(minutes_sum(where=cond).cast("double") / 60).alias(f"{name}_hours") for name, cond in picks.items()],
+    hours = report.groupBy("department").agg(
+        F.countDistinct(F.concat("name", F.lit(" - "), "role")).alias("members"),
+        F.count_if(worked).alias("_worked"),
+        (minutes_sum(where=worked).cast("double") / 60).alias("total_hours"),
+        *[(minutes_sum(where=worked & cond).cast("double") / 60).alias(f"{name}_hours") for name, cond in picks.items()],
     )
-    out = hours.join(sizes, "department", "left").withColumn("hours_per_member", F.try_divide("total_hours", "members"))
+    # departments with nothing but time off have no row
+    out = hours.where("_worked > 0").drop("_worked").withColumn("hours_per_member", F.try_divide("total_hours", "members"))
     for name in picks:
         total, member = F.col(f"{name}_hours"), F.try_divide(f"{name}_hours", "members")
         out = (

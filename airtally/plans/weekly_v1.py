@@ -30,20 +30,26 @@ def _held(impressions: DataFrame, clicks: DataFrame, usage: DataFrame) -> tuple[
     return impressions, clicks, usage, impressions.unionByName(clicks)
 
 
+def on_each_day(spans: DataFrame, days: DataFrame, first: str, last: str, name: str) -> DataFrame:
+    """A row for each day of a span, from ``first`` to ``last`` (null: no end), within the days that
+    ``days`` has at all. A device has at most as many rows of a creative as the report has days."""
+    bounds = days.agg(F.min(name).alias("_lo"), F.max(name).alias("_hi"))  # one row
+    begin, end = F.greatest(first, "_lo"), F.least(F.coalesce(last, "_hi"), "_hi")
+    bounded = spans.crossJoin(F.broadcast(bounds)).withColumns({"_begin": begin, "_end": end}).where("_begin <= _end")
+    return bounded.withColumn(name, F.explode(F.sequence("_begin", "_end"))).drop("_lo", "_hi", "_begin", "_end")
+
+
 def opens_by_usage_day(exposures: DataFrame, usage: DataFrame) -> DataFrame:
     """Openers and time per usage day and creative shown earlier or the same day.
 
-    Time is repeated for every exposure day up to the usage day. Both sides hold one
-    row per day, and each exposure day covers the usage days until the next one, so a
-    usage day meets every creative of its device once.
+    Time is repeated for every exposure day up to the usage day. Each exposure day stands
+    for the days until the next one, and meets usage on device and day.
     """
     shown = distinct_exposure_days(exposures, [*ON, "creative_id", "campaign_id"])
     by = W.partitionBy(*ON, "creative_id", "campaign_id").orderBy("expose_date")
-    spans = shown.withColumn("_times", F.row_number().over(by)).withColumn("_until", F.lead("expose_date").over(by))
+    spans = shown.withColumn("_times", F.row_number().over(by)).withColumn("_until", F.date_sub(F.lead("expose_date").over(by), 1))
     days = daily_usage(usage, ON)
-    met = spans.join(days, ON).where(
-        (F.col("usage_date") >= F.col("expose_date")) & (F.col("_until").isNull() | (F.col("usage_date") < F.col("_until")))
-    )
+    met = on_each_day(spans, days, "expose_date", "_until", "usage_date").join(days, [*ON, "usage_date"])
     return met.groupBy(F.col("usage_date").alias("date"), *CREATIVE).agg(
         F.countDistinct("device_id").alias("openers"), F.sum(F.col("minutes") * F.col("_times")).alias("minutes")
     )
@@ -162,9 +168,9 @@ def instant_opens(exposures: DataFrame, usage: DataFrame, keys: Sequence[str] =
     shown = exposures.groupBy("device_id", *keys, day("event_ts").alias("_shown_on")).agg(F.count(F.lit(1)).alias("_n"))
     by = W.partitionBy("device_id", *keys).orderBy("_shown_on")
     spans = shown.withColumn("_times", F.sum("_n").over(by)).withColumn("_until", F.lead("_shown_on").over(by))
-    carried = spans.join(days, "device_id").where(
-        (F.col("date") > F.col("_shown_on")) & (F.col("_until").isNull() | (F.col("date") <= F.col("_until")))
-    ).select("device_id", *keys, "date", (F.col("_day_minutes") * F.col("_times")).alias("minutes"))
+    later = spans.withColumn("_next_day", F.date_add("_shown_on", 1))
+    carried = on_each_day(later, days, "_next_day", "_until", "date").join(days, ["device_id", "date"])
+    carried = carried.select("device_id", *keys, "date", (F.col("_day_minutes") * F.col("_times")).alias("minutes"))
     same_day = asof(
         exposures.select("device_id", *keys, "event_ts", day("event_ts").alias("date")),
         known.select("device_id", "conversion_ts", "minutes", day("conversion_ts").alias("date")),

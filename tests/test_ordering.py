@@ -1,6 +1,7 @@
 """Ranks and ordinals of ranges and slices against windows over everything; intervals as aligned nodes."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window as W
@@ -67,3 +68,34 @@ def test_ranking_all_tasks_gathers_nothing(spark):
     assert rows(every.where("rank_by_time <= 10"), "task", "rank_by_time") == rows(some, "task", "rank_by_time")
     # the one row of all minutes, and one row per range
     assert all("Aggregate" in x or "Window" in x or "_range" in x for x in gathered(plan_of(every)))
+
+
+def test_pivot_has_no_cap_and_reads_the_log_once(spark):
+    from airtally.operators.timesheet import cycle_pivot
+
+    reads = spark.sparkContext.accumulator(0)
+    made = [("Pre Sales", f"c{i:04d}", 1.0 + i) for i in range(600)] + [("Post Sales", "PTO", 5.0), ("Post Sales", "c0001", 7.0)]
+
+    def counted(batches):
+        reads.add(1)
+        yield from batches
+
+    log = spark.createDataFrame(made, "sales_cycle string, category string, minutes_active double").coalesce(1).mapInArrow(counted, "sales_cycle string, category string, minutes_active double")
+    out = cycle_pivot(log, totals=True)
+    got = {r.sales_cycle: r for r in out.collect()}
+    assert set(got) == {"Pre Sales", "Post Sales", "Total"} and len(out.columns) > 502
+    assert abs(sum(v for k, v in got["Total"].asDict().items() if k not in ("sales_cycle", "cycle_percent")) - 100) < 1e-6
+    assert reads.value == 1
+    assert cycle_pivot(log.limit(0)).count() == 0
+
+
+def test_days_of_a_device_meet_on_device_and_day(spark):
+    from airtally.plans.weekly_v1 import instant_opens, opens_by_usage_day
+
+    log = spark.createDataFrame([(1, "US", ts("2024-01-01 10:00:00"), 5, 6)], "device_id int, country string, event_ts timestamp_ntz, creative_id int, campaign_id int")
+    usage = spark.createDataFrame([(1, "US", ts("2024-01-03 10:00:00"), 9)], "device_id int, country string, conversion_ts timestamp_ntz, minutes long")
+    for out in (opens_by_usage_day(log, usage), instant_opens(log, usage, ("creative_id",))):
+        assert rows(out, "date", "creative_id", "openers", "minutes") == [(ts("2024-01-03 00:00:00").date(), 5, 1, 9)]
+        plan = plan_of(out)
+        assert "Generate explode(sequence" in plan and re.search(r"Join \[device_id#\d+", plan)
+        assert not re.search(r"Join \[device_id#\d+(, country#\d+)?\], ", plan)
