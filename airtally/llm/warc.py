@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, open_store, shared_folder
 
+#: Bytes read at a time behind a range's end, and unpacked at a time; ranges that a task reads on average.
+STEP_BYTES, RANGES_OF_TASK = 16_384, 2
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -112,44 +114,63 @@ def write(
     return materialize(named.mapInArrow(as_arrow, "path string, bytes long, records long"), "warc-files")
 
 
-def unpacked(source, offset: int, size: int) -> tuple[bytes, int] | None:
-    """Content and length of the gzip member at an offset, if a WARC record is there."""
-    source.seek(offset)
-    data = source.read(min(READ_BYTES, size - offset))
-    if len(data) < 18 or data[3] & 0xE0:
+class Window:
+    """The part of a file that a range needs, read once from its start on."""
+
+    def __init__(self, source, start: int, end: int, size: int) -> None:
+        self.source, self.end, self.size = source, end, size
+        self.base, self.data = start, b""
+        source.seek(start)
+
+    def grow(self) -> bool:
+        """Read on: up to the end of the range, then in small steps, as records may go beyond it."""
+        at = self.base + len(self.data)
+        part = self.source.read(min(READ_BYTES, max(self.end - at, STEP_BYTES), self.size - at))
+        self.data += part
+        return bool(part)
+
+    def drop(self, before: int) -> None:
+        if before - self.base > READ_BYTES:
+            self.data, self.base = self.data[before - self.base :], before
+
+    def record(self, offset: int) -> tuple[bytes, int] | None:
+        """Content and length of the gzip member at an offset, if a WARC record is there."""
+        start = at = offset - self.base
+        while len(self.data) < start + 4 and self.grow():
+            pass
+        if len(self.data) < start + 4 or self.data[start + 3] & 0xE0:
+            return None
+        reader, parts, got = zlib.decompressobj(31), [], 0
+        try:
+            while at < len(self.data) or self.grow():
+                piece = self.data[at : at + STEP_BYTES]
+                part = reader.decompress(piece)
+                at += len(piece) - len(reader.unused_data)
+                if part:
+                    parts.append(part)
+                    got += len(part)
+                    if got >= 7 and len(parts) < 8 and not b"".join(parts)[:7] == b"WARC/1.":
+                        return None
+                if reader.eof:
+                    return (b"".join(parts), at - start) if got >= 7 else None
+        except zlib.error:
+            pass
         return None
-    reader, parts, taken, got = zlib.decompressobj(31), [], 0, 0
-    try:
-        while data:
-            part = reader.decompress(data)
-            taken += len(data) - len(reader.unused_data)
-            if part:
-                parts.append(part)
-                got += len(part)
-                if got >= 7 and len(parts) < 8 and not b"".join(parts)[:7] == b"WARC/1.":
-                    return None
-            if reader.eof:
-                return (b"".join(parts), taken) if got >= 7 else None
-            data = source.read(min(READ_BYTES, size - offset - taken))
-    except zlib.error:
-        return None
-    return None
 
 
 def members(source, start: int, end: int, size: int) -> Iterator[tuple[int, int, bytes]]:
     """Offset, length and content of the records that start in a byte range."""
-    at = start
+    window, at = Window(source, start, end, size), start
     while at < end:
-        source.seek(at)
-        data = source.read(min(READ_BYTES, end + len(MAGIC) - 1 - at))
-        found = data.find(MAGIC)
+        window.drop(at)
+        found = window.data.find(MAGIC, at - window.base, end + len(MAGIC) - 1 - window.base)
         if found < 0:
-            at += max(1, len(data) - len(MAGIC) + 1)
+            at = max(at, window.base + len(window.data) - len(MAGIC) + 1)
+            if at >= end or not window.grow():
+                return
             continue
-        at += found
-        if at >= end:
-            return
-        record = unpacked(source, at, size)
+        at = window.base + found
+        record = window.record(at)
         if record is None:
             at += 1
         else:
@@ -199,4 +220,6 @@ def read(files: DataFrame, range_bytes: int = RANGE_BYTES, with_payload: bool =
                 if rows:
                     yield pd.DataFrame(rows, columns=names)
 
-    return ranges.repartition("path", "start").mapInPandas(read_ranges, RECORDS)
+    # a number of tasks that follows from the files: ranges are tiny rows, which adaptive execution would merge
+    tasks = files.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 0
+    return ranges.repartition(max(1, -(-int(tasks) // RANGES_OF_TASK)), "path", "start").mapInPandas(read_ranges, RECORDS)

@@ -59,3 +59,35 @@ def test_files_are_cut_and_empty_tables_have_none(spark):
     assert files.count() > 3 and sum(f.records for f in files.collect()) == len(rows)
     none = warc.write(df.limit(0))
     assert none.count() == 0 and warc.read(none).count() == 0
+
+
+class Counted:
+    def __init__(self, path):
+        self.file, self.read_bytes = open(path, "rb"), 0
+
+    def seek(self, at):
+        self.file.seek(at)
+
+    def read(self, n):
+        data = self.file.read(n)
+        self.read_bytes += len(data)
+        return data
+
+
+def test_a_range_is_read_once(tmp_path):
+    path = tmp_path / "many.warc.gz"
+    path.write_bytes(b"".join(warc.member(i, "http://a", os.urandom(500), None, 1) for i in range(6000)))
+    size, found, read = path.stat().st_size, 0, 0
+    for start in range(0, size, 1_000_000):
+        source = Counted(path)
+        found += sum(1 for _ in warc.members(source, start, min(start + 1_000_000, size), size))
+        read += source.read_bytes
+    assert found == 6000 and read <= 1.1 * size
+
+
+def test_ranges_are_spread_over_tasks(spark, tmp_path):
+    df, _ = pages(spark)
+    files = warc.write(df.coalesce(1))
+    total = files.first().bytes
+    got = warc.read(files, range_bytes=-(-total // 200))
+    assert got.rdd.getNumPartitions() >= 50 and got.count() == df.count()
