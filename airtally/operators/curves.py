@@ -48,29 +48,62 @@ def exposures_to_convert(
     return out.withColumn("seconds_to_convert", diff("second", "first_exposure", "first_conversion"))
 
 
+#: Values of a bucket of the histograms that medians are taken from.
+BUCKET = 1024
+
+
+def grain_medians(counts: DataFrame, keys: Sequence[str], value: str, count: str, name: str, bucket: int = BUCKET) -> DataFrame:
+    """Exact median per key, from the number of times each value (a whole number) occurs.
+
+    The counts of buckets of values are added up first; the one or two buckets that the
+    middle falls into are then searched value by value. So a key with any number of
+    values costs a task its buckets, or the values of two of them.
+    """
+    binned = counts.withColumn("_bucket", F.floor(F.col(value) / bucket))
+    by_bucket = binned.groupBy(*keys, "_bucket").agg(F.sum(count).alias("_c"))
+    whole, upto = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    placed = by_bucket.withColumns({"_n": F.sum("_c").over(whole), "_before": F.coalesce(F.sum("_c").over(upto), F.lit(0))})
+    # the middle, counted from 0: one row twice, or the two rows around it
+    middle = placed.withColumns({"_lo": F.floor((F.col("_n") - 1) / 2), "_hi": F.ceil((F.col("_n") - 1) / 2)})
+    holds = lambda at, before, n: (F.col(before) <= F.col(at)) & (F.col(at) < F.col(before) + F.col(n))
+    hit = middle.where(holds("_lo", "_before", "_c") | holds("_hi", "_before", "_c")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), "_before", "_lo", "_hi")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    inside = binned.join(hit, [*same, F.col("_bucket") == F.col("_b")])
+    within = W.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    inside = inside.withColumn("_first", F.col("_before") + F.coalesce(F.sum(count).over(within), F.lit(0)))
+    pick = lambda at: F.max(F.when(holds(at, "_first", count), F.col(value)))
+    return inside.groupBy(*keys).agg(((pick("_lo") + pick("_hi")) / 2).alias(name))
+
+
 def conversion_medians(converted: DataFrame, placement: str = "placement", device: str = "device_id") -> DataFrame:
     """Medians and converters by day and placement, by placement and overall.
 
-    Medians cannot be added up, so each grain is aggregated on its own. A median keeps
-    one counter per distinct value: both measures are bounded by the window.
+    Medians cannot be added up, but the numbers of times that values occur can: these are
+    counted once, by day and placement, and summed for the other grains. A null measure
+    has no say in its median.
     """
-    first_day = F.to_date("first_exposure")
-    measures = [
-        F.median("exposures").alias("median_exposures"),
-        (F.median("seconds_to_convert") / 3600).alias("median_hours"),
-        F.countDistinct(device).alias("conversions"),
-    ]
-    columns = ["grain", "first_exposure", "placement", "median_exposures", "median_hours", "conversions"]
-    labelled = lambda df, grain, name: df.withColumn("grain", F.lit(grain)).withColumn("placement", name).select(*columns)
-    dated = keep(converted.withColumn("_day", first_day))  # read once per grain
-    by_day = dated.groupBy("_day", placement).agg(*measures).withColumnRenamed("_day", "first_exposure")
-    by_placement = dated.groupBy(placement).agg(F.min("_day").alias("first_exposure"), *measures)
-    total = dated.groupBy().agg(F.min("_day").alias("first_exposure"), *measures).where(F.col("conversions") > 0)
-    return (
-        labelled(by_day, "DAY", F.col(placement))
-        .unionByName(labelled(by_placement, "PLACEMENT", F.col(placement)))
-        .unionByName(labelled(total, "TOTAL UNIQUE", F.lit("ALL")))
+    rows = converted.select(F.to_date("first_exposure").alias("_day"), F.col(placement).alias("_place"), F.col(device).alias("_device"), "exposures", "seconds_to_convert")
+    rows = keep(rows)  # read for the counts of values and for those of devices
+    grains = F.array(
+        F.struct(F.lit("DAY").alias("grain"), F.col("_day").alias("day"), F.col("_place").alias("place")),
+        F.struct(F.lit("PLACEMENT").alias("grain"), F.lit(None).cast("date").alias("day"), F.col("_place").alias("place")),
+        F.struct(F.lit("TOTAL UNIQUE").alias("grain"), F.lit(None).cast("date").alias("day"), F.lit("ALL").alias("place")),
     )
+    measures = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("bigint").alias("value")) for m in ("exposures", "seconds_to_convert")])
+    counted = rows.select("_day", "_place", F.explode(measures).alias("_m")).select("_day", "_place", "_m.*").where("value IS NOT NULL")
+    counted = counted.groupBy("_day", "_place", "measure", "value").agg(F.count(F.lit(1)).alias("_times"))
+    keys = ["grain", "day", "place"]
+    summed = counted.withColumn("_g", F.explode(grains)).groupBy(*[F.col(f"_g.{k}").alias(k) for k in keys], "measure", "value").agg(F.sum("_times").alias("_times"))
+    medians = grain_medians(summed, [*keys, "measure"], "value", "_times", "median")
+    of = lambda m: F.max(F.when(F.col("measure") == m, F.col("median")))
+    wide = medians.groupBy(*keys).agg(of("exposures").alias("median_exposures"), (of("seconds_to_convert") / 3600).alias("median_hours"))
+
+    # a device counts once in each grain
+    devices = rows.groupBy("_day", "_place", "_device").agg(F.lit(1).alias("_one")).withColumn("_g", F.explode(grains))
+    devices = devices.groupBy(*[F.col(f"_g.{k}").alias(k) for k in keys]).agg(F.min("_day").alias("first_exposure"), F.countDistinct("_device").alias("conversions"))
+    named = wide.select(*[F.col(k).alias(f"_w{k}") for k in keys], "median_exposures", "median_hours")
+    out = devices.join(named, [F.col(k).eqNullSafe(F.col(f"_w{k}")) for k in keys], "left").where((F.col("grain") != "TOTAL UNIQUE") | (F.col("conversions") > 0))
+    return out.select("grain", "first_exposure", F.col("place").alias("placement"), "median_exposures", "median_hours", "conversions")
 
 
 def time_to_conversion(

@@ -99,3 +99,29 @@ def test_days_of_a_device_meet_on_device_and_day(spark):
         plan = plan_of(out)
         assert "Generate explode(sequence" in plan and re.search(r"Join \[device_id#\d+", plan)
         assert not re.search(r"Join \[device_id#\d+(, country#\d+)?\], ", plan)
+
+
+def test_medians_from_counts(spark):
+    from airtally.operators.curves import conversion_medians, grain_medians
+
+    rnd = random.Random(8)
+    made = [(rnd.choice(["a", "b", None]), rnd.choice([rnd.randrange(5), rnd.randrange(10**6), 1023, 1024]), rnd.randrange(1, 4)) for _ in range(300)]
+    df = spark.createDataFrame(made, "k string, v long, n long").groupBy("k", "v").agg(F.sum("n").alias("n"))
+    wanted = df.withColumn("x", F.explode(F.expr("sequence(1, n)"))).groupBy("k").agg(F.median("v").alias("m"))
+    for bucket in (1, 7, 1024, 10**9):
+        assert rows(grain_medians(df, ["k"], "v", "n", "m", bucket)) == rows(wanted)
+
+    stamps = [ts(f"2024-01-0{rnd.randrange(1, 5)} 10:00:00") for _ in range(200)]
+    log = spark.createDataFrame([(rnd.randrange(40), rnd.choice(["p", "q"]), at, rnd.randrange(1, 9), rnd.choice([None, rnd.randrange(600_000)])) for at in stamps], "device_id int, placement string, first_exposure timestamp_ntz, exposures long, seconds_to_convert long")
+    dated = log.withColumn("day", F.to_date("first_exposure"))
+    measures = [F.median("exposures"), F.median("seconds_to_convert") / 3600, F.countDistinct("device_id")]
+    by = {"DAY": dated.groupBy("day", "placement").agg(*measures), "PLACEMENT": dated.groupBy("placement").agg(F.min("day"), *measures), "TOTAL UNIQUE": dated.groupBy().agg(F.min("day"), *measures)}
+    order = {"DAY": (0, 1, 2, 3, 4), "PLACEMENT": (1, 0, 2, 3, 4), "TOTAL UNIQUE": None}
+    expected = []
+    for grain, frame in by.items():
+        for r in frame.collect():
+            r = (r[0], "ALL", *r[1:]) if order[grain] is None else tuple(r[i] for i in order[grain])
+            expected.append((grain, *r))
+    round6 = lambda x: [tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in x]
+    assert sorted(round6(map(tuple, conversion_medians(log).collect())), key=str) == sorted(round6(expected), key=str)
+    assert conversion_medians(log.limit(0)).count() == 0
