@@ -33,11 +33,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write the frame to shared storage once and return a frame that reads it."""
     spark = df.sparkSession
     folder = shared_folder(spark, name)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=codec)
     return spark.read.schema(df.schema).parquet(folder)
 
 
