@@ -39,7 +39,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     find_package(spark)
     row, digest = free_name("row", docs), F.xxhash64(*docs.columns)
-    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows", "zstd")
     linked = near_duplicates.near_duplicates(rows, id_col=row).select(F.col("doc_id").alias("number"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", digest.alias("digest"), F.col(row).alias("number"))
     named = rows.select(F.col(row).alias("number"), order.alias("place"))
