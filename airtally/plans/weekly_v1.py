@@ -30,12 +30,12 @@ def _held(impressions: DataFrame, clicks: DataFrame, usage: DataFrame) -> tuple[
     return impressions, clicks, usage, impressions.unionByName(clicks)
 
 
-def on_each_day(spans: DataFrame, days: DataFrame, first: str, last: str, name: str) -> DataFrame:
-    """A row for each day of a span, from ``first`` to ``last`` (null: no end), within the days that
-    ``days`` has at all. A device has at most as many rows of a creative as the report has days."""
-    bounds = days.agg(F.min(name).alias("_lo"), F.max(name).alias("_hi"))  # one row
+def on_each_day(spans: DataFrame, days: DataFrame, on: Sequence[str], first: str, last: str, name: str) -> DataFrame:
+    """A row for each day of a span, from ``first`` to ``last`` (null: no end), between the first and
+    the last day of the key in ``days``. A key has at most as many rows as that has days."""
+    bounds = days.groupBy(*on).agg(F.min(name).alias("_lo"), F.max(name).alias("_hi"))  # one row per key
     begin, end = F.greatest(first, "_lo"), F.least(F.coalesce(last, "_hi"), "_hi")
-    bounded = spans.crossJoin(F.broadcast(bounds)).withColumns({"_begin": begin, "_end": end}).where("_begin <= _end")
+    bounded = spans.join(bounds, list(on)).withColumns({"_begin": begin, "_end": end}).where("_begin <= _end")
     return bounded.withColumn(name, F.explode(F.sequence("_begin", "_end"))).drop("_lo", "_hi", "_begin", "_end")
 
 
@@ -49,7 +49,7 @@ def opens_by_usage_day(exposures: DataFrame, usage: DataFrame) -> DataFrame:
     by = W.partitionBy(*ON, "creative_id", "campaign_id").orderBy("expose_date")
     spans = shown.withColumn("_times", F.row_number().over(by)).withColumn("_until", F.date_sub(F.lead("expose_date").over(by), 1))
     days = daily_usage(usage, ON)
-    met = on_each_day(spans, days, "expose_date", "_until", "usage_date").join(days, [*ON, "usage_date"])
+    met = on_each_day(spans, days, ON, "expose_date", "_until", "usage_date").join(days, [*ON, "usage_date"])
     return met.groupBy(F.col("usage_date").alias("date"), *CREATIVE).agg(
         F.countDistinct("device_id").alias("openers"), F.sum(F.col("minutes") * F.col("_times")).alias("minutes")
     )
@@ -169,7 +169,7 @@ def instant_opens(exposures: DataFrame, usage: DataFrame, keys: Sequence[str] =
     by = W.partitionBy("device_id", *keys).orderBy("_shown_on")
     spans = shown.withColumn("_times", F.sum("_n").over(by)).withColumn("_until", F.lead("_shown_on").over(by))
     later = spans.withColumn("_next_day", F.date_add("_shown_on", 1))
-    carried = on_each_day(later, days, "_next_day", "_until", "date").join(days, ["device_id", "date"])
+    carried = on_each_day(later, days, ["device_id"], "_next_day", "_until", "date").join(days, ["device_id", "date"])
     carried = carried.select("device_id", *keys, "date", (F.col("_day_minutes") * F.col("_times")).alias("minutes"))
     same_day = asof(
         exposures.select("device_id", *keys, "event_ts", day("event_ts").alias("date")),

@@ -17,6 +17,8 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # whole reports are long chains of joins, which the scheduler serialises recursively
+        .config("spark.driver.extraJavaOptions", "-Xss4m")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
