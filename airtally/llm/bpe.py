@@ -43,9 +43,9 @@ from .memory import Recall, owned
 PIECE_CHARS = 65_536
 #: Bytes of text that are handled at a time in a task, besides a longer single text. A word is looked up
 #: once for each slice.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 8_000_000
 #: Words that are encoded as one text.
-TOGETHER = 10_000
+TOGETHER = 2_000
 FIRST_WINDOW = 64
 
 
