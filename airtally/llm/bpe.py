@@ -6,6 +6,10 @@ The tokenizers library does the encoding. Two things are added around it:
 separates, so a text's ids are its words' ids one after the other. Each worker remembers the ids
 of the words it has met. Other tokenizers get whole texts.
 
+*Tokens of words.* Most new words consist of letters, digits and marks that were met in other words.
+Of tokenizers that lower-case and split like CLIP's, printable ASCII words are split by the same
+pattern for a whole slice at once, and only parts not met before go to the library's model.
+
 *Tree concatenation.* A text above ``piece_chars`` characters is cut into halves, and these again,
 wherever the cut falls. Pieces are encoded in parallel as rows of their own. Neighbours are then
 joined level by level: a window around the cut is encoded again and grows until it has one token
@@ -47,6 +51,18 @@ SLICE_BYTES = 8_000_000
 #: Words that are encoded as one text.
 TOGETHER = 2_000
 FIRST_WINDOW = 64
+#: How CLIP's tokenizers normalise and split, and the same pattern for lower-case printable ASCII.
+CLIP = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+ASCII_PART, PRINTABLE = r"('s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+)", "^[!-~]+$"
 
 
 class Encoder:
@@ -59,10 +75,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content for t in added]
         # only these two parts are described; the whole tokenizer as JSON takes much more memory
         parts = {name: getattr(self.tokenizer, name) for name in ("normalizer", "pre_tokenizer")}
-        self.by_word = drops_white_space({name: json.loads(part.__getstate__()) for name, part in parts.items() if part is not None})
+        described = {name: json.loads(part.__getstate__()) for name, part in parts.items() if part is not None}
+        self.by_word = drops_white_space(described)
+        self.model = self.tokenizer.model
+        self.by_part = described == CLIP and type(self.model).__name__ == "BPE" and not self.model.dropout and not any(t.normalized for t in added)
         self.known = Recall()
 
     def encode(self, texts: pa.StringArray) -> pa.BinaryArray:
@@ -73,18 +93,39 @@ class Encoder:
         # only ASCII white space is sure to separate; a leading one leaves an empty word
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        ids = self.ids_of(words.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        table, first = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(sizes) - sizes
-        word = words.indices.to_numpy()
-        n = sizes[word]
-        ends = np.cumsum(n)
-        taken = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[word] - (ends - n), n)
+        first, sizes, table = self.table_of(words.dictionary)
+        ends, ids = laid_out(first, sizes, table, words.indices.to_numpy())
         bounds = split.offsets.to_numpy().astype(np.int64)
-        offsets = np.concatenate([[0], ends])[bounds - bounds[0]] * 4
+        offsets = ends[bounds - bounds[0]] * 4
         if offsets[-1] > np.iinfo(np.int32).max:
             raise ValueError("texts of one slice have more than 2 GB of ids")
-        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(table[taken])])
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+
+    def table_of(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different words: where those of each begin in a table, how many they are, and the table."""
+        first, sizes = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        plain = np.zeros(len(words), dtype=bool)
+        if self.by_part:
+            plain = pc.match_substring_regex(words, PRINTABLE).to_numpy(zero_copy_only=False)
+            for s in self.special:
+                plain &= ~pc.match_substring(words, s).to_numpy(zero_copy_only=False)
+        other = table_from(self.ids_of(words.filter(pa.array(~plain)).to_pylist()))
+        first[~plain], sizes[~plain], table = other
+        if plain.any():
+            apart = pc.replace_substring_regex(pc.ascii_lower(words.filter(pa.array(plain))), ASCII_PART, r"\1 ")
+            split = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(apart))
+            parts = split.flatten().dictionary_encode()
+            known = table_from(self.known.values(parts.dictionary.to_pylist(), self.part_ids))
+            ends, ids = laid_out(*known, parts.indices.to_numpy())
+            bounds = split.offsets.to_numpy().astype(np.int64)
+            bounds = ends[bounds - bounds[0]]
+            first[plain], sizes[plain] = bounds[:-1] + len(table), np.diff(bounds)
+            table = np.concatenate([table, ids])
+        return first, sizes, table
+
+    def part_ids(self, parts: list[str]) -> list[bytes]:
+        """Packed ids of parts that the pattern cut; their bytes stand for themselves."""
+        return [packed([t.id for t in self.model.tokenize(part)]) for part in parts]
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         """Packed ids of different words."""
@@ -140,6 +181,22 @@ def drops_white_space(described: dict) -> bool:
     return not any(regex.search(step["pattern"].get("Regex", r"\s"), c) for c in " \t\n\r\v\f")
 
 
+def table_from(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed ids one after the other: where each begins, how many it has, and all of them."""
+    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+    return np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(ids), dtype="<u4")
+
+
+def laid_out(first: np.ndarray, sizes: np.ndarray, table: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a table one after the other: their bounds and what they hold."""
+    n = sizes[which]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    small = max(int(ends[-1]), len(table)) <= np.iinfo(np.int32).max
+    taken = np.repeat((first[which] - ends[:-1]).astype(np.int32 if small else np.int64), n)
+    taken += np.arange(len(taken), dtype=taken.dtype)
+    return ends, table[taken]
+
+
 def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 

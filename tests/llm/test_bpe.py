@@ -84,3 +84,18 @@ def test_other_tokenizers_get_whole_texts(spark):
     assert not bpe.Encoder(path).by_word
     ids = bpe.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), path).first()["ids"]
     assert np.frombuffer(ids, "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
+
+
+def test_new_words_of_known_parts_need_no_library(library, monkeypatch):
+    """Capitals, digits and marks make a new word, not new parts; what is not plain ASCII goes to the library whole."""
+    encoder, asked = bpe.Encoder(word_bpe()), []
+    encoder.encode(pa.array(["station's well 1 2 3 . ( !! 've ''"]))
+    whole, parts = encoder.new_ids, encoder.part_ids
+    monkeypatch.setattr(encoder, "new_ids", lambda words: asked.extend(words) or whole(words))
+    monkeypatch.setattr(encoder, "part_ids", lambda words: asked.extend(words) or parts(words))
+    text = "Station. (WELL STATION'S 3321 well've!! ''sTATION(1"
+    assert np.frombuffer(encoder.encode(pa.array([text]))[0].as_py(), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert asked == []
+    text += " café well<|endoftext|>! new"
+    assert np.frombuffer(encoder.encode(pa.array([text]))[0].as_py(), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert asked == ["café", "well<|endoftext|>!", "new"]
