@@ -32,18 +32,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .memory import recall
+from .bpe import slices
 from .shared import discard, materialize
 
 LABELLED_ROWS = 6_000
 ROUNDS, CONFIDENT = 3, 0.97
 SHAPES, WORDS, STATS, META = 96, 256, 14, 160
 SEED = 11
+#: Rows and bytes of text whose features are found together, besides a longer single text.
+TOGETHER, TOGETHER_BYTES = 2_000, 4_000_000
 
 _CLASSES = {"A": range(65, 91), "a": range(97, 123), "0": range(48, 58), " ": (32, *range(9, 14)), "x": range(128, 256)}
 
@@ -58,9 +62,10 @@ class Kinds(dict[int, str]):
 
 
 _KINDS, _RUNS = Kinds(), re.compile(r"(.)\1{2,}", re.DOTALL)
+_ASCII_KINDS = bytes(ord(_KINDS[i]) if i < 128 else i for i in range(256))
 
 
-def bucket(value: str, n: int) -> int:
+def bucket(value: str | bytes, n: int) -> int:
     return xxhash.xxh3_64_intdigest(value, seed=SEED) % n
 
 
@@ -69,33 +74,65 @@ def shape(word: str) -> str:
     return _RUNS.sub(r"\1\1", word.translate(_KINDS))
 
 
-def code(word: str) -> int:
-    """Buckets of a word's shape and of the word, as one number."""
-    return bucket(shape(word), SHAPES) * WORDS + bucket(word.lower(), WORDS)
+def altered(words: pa.StringArray, change: Callable[[bytes], bytes]) -> pa.DictionaryArray:
+    """Words whose bytes were changed one by one."""
+    _, offsets, data = words.buffers()
+    bounds = np.frombuffer(offsets, np.int32, len(words) + 1, words.offset * 4)
+    own = change(data[bounds[0] : bounds[-1]].to_pybytes() if data is not None else b"")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(bounds - bounds[0]), pa.py_buffer(own)]).dictionary_encode()
+
+
+def codes(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' shapes and of the words; ASCII is changed for all of them at once."""
+    shapes, lower = altered(words, lambda data: data.translate(_ASCII_KINDS)), altered(words, bytes.lower)
+    shape_of = np.array([bucket(shape(x.decode()), SHAPES) for x in shapes.dictionary.to_pylist()], dtype=np.int64)
+    digest, names = xxhash.xxh3_64_intdigest, lower.dictionary.to_pylist()
+    word_of = np.array([digest(x if x.isascii() else x.decode().lower(), SEED) for x in names], dtype=np.uint64) % np.uint64(WORDS)
+    return shape_of[shapes.indices.to_numpy()], word_of.astype(np.int64)[lower.indices.to_numpy()]
 
 
 def text_features(text: str | None) -> np.ndarray:
-    """Shares of word shapes and of hashed words, and counts of kinds of characters."""
-    text = text or ""
-    words = text.split()
-    different = list(set(words))
-    known = dict(zip(different, recall("classifier").values(different, lambda new: map(code, new)), strict=True))
-    codes = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-    n = max(len(words), 1)
-    data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
-    counts = np.zeros(256, dtype=np.int64)
-    for start in range(0, len(data), 1 << 20):
-        counts += np.bincount(data[start : start + (1 << 20)], minlength=256)
-    kinds = {k: counts[list(own)].sum() for k, own in _CLASSES.items()}
-    size = max(len(data), 1)
-    lines = text.split("\n")
+    """The features of one text."""
+    return all_features(pa.array([text], pa.string()))[0]
+
+
+def all_features(texts: pa.StringArray) -> np.ndarray:
+    """Shares of word shapes and of hashed words, and counts of kinds of characters, a row for each text; null is empty."""
+    texts = texts.fill_null("")
+    rows = len(texts)
+    split = pc.utf8_split_whitespace(texts)
+    words = split.flatten().dictionary_encode()
+    text = np.repeat(np.arange(rows), np.diff(split.offsets.to_numpy()))
+    # white space at an end leaves an empty word
+    word = words.indices.to_numpy()
+    some = (pc.binary_length(words.dictionary).to_numpy() > 0)[word]
+    text, word = text[some], word[some].astype(np.int64)
+    shapes, hashed = codes(words.dictionary)
+    n_words = np.bincount(text, minlength=rows)
+    n = np.maximum(n_words, 1)
+    # texts are in order, so sorting by text and word leaves each word's text where it is
+    pair = np.sort(text * max(len(words.dictionary), 1) + word)
+    different = np.bincount(text[1:][pair[1:] != pair[:-1]], minlength=rows) + np.bincount(text[:1], minlength=rows)
+    counts, size, lines, own_lines = np.zeros((rows, 256), dtype=np.int64), np.ones(rows), np.ones(rows), np.ones(rows)
+    for row, own in enumerate(texts.cast(pa.binary()).to_pylist()):
+        data = np.frombuffer(own, dtype=np.uint8)
+        for start in range(0, len(data), 1 << 20):
+            counts[row] += np.bincount(data[start : start + (1 << 20)], minlength=256)
+        size[row] = max(len(data), 1)
+        parts = own.split(b"\n")
+        lines[row], own_lines[row] = len(parts), len(set(parts))
+    kinds = {k: counts[:, list(own)].sum(axis=1) for k, own in _CLASSES.items()}
     marks = size - sum(kinds.values())
     stats = [
-        kinds["A"] / max(kinds["A"] + kinds["a"], 1), kinds["0"] / size, kinds["x"] / size, kinds[" "] / size, marks / size, marks / n,
-        counts[124] / n, counts[33] / n, counts[10] / n, (counts[44] + counts[46]) / n,
-        len(different) / n, len(set(lines)) / len(lines), np.log1p(len(words)), len(data) / n / 10,
+        kinds["A"] / np.maximum(kinds["A"] + kinds["a"], 1), kinds["0"] / size, kinds["x"] / size, kinds[" "] / size, marks / size, marks / n,
+        counts[:, 124] / n, counts[:, 33] / n, counts[:, 10] / n, (counts[:, 44] + counts[:, 46]) / n,
+        different / n, own_lines / lines, np.log1p(n_words), counts.sum(axis=1) / n / 10,
     ]
-    return np.concatenate([np.sqrt(np.bincount(codes // WORDS, minlength=SHAPES) / n), np.sqrt(np.bincount(codes % WORDS, minlength=WORDS) / n), stats]).astype(np.float32)
+
+    def shares(found: np.ndarray, width: int) -> np.ndarray:
+        return np.sqrt(np.bincount(text * width + found[word], minlength=rows * width).reshape(rows, width) / n[:, None])
+
+    return np.column_stack([shares(shapes, SHAPES), shares(hashed, WORDS), *stats]).astype(np.float32)
 
 
 def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
@@ -255,11 +292,19 @@ def inputs(docs: DataFrame, text_col: str, lang_col: str, source_col: str, chars
     return [docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), docs[source_col].cast("string").alias("source"), docs[chars_col].cast("double").alias("n_chars")]
 
 
-def featured(batch: pd.DataFrame) -> list[np.ndarray]:
-    chars = [None if pd.isna(n) else n for n in batch["n_chars"]]
-    text = [text_features(t) for t in batch["text"]]
-    meta = [meta_features(*x) for x in zip(batch["lang"], batch["source"], chars, strict=True)]
-    return [np.stack(text), np.stack(meta)]
+def featured(texts: pa.StringArray, langs: pa.StringArray, sources: pa.StringArray, n_chars: pa.DoubleArray) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Ranges of rows with the features of both views."""
+    for first in range(0, len(texts), TOGETHER):
+        for a, b in slices(texts.slice(first, TOGETHER), TOGETHER_BYTES):
+            start, n = first + a, b - a
+            chars = [None if x is None or x != x else x for x in n_chars.slice(start, n).to_pylist()]
+            meta = [meta_features(*x) for x in zip(langs.slice(start, n).to_pylist(), sources.slice(start, n).to_pylist(), chars, strict=True)]
+            yield start, start + n, [all_features(texts.slice(start, n)), np.stack(meta)]
+
+
+def packed(rows: np.ndarray) -> pa.Array:
+    """Each row as one binary value."""
+    return pa.array([x.tobytes() for x in rows], pa.binary())
 
 
 def matrices(text: list[bytes], meta: list[bytes]) -> list[np.ndarray]:
@@ -297,12 +342,11 @@ def summed(features: DataFrame) -> Total:
 def fit(rows: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS) -> Model | float:
     """A model for rows of ``doc_id`` and :func:`inputs`, or the mean label where there is nothing to tell apart."""
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.iloc[start : start + 500]
-                text, meta = featured(part)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "text": [x.tobytes() for x in text], "meta": [x.tobytes() for x in meta]})
+            for a, b, (text, meta) in featured(*(batch.column(c) for c in ("text", "lang", "source", "n_chars"))):
+                same = [batch.column(c).slice(a, b - a) for c in ("doc_id", "y")]
+                yield pa.record_batch([*same, packed(text), packed(meta)], ["doc_id", "y", "text", "meta"])
 
     schema = "doc_id long, y double, text binary, meta binary"
     order = F.xxhash64("doc_id", F.lit(SEED))
@@ -315,7 +359,7 @@ def fit(rows: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS,
     content = [c for c in rows.columns if c != "doc_id"]
     # a row for each id, whatever the order of rows
     sample = rows.join(marked, "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min(F.struct(F.xxhash64(*content).alias("digest"), *content)).alias("row"))
-    sample = sample.select("doc_id", "y", *(F.col("row")[c].alias(c) for c in content)).mapInPandas(features, schema)
+    sample = sample.select("doc_id", "y", *(F.col("row")[c].alias(c) for c in content)).mapInArrow(features, schema)
     found = {r["doc_id"]: r for r in sample.collect()} if labelled_rows else {}
     own = [found[k] for k in sorted(found, key=lambda k: (xxhash.xxh3_64_intdigest(str(k)), k))]
     y = np.array([r["y"] for r in own])
@@ -325,7 +369,7 @@ def fit(rows: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS,
     if not rounds:
         return co_train(xs, y, [x[:0] for x in xs], 0)
     others = rows.join(marked, "doc_id", "left_anti").withColumn("y", F.lit(None).cast("double"))
-    others = materialize(others.mapInPandas(features, schema).select("text", "meta"), "features")
+    others = materialize(others.mapInArrow(features, schema).select("text", "meta"), "features")
     try:
         return co_train(xs, y, summed(others), rounds)
     finally:
@@ -335,20 +379,15 @@ def fit(rows: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS,
 def scores_of(model: Model | float, threshold: float):
     """Column function of text, language, source and length: scores and the decision."""
 
-    @F.pandas_udf("text_score double, meta_score double, score double, kept boolean")
-    def scores(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        batch = pd.DataFrame({"text": text, "lang": lang, "source": source, "n_chars": n_chars})
-        found = []
-        for start in range(0, len(batch), 500):
-            part = batch.iloc[start : start + 500]
-            if isinstance(model, float):
-                own = (np.full(len(part), model),) * 3
-            else:
-                own = model.score(featured(part))
-            found.append(np.column_stack(own))
-        out = pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 3)), columns=["text_score", "meta_score", "score"])
-        out["kept"] = (out["score"] >= threshold) | isinstance(model, float)
-        return out
+    @F.arrow_udf("text_score double, meta_score double, score double, kept boolean")
+    def scores(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
+        if isinstance(model, float):
+            found = [np.full((len(text), 3), model)]
+        else:
+            found = [np.column_stack(model.score(xs)) for _, _, xs in featured(text, lang, source, n_chars)]
+        own = np.concatenate([np.zeros((0, 3)), *found]).T
+        kept = (own[2] >= threshold) | isinstance(model, float)
+        return pa.StructArray.from_arrays([*map(pa.array, own), pa.array(kept)], ["text_score", "meta_score", "score", "kept"])
 
     return scores
 

@@ -1,6 +1,7 @@
 """The classifier: held-out accuracy, and what it does without labels."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from airtally.llm import quality
@@ -96,3 +97,13 @@ def test_odd_rows_and_no_labels(spark):
     both = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, quality int")
     assert len(quality.classify(docs, both).collect()) == 5
     assert quality.classify(docs.limit(0), both).count() == 0
+
+
+def test_features_of_many_texts_are_found_together(monkeypatch):
+    """Words that texts share are hashed once for all of them, and each text's features are its own."""
+    texts = [None, "", "One two.\nOne two.", "  TWO two One\x1fb\x85", "ΣΑΣ 1234 a|b!", "One two. " * 50]
+    alone = [quality.text_features(t) for t in texts]
+    counted, digest = [], quality.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(quality.xxhash, "xxh3_64_intdigest", lambda *x, **y: counted.append(x[0]) or digest(*x, **y))
+    assert (quality.all_features(pa.array(texts * 20)) == np.stack(alone * 20)).all()
+    assert len(counted) < 30
