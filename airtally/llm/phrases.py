@@ -159,18 +159,19 @@ def stretches(found: DataFrame, window: int) -> DataFrame:
     return found.select("doc_id", "key", "text", "hits").mapInArrow(cut, "seed long, heavy boolean, doc_id long, key long, text binary, places array<int>")
 
 
+class Codes(dict[bytes, str]):
+    """A character for each word, found when it is first seen."""
+
+    def __missing__(self, word: bytes) -> str:
+        at = FIRST_CODE + len(self)
+        self[word] = code = chr(at if at < NO_CODES.start else at + len(NO_CODES))
+        return code
+
+
 def spelled(texts: list[bytes]) -> list[str]:
     """Each text as a string with one character for each word, the same one for the same word."""
-    code: dict[bytes, str] = {}
-    out = []
-    for text in texts:
-        words = text.split()
-        for w in words:
-            if w not in code:
-                at = FIRST_CODE + len(code)
-                code[w] = chr(at if at < NO_CODES.start else at + len(NO_CODES))
-        out.append("".join(map(code.__getitem__, words)))
-    return out
+    code = Codes()
+    return ["".join(map(code.__getitem__, text.split())) for text in texts]
 
 
 def spread_out(windows: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -188,12 +189,13 @@ def located(window: int):
         low, high = rows["low"].to_numpy(), rows["high"].to_numpy()
         ranges: dict[str, tuple[int, int]] = {}
         for text, a, b in zip(own, low.tolist(), high.tolist(), strict=True):
+            both = (a, b)
             for i in range(len(text) - window + 1):
                 phrase = text[i : i + window]
-                seen = ranges.get(phrase)
-                if seen is None:
-                    ranges[phrase] = (a, b)
-                elif a < seen[0] or b > seen[1]:
+                seen = ranges.setdefault(phrase, both)
+                if seen is both:
+                    continue
+                if a < seen[0] or b > seen[1]:
                     ranges[phrase] = (min(a, seen[0]), max(b, seen[1]))
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         for phrase, (a, b) in ranges.items():
