@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .memory import Recall, owned
+from .memory import Recall, owned, release
 
 PIECE_CHARS = 65_536
 #: Bytes of text that are handled at a time in a task, besides a longer single text. A word is looked up
@@ -321,7 +321,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     columns.append(pa.array([own.decode(x.as_py()) for x in columns[1]], pa.string()))
                 yield pa.record_batch(columns, ["doc_id", "ids", "decoded"][: len(columns)])
                 del columns
-                pa.default_memory_pool().release_unused()
+                release()
+            del batch  # the next one is read before the name is bound again
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = encoder(tokenizer).special

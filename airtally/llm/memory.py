@@ -2,12 +2,14 @@
 
 Workers are used again by later stages, so each operator's tables would stay beside those of the
 others. Here one operator owns the worker's memory at a time: when another one asks, everything of
-the last owner is forgotten. Tables are bounded by bytes, and long words are never kept. Results do
+the last owner is forgotten. An operator that remembers nothing asks too, so that it does not work beside
+the tables of the last one. Tables are bounded by bytes, and long words are never kept. Results do
 not depend on what is remembered.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Hashable, Iterable, Sequence
 from typing import Any
 
@@ -18,13 +20,21 @@ LONGEST = 64
 GENERATION_BYTES, ENTRY_BYTES = 24_000_000, 120
 
 _OWNED: dict[str, dict[Hashable, Any]] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+
+
+def release() -> None:
+    """Give free memory back to the system; Arrow's pool and the C library's heap would keep it for this worker."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def owned(owner: str) -> dict[Hashable, Any]:
     """What an operator holds in this worker; what others held is let go."""
     if owner not in _OWNED:
         _OWNED.clear()
-        pa.default_memory_pool().release_unused()
+        release()
         _OWNED[owner] = {}
     return _OWNED[owner]
 

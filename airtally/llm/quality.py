@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
+from .memory import owned, release
 from .shared import discard, materialize
 
 LABELLED_ROWS = 6_000
@@ -294,12 +295,15 @@ def inputs(docs: DataFrame, text_col: str, lang_col: str, source_col: str, chars
 
 def featured(texts: pa.StringArray, langs: pa.StringArray, sources: pa.StringArray, n_chars: pa.DoubleArray) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """Ranges of rows with the features of both views."""
+    owned("quality")
     for first in range(0, len(texts), TOGETHER):
         for a, b in slices(texts.slice(first, TOGETHER), TOGETHER_BYTES):
             start, n = first + a, b - a
             chars = [None if x is None or x != x else x for x in n_chars.slice(start, n).to_pylist()]
             meta = [meta_features(*x) for x in zip(langs.slice(start, n).to_pylist(), sources.slice(start, n).to_pylist(), chars, strict=True)]
             yield start, start + n, [all_features(texts.slice(start, n)), np.stack(meta)]
+            del meta
+    release()
 
 
 def packed(rows: np.ndarray) -> pa.Array:
@@ -318,22 +322,25 @@ def summed(features: DataFrame) -> Total:
     schema = "part int, sums binary"
 
     def total(f: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray:
-        def of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            owned("quality")
             out = None
             for batch in batches:
-                for start in range(0, len(batch), 1000):
-                    part = batch.iloc[start : start + 1000]
-                    sums = f(matrices(part["text"].tolist(), part["meta"].tolist()))
+                for start in range(0, batch.num_rows, 1000):
+                    sums = f(matrices(*(batch.column(c).slice(start, 1000).to_pylist() for c in ("text", "meta"))))
                     out = sums if out is None else out + sums
+                del batch  # the next one is read before the name is bound again
+                release()
             if out is not None:
-                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "sums": [out.tobytes()]})
+                yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["part", "sums"])
 
         def of_group(rows: pd.DataFrame) -> pd.DataFrame:
+            owned("quality")
             rows = rows.sort_values("part")
             out = sum(np.frombuffer(x, dtype=np.float64) for x in rows["sums"])
             return pd.DataFrame({"part": rows["part"].iloc[:1], "sums": [out.tobytes()]})
 
-        found = features.mapInPandas(of_task, schema).groupBy(F.pmod("part", F.lit(groups))).applyInPandas(of_group, schema).collect()
+        found = features.mapInArrow(of_task, schema).groupBy(F.pmod("part", F.lit(groups))).applyInPandas(of_group, schema).collect()
         return sum((np.frombuffer(r["sums"], dtype=np.float64) for r in sorted(found, key=lambda r: r["part"])), np.float64(0))
 
     return total
@@ -347,6 +354,8 @@ def fit(rows: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS,
             for a, b, (text, meta) in featured(*(batch.column(c) for c in ("text", "lang", "source", "n_chars"))):
                 same = [batch.column(c).slice(a, b - a) for c in ("doc_id", "y")]
                 yield pa.record_batch([*same, packed(text), packed(meta)], ["doc_id", "y", "text", "meta"])
+                del text, meta, same
+            del batch
 
     schema = "doc_id long, y double, text binary, meta binary"
     order = F.xxhash64("doc_id", F.lit(SEED))

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from airtally.llm import quality
+from airtally.llm import memory, quality
 
 DATA = "/root/testdata/sf0.01"
 
@@ -107,3 +107,25 @@ def test_features_of_many_texts_are_found_together(monkeypatch):
     monkeypatch.setattr(quality.xxhash, "xxh3_64_intdigest", lambda *x, **y: counted.append(x[0]) or digest(*x, **y))
     assert (quality.all_features(pa.array(texts * 20)) == np.stack(alone * 20)).all()
     assert len(counted) < 30
+
+
+def test_features_are_not_found_beside_the_tables_of_another_operator():
+    memory.owned("tokenizers")["x"] = 1
+    texts = pa.array(["Some words here.", None])
+    assert [(a, b) for a, b, _ in quality.featured(texts, texts, texts, pa.array([1.0, None]))] == [(0, 2)]
+    assert not memory.owned("tokenizers")
+
+
+def test_sums_over_tasks_are_not_added_beside_the_tables_of_another_operator(spark):
+    """Every worker holds a table first; no block is summed beside it, and every row is."""
+    n = quality.SHAPES + quality.WORDS + quality.STATS
+    rows = [(np.full(n, i, np.float32).tobytes(), np.full(quality.META, i, np.float32).tobytes()) for i in range(8)]
+    features = spark.createDataFrame(rows, "text binary, meta binary").repartition(2).localCheckpoint()
+
+    def hold(batches):
+        memory.owned("tokenizers")["x"] = 1
+        yield from batches
+
+    features.mapInArrow(hold, features.schema).collect()
+    got = quality.summed(features)(lambda xs: np.array([len(xs[0]), xs[0].sum(dtype=np.float64), xs[1].sum(dtype=np.float64), "tokenizers" in memory._OWNED], dtype=np.float64))
+    assert got.tolist() == [8, 28 * n, 28 * quality.META, 0]
